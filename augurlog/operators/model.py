@@ -10,15 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from augurlog.functions import packs
 from augurlog.operators import tfidf
 from augurlog.operators.trends import numeric_features
 from augurlog.operators.windows import KEYS
-from augurlog.session import materialise
+from augurlog.session import materialise, scratch_path
 
 
 @dataclass
@@ -38,13 +39,27 @@ class Model:
         return [name for name, _, _ in self.numeric]
 
 
-def _sparse(size, idx, values):
-    pairs = sorted(zip(idx, values))
-    return SparseVector(size, [i for i, _ in pairs], [v for _, v in pairs])
+def sparse_struct(size: int, entries: Column) -> Column:
+    """A sparse vector in stored form, from an array of (index, value) structs."""
+    ordered = F.array_sort(entries)
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(ordered, lambda e: e["i"]).alias("indices"),
+        F.transform(ordered, lambda e: e["v"]).alias("values"),
+    )
+
 
+def stored_vectors(df: DataFrame, column: str = "features") -> DataFrame:
+    """Write rows whose ``column`` is in stored form and read it back as a vector.
 
-# One call per training window (not per line); there is no built-in for sparse vectors.
-sparse_vector = F.udf(_sparse, VectorUDT())
+    There is no built-in that makes sparse vectors; reading the written form under
+    the vector type keeps the whole step out of Python.
+    """
+    path = scratch_path(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    fields = [StructField(f.name, VectorUDT() if f.name == column else f.dataType) for f in df.schema.fields]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path)
 
 
 def numeric_scales(train: DataFrame, features: list[str]) -> list[float]:
@@ -74,21 +89,17 @@ def feature_vectors(
     entries = (
         weights.join(F.broadcast(terms.select("term", "idx")), "term")
         .groupBy(*KEYS)
-        .agg(F.collect_list("idx").alias("_i"), F.collect_list("weight").alias("_v"))
+        .agg(F.collect_list(F.struct(F.col("idx").alias("i"), F.col("weight").alias("v"))).alias("_text"))
     )
-    size = n_terms + len(numeric)
-    number = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) / F.lit(s) for c, s in zip(numeric, scales)]
-    num_idx = F.array(*[F.lit(n_terms + i) for i in range(len(numeric))]).cast("array<int>")
-    num_val = F.array(*number).cast("array<double>")
-    none = lambda t: F.array().cast(t)
+    number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+    cells = [
+        F.struct(F.lit(n_terms + i).alias("i"), (number(c) / F.lit(s)).alias("v"))
+        for i, (c, s) in enumerate(zip(numeric, scales))
+    ]
+    none = F.array().cast("array<struct<i:int,v:double>>")
+    everything = F.concat(F.coalesce("_text", none), F.array(*cells) if cells else none)
     return rows.join(entries, KEYS, "left").select(
-        *KEYS,
-        "y_future",
-        sparse_vector(
-            F.lit(size),
-            F.concat(F.coalesce("_i", none("array<int>")), num_idx),
-            F.concat(F.coalesce("_v", none("array<double>")), num_val),
-        ).alias("features"),
+        *KEYS, "y_future", sparse_struct(n_terms + len(numeric), everything).alias("features")
     )
 
 
@@ -125,14 +136,14 @@ def fit(
     weight = F.lit(1.0)
     for label, w in balance.items():
         weight = F.when(F.col("y_future") == label, F.lit(w)).otherwise(weight)
-    data = materialise(vectors.withColumn("weight", weight).withColumn("label", F.col("y_future").cast("double")), "vectors")
+    data = stored_vectors(vectors.withColumn("weight", weight).withColumn("label", F.col("y_future").cast("double")))
     fitted = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / n,
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=1e-7,
     ).fit(data.select("features", "label", "weight"))
     coef = fitted.coefficients.toArray()
     with_coef = [(t, i, k, float(coef[k])) for t, i, k in listed]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augurlog.operators import tfidf
-from augurlog.operators.model import sparse_vector
+from augurlog.operators.model import sparse_struct, stored_vectors
 from augurlog.operators.windows import KEYS
 from augurlog.session import materialise
 
@@ -54,12 +54,12 @@ def svd_embedding(
         tfidf.weights(train_counts, terms, KEYS)
         .join(F.broadcast(terms.select("term", "idx")), "term")
         .groupBy(*KEYS)
-        .agg(F.collect_list("idx").alias("i"), F.collect_list("weight").alias("v"))
-        .select(sparse_vector(F.lit(size), "i", "v").alias("features"))
+        .agg(F.collect_list(F.struct(F.col("idx").alias("i"), F.col("weight").alias("v"))).alias("e"))
+        .select(sparse_struct(size, F.col("e")).alias("features"))
     )
-    rows = materialise(rows, "svd-rows")
+    rows = stored_vectors(rows)
     k = min(n_components, size - 1, n)
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "features").rdd.map(lambda r: r.features), 0, size)
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "features"), 0, size)
     v = matrix.computeSVD(k).V.toArray()
     k = v.shape[1]
     components = spark.createDataFrame(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from augurlog.functions import packs
 from augurlog.functions.dialects import DIALECTS
 from augurlog.operators.alerts import grid_levels
-from augurlog.plans.queries import HORIZON_MIN, K, MIN_LINES, PIVOT, SEQ_LEN, THRESHOLD, WIDTH_SEC
+from augurlog.plans.queries import HORIZON_MIN, K, LIVE_INTERCEPT, LIVE_NUMERIC, LIVE_TERMS, MIN_LINES, PIVOT, SEQ_LEN, THRESHOLD, WIDTH_SEC
 from augurlog.sources.event_lines import rendered_year, sql_lines, sql_rendered
 
 SEP = packs.TEXT_SEPARATOR
@@ -231,6 +231,44 @@ def split_sql(order: str) -> str:
                CAST(floor((SELECT count(*) FROM w) * 0.8) AS BIGINT) AS is_train FROM w"""
 
 
+def live_sql() -> dict[str, str]:
+    """Closed windows and alerts as one batch: windows whose end the watermark
+    (latest line minus two hours) has passed."""
+    kw = q(packs.LINUX_KEYWORDS["kw_error"])
+    kernel = "process = 'kernel'"
+    ctes = {
+        "p": f"SELECT * FROM ({parsed_sql('linux')}) WHERE ts IS NOT NULL",
+        "base": f"""SELECT host AS source_file, {bucket()} AS bucket, count(*) AS lines, count(DISTINCT process) AS kw_unique_procs,
+            count(*) FILTER (regexp_matches(message, {kw}, 'i')) AS kw_error, count(*) FILTER ({kernel}) AS cnt_proc_kernel,
+            string_agg(process || ': ' || message, {q(SEP)} ORDER BY ts, line_no) AS text FROM p GROUP BY 1, 2
+            HAVING {bucket()} + INTERVAL '{WIDTH_SEC} seconds' <= (SELECT max(ts) FROM p) - INTERVAL '2 hours'""",
+        "tok": "SELECT source_file, bucket, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS u FROM base",
+        "term": """SELECT source_file, bucket, unnest(list_concat(u, CASE WHEN len(u) > 1
+            THEN list_transform(range(1, len(u)), lambda k: u[k] || ' ' || u[k + 1]) ELSE [] END)) AS term FROM tok""",
+        "coef": "SELECT * FROM (VALUES " + ", ".join(f"({q(t)}, {i}, {c})" for t, i, c in LIVE_TERMS) + ") v(term, idf, coef)",
+        "txt": """SELECT source_file, bucket, sum(n * idf * coef) / sqrt(sum(CAST(n * idf AS DOUBLE) * (n * idf))) AS t
+            FROM (SELECT source_file, bucket, term, count(*) AS n FROM term GROUP BY ALL) JOIN coef USING (term) GROUP BY 1, 2""",
+        "w": "SELECT base.*, coalesce(t, 0) AS text_logit FROM base LEFT JOIN txt USING (source_file, bucket)",
+        "tr": """SELECT *, avg(kw_error) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kw_error_roll3_mean,
+            sum(kw_error) OVER (o ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS kw_error_roll6_sum,
+            coalesce(cnt_proc_kernel - lag(cnt_proc_kernel) OVER o, 0) AS cnt_proc_kernel_diff1
+            FROM w WINDOW o AS (PARTITION BY source_file ORDER BY bucket)""",
+        "sc": f"SELECT *, 1 / (1 + exp(-({LIVE_INTERCEPT} + text_logit + "
+        + " + ".join(f"CAST({n} AS DOUBLE) * {c} / {s}" for n, s, c in LIVE_NUMERIC)
+        + f"))) AS score FROM tr WHERE lines >= {MIN_LINES}",
+        "rw": f"SELECT *, CAST(score >= {THRESHOLD} AS INT) AS predict_raw FROM sc",
+    }
+    return {
+        "live_windows": with_(**ctes) + """SELECT source_file, bucket, lines, kw_error, kw_unique_procs, cnt_proc_kernel,
+            round(text_logit, 6) AS text_logit, translate(substr(text, 1, 250), chr(10) || ',', '  ') AS example_text FROM w""",
+        "live_alerts": with_(**ctes) + f"""SELECT source_file, bucket, round(score, 6) AS early_warning_score, predict_raw,
+            CAST(sum(predict_raw) OVER (PARTITION BY source_file ORDER BY bucket ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW) >= {K} AS INT)
+            AS predict_confirmed, lines FROM rw""",
+        "live_collected": f"""SELECT ts, host, 'linux' AS os, 'file' AS source, process, pid,
+            CASE WHEN ok THEN message ELSE raw END AS message, raw FROM ({parsed_sql('linux')})""",
+    }
+
+
 def oracle() -> dict[str, str]:
     counts = f"""SELECT source_file, {bucket()} AS bucket, count(*) AS lines, count(DISTINCT process) AS kw_unique_procs
                  FROM ({sql_lines()}) GROUP BY 1, 2"""
@@ -332,6 +370,7 @@ def oracle() -> dict[str, str]:
         "threshold_percentile": f"SELECT round(quantile_cont(proba, 0.99), 6) AS threshold, 'percentile' AS policy, true AS met_target FROM ({SCORES})",
         "threshold_min_score": f"SELECT round(min(proba), 6) AS threshold, 'min_score' AS policy, true AS met_target FROM ({SCORES})",
     }
+    out.update(live_sql())
     for name in DIALECTS:
         out[f"window_keywords_{name}"] = windows_sql(name)
         out[f"label_windows_{name}"] = labelled_sql(name)

@@ -14,10 +14,12 @@ from augurlog.functions.dialects import DIALECTS, dialect as as_dialect
 from augurlog.functions.text import example_text
 from augurlog.operators import alerts, evaluate, explain, labels, model, sequences, targets, tfidf, trends, windows
 from augurlog.operators.windows import KEYS
+from augurlog.plans import pipeline
 from augurlog.session import materialise, scratch_path
 from augurlog.sources import parse, tables
 from augurlog.sources.event_lines import event_lines, rendered_lines, rendered_year
 from augurlog.sources.logfiles import read_logs
+from augurlog.streaming import live
 
 WIDTH = "1h"
 WIDTH_SEC = 3600
@@ -443,6 +445,59 @@ def explain_sample(spark, sf):
     return explain.sample_rows(window_counts(spark, sf), 200)
 
 
+# --- live -----------------------------------------------------------------------------------
+
+LIVE_TERMS = [("kernel", 1.5, 0.6), ("sshd", 1.25, -0.4), ("link up", 2.0, 0.3), ("timed", 2.5, 0.9), ("kernel job", 3.0, -0.7)]
+LIVE_NUMERIC = [
+    ("kw_error", 1.0, 0.5), ("kw_error_roll3_mean", 0.5, 0.2), ("kw_error_roll6_sum", 2.0, 0.1),
+    ("cnt_proc_kernel_diff1", 1.0, -0.15), ("kw_unique_procs", 2.0, 0.05), ("lines", 4.0, 0.1),
+]
+LIVE_INTERCEPT = -0.6
+LATENESS = "2 hours"
+
+
+def _live(spark, sf):
+    """Rendered lines dropped as files, taken through the three live queries."""
+    terms = spark.createDataFrame([(t, i, n, c) for n, (t, i, c) in enumerate(LIVE_TERMS)], "term string, idf double, idx int, coef double")
+    fitted = model.Model(terms, LIVE_NUMERIC, LIVE_INTERCEPT, meta={"terms": len(LIVE_TERMS)})
+    root = scratch_path(spark, "live")
+    rendered_lines(spark, sf).repartitionByRange("source_file", "line_no").sortWithinPartitions(
+        "source_file", "line_no"
+    ).select("raw").write.text(f"{root}/landing")
+    live.run_available(
+        spark, f"{root}/landing", root, fitted, THRESHOLD, width=WIDTH, year=rendered_year(), k=K,
+        min_lines=MIN_LINES, lateness=LATENESS,
+    )
+    return root
+
+
+def live_windows(spark, sf):
+    got = spark.read.option("recursiveFileLookup", "true").parquet(f"{_live(spark, sf)}/windows")
+    return got.select(
+        "source_file", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "lines", "kw_error", "kw_unique_procs",
+        "cnt_proc_kernel", r6("text_logit").alias("text_logit"), "example_text",
+    )
+
+
+def live_alerts(spark, sf):
+    got = spark.read.parquet(f"{_live(spark, sf)}/alerts")
+    return got.select(
+        "source_file", F.col("bucket").cast("timestamp_ntz").alias("bucket"), r6("early_warning_score").alias("early_warning_score"),
+        "predict_raw", "predict_confirmed", "lines",
+    )
+
+
+def live_collected(spark, sf):
+    root = scratch_path(spark, "collect")
+    rendered_lines(spark, sf).repartitionByRange("source_file", "line_no").select("raw").write.text(f"{root}/landing")
+    live.start_collector(
+        spark, f"{root}/landing", f"{root}/events", f"{root}/_collect", year=rendered_year(), trigger=live.AVAILABLE
+    ).awaitTermination()
+    got = spark.read.parquet(f"{root}/events")
+    ts = F.when(F.col("parsed"), F.col("ts").cast("timestamp_ntz"))
+    return got.select(ts.alias("ts"), "host", "os", "source", "process", "pid", "message", "raw")
+
+
 # --- whole pipeline -------------------------------------------------------------------------
 
 def early_warning(spark, sf):
@@ -461,6 +516,31 @@ def early_warning(spark, sf):
     )
 
 
+def _event_pipeline(spark, sf):
+    settings = pipeline.with_settings(width=WIDTH, horizon_min=HORIZON_MIN, min_lines=MIN_LINES, k_confirm=K, max_features=2000)
+    prepared = pipeline.prepare(lines(spark, sf), "linux", settings)
+    return prepared, settings
+
+
+def train_and_score(spark, sf):
+    prepared, settings = _event_pipeline(spark, sf)
+    trained = pipeline.train(prepared, settings, eval_k=K)
+    out = pipeline.score(prepared, trained.model, trained.threshold, settings)
+    return out.withColumn("early_warning_score", r6("early_warning_score"))
+
+
+def explain_model(spark, sf):
+    prepared, settings = _event_pipeline(spark, sf)
+    trained = pipeline.train(prepared, settings)
+    rows, _ = pipeline.explain_windows(prepared, trained.model, settings)
+    return rows
+
+
+def svd_embedding(spark, sf):
+    prepared, settings = _event_pipeline(spark, sf)
+    return pipeline.sequence_set(prepared, n_components=8, length=SEQ_LEN, max_features=2000)
+
+
 def registry() -> dict:
     named = [
         early_warning, parse_syslog, parse_mac, parse_cbs_carry_forward, log_files_syslog, log_files_numbering,
@@ -472,7 +552,7 @@ def registry() -> dict:
         calibration_table, calibrate_alert_budget, pr_curve, average_precision, confusion_matrix,
         classification_report, classification_report_confirmed, union_by_name, tfidf_windows, tfidf_documents,
         fixed_model_scores, linear_attribution_topk, explanation_text, global_importance, sequence_windows,
-        explain_sample,
+        explain_sample, live_collected, live_windows, live_alerts, train_and_score, explain_model, svd_embedding,
     ]
     out = {f.__name__: f for f in named}
     for name in DIALECTS:

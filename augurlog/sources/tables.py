@@ -68,13 +68,19 @@ def merge_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> D
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def collected_events(parsed: DataFrame, os_name: str, source: str, arrived: str = "arrived") -> DataFrame:
+def collected_events(
+    parsed: DataFrame, os_name: str, source: str, arrived: str = "arrived", clean: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The collected form of live lines: ``ts, host, os, source, process, pid, message, raw``.
 
     A line that does not parse is kept as a raw-only event stamped with its arrival.
+    ``clean`` takes line breaks and commas out, as a CSV sink needs; ``keep`` names
+    columns to carry along.
     """
     ok = F.col("is_header")
-    text = lambda c: sanitise(F.when(ok, F.col(c)).otherwise(F.lit("")))
+    tidy = sanitise if clean else (lambda c: c)
+    text = lambda c: tidy(F.when(ok, F.col(c)).otherwise(F.lit("")))
+    bare = F.trim(F.col("raw"))
     return parsed.select(
         F.coalesce(F.when(ok, F.col("ts")), F.col(arrived)).alias("ts"),
         text("host").alias("host"),
@@ -82,6 +88,7 @@ def collected_events(parsed: DataFrame, os_name: str, source: str, arrived: str
         F.lit(source).alias("source"),
         text("process").alias("process"),
         text("pid").alias("pid"),
-        sanitise(F.when(ok, F.col("message")).otherwise(F.trim(F.col("raw")))).alias("message"),
-        sanitise(F.when(ok, F.col("raw")).otherwise(F.trim(F.col("raw")))).alias("raw"),
+        tidy(F.when(ok, F.col("message")).otherwise(bare)).alias("message"),
+        tidy(F.when(ok, F.col("raw")).otherwise(bare)).alias("raw"),
+        *keep,
     )
