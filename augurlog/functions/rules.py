@@ -25,9 +25,96 @@ from pyspark.sql import functions as F
 FLAGS = "(?iuUd)"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Case-insensitive search; null text does not match."""
-    return F.coalesce(text.rlike(FLAGS + pattern), F.lit(False))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def match_sql(text: str, pattern: str, lowered: str | None = None) -> str:
+    """SQL for a case-insensitive search in ``text``; null text does not match.
+
+    Most log lines match nothing, so a substring test runs before the regex: a text
+    that holds none of the literals a match must contain is settled without it.
+    Texts with characters outside ASCII go to the regex directly, as some of those
+    fold to ASCII letters there but not in ``lower``.
+    """
+    found = f"rlike({text}, {quoted(FLAGS + pattern)})"
+    must = literals(pattern)
+    if must:
+        low = lowered or f"lower({text})"
+        holds = " OR ".join(f"contains({low}, {quoted(m)})" for m in must)
+        found = f"((octet_length({text}) <> length({text}) OR {holds}) AND {found})"
+    return f"coalesce({found}, false)"
+
+
+def matches(text: str, pattern: str, lowered: str | None = None) -> Column:
+    """``match_sql`` as a column; ``text`` and ``lowered`` are column names."""
+    return F.expr(match_sql(text, pattern, lowered))
+
+
+def literals(pattern: str) -> list[str] | None:
+    """Lower-case substrings of which any match holds at least one; None if unknown."""
+    longest = [max(_literal_runs(a), key=len, default="") for a in _split_top_level(pattern, "|")]
+    if any(len(run) < 2 for run in longest):
+        return None
+    return list(dict.fromkeys(longest))
+
+
+def _literal_runs(alternative: str) -> list[str]:
+    """Runs of plain characters that every match of one alternative contains."""
+    runs, run, i = [], "", 0
+
+    def end() -> None:
+        nonlocal run
+        runs.append(run)
+        run = ""
+
+    while i < len(alternative):
+        ch = alternative[i]
+        if ch == "\\":
+            following = alternative[i + 1]
+            if following.isalnum():
+                end()
+            else:
+                run += following
+            i += 2
+            continue
+        if ch in "([":
+            end()
+            i = _group_end(alternative, i)
+            continue
+        if ch in "?*{":
+            run = run[:-1]
+            end()
+            if ch == "{":
+                i = alternative.index("}", i)
+        elif ch in "+.^$":
+            end()
+        else:
+            run += ch.lower()
+        i += 1
+    end()
+    return runs
+
+
+def _group_end(pattern: str, start: int) -> int:
+    """Index after the group or class that opens at ``start``."""
+    depth, in_class, i = 0, False, start
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        i += 1
+        if depth == 0 and not in_class:
+            return i
+    raise ValueError(f"unclosed group in {pattern!r}")
 
 
 def _split_top_level(pattern: str, separator: str) -> list[str]:

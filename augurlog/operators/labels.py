@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect, dialect as as_dialect
-from augurlog.functions.rules import chains, decomposable, matches
+from augurlog.functions.rules import chains, decomposable, match_sql, matches, quoted
 from augurlog.functions.text import line_text
-from augurlog.operators.windows import KEYS, bucketed, create_windows, line_position, require
+from augurlog.operators.windows import KEYS, bucketed, grouped_lines, line_position, merge_groups, require
 from augurlog.session import materialise
 
 NORMAL = "NORMAL"
 
 
-def label_of_text(text: Column, rules) -> Column:
-    """First matching rule over a whole text; ``NORMAL`` if none or no text."""
-    out = F.lit(NORMAL)
-    for name, pattern in reversed(list(rules)):
-        out = F.when(matches(text, pattern), F.lit(name)).otherwise(out)
-    return out
+def label_of_text(text: str, rules) -> Column:
+    """First matching rule over a whole text column; ``NORMAL`` if none or no text."""
+    return _first_of([(name, match_sql(text, pattern)) for name, pattern in rules])
+
+
+def _first_of(arms: list[tuple[str, str]]) -> Column:
+    if not arms:
+        return F.lit(NORMAL)
+    cases = " ".join(f"WHEN {test} THEN {quoted(name)}" for name, test in arms)
+    return F.expr(f"CASE {cases} ELSE {quoted(NORMAL)} END")
 
 
 def with_flag(df: DataFrame) -> DataFrame:
@@ -33,7 +37,7 @@ def label_text(windows: DataFrame, dialect: str | Dialect = "linux", text_col: s
     """Label windows that already carry their text."""
     require(windows, text_col)
     d = as_dialect(dialect)
-    return with_flag(windows.withColumn("window_label", label_of_text(F.col(text_col), d.rules)))
+    return with_flag(windows.withColumn("window_label", label_of_text(f"`{text_col}`", d.rules)))
 
 
 def _three_part(d: Dialect):
@@ -51,49 +55,51 @@ def _middle_open(i: int, j: int) -> Column:
     The outermost B positions settle most windows: one of them is between, or all
     of them are on one side.
     """
-    a, z = F.col(f"_r{i}_{j}_a_min"), F.col(f"_r{i}_{j}_z_max")
-    b_lo, b_hi = F.col(f"_r{i}_{j}_b_min"), F.col(f"_r{i}_{j}_b_max")
-    return F.coalesce((a < z) & (b_lo <= a) & (b_hi >= z), F.lit(False))
+    t = f"_r{i}_{j}"
+    return F.expr(
+        f"coalesce({t}_a_min < {t}_z_max AND {t}_b_min <= {t}_a_min AND {t}_b_max >= {t}_z_max, false)"
+    )
 
 
-def _chain_hit(i: int, j: int, atoms: list[str]) -> Column:
-    c = lambda name: F.col(f"_r{i}_{j}_{name}")
+def _chain_hit(i: int, j: int, atoms: list[str]) -> list[str]:
+    """Tests of which one holds when the parts stand in order across lines."""
+    t = f"_r{i}_{j}"
     if len(atoms) == 1:
-        return F.lit(False)
+        return []
     if len(atoms) == 2:
-        return F.coalesce(c("a_min") < c("z_max"), F.lit(False))
-    between = lambda b: (c("a_min") < b) & (b < c("z_max"))
-    tests = [
-        c("ab_min") < c("z_max"),
-        c("a_min") < c("bz_max"),
-        between(c("b_min")),
-        between(c("b_max")),
+        return [f"{t}_a_min < {t}_z_max"]
+    return [
+        f"{t}_ab_min < {t}_z_max",
+        f"{t}_a_min < {t}_bz_max",
+        f"({t}_a_min < {t}_b_min AND {t}_b_min < {t}_z_max)",
+        f"({t}_a_min < {t}_b_max AND {t}_b_max < {t}_z_max)",
+        f"_mid{i}_{j}",
     ]
-    out = F.coalesce(F.col(f"_mid{i}_{j}"), F.lit(False))
-    for t in tests:
-        out = out | F.coalesce(t, F.lit(False))
-    return out
 
 
 def _resolve_middles(windows: DataFrame, lines: DataFrame, width: str, d: Dialect) -> DataFrame:
     """Add ``_mid{i}_{j}`` for three-part chains.
 
     Only windows left open by the outermost positions are looked up again, and
-    only if there are any: a semi-join of the lines that hold the middle part
-    against one narrow row per open window.
+    only if there are any: the lines that hold the middle part are joined with one
+    narrow row per open window.
     """
-    for i, j, atoms in _three_part(d):
+    parts = _three_part(d)
+    if not parts:
+        return windows
+    is_open = windows.agg(*[F.max(_middle_open(i, j)) for i, j, _ in parts]).first()
+    for (i, j, atoms), found in zip(parts, is_open):
         flag = f"_mid{i}_{j}"
+        if not found:
+            windows = windows.withColumn(flag, F.lit(False))
+            continue
         open_windows = windows.where(_middle_open(i, j)).select(
             *KEYS, F.col(f"_r{i}_{j}_a_min").alias("_a"), F.col(f"_r{i}_{j}_z_max").alias("_z")
         )
-        if open_windows.isEmpty():
-            windows = windows.withColumn(flag, F.lit(False))
-            continue
-        cut = bucketed(lines, width)
-        text = line_text(F.col("process"), F.col("message"))
         inner = (
-            cut.where(matches(text, atoms[1]))
+            bucketed(lines, width)
+            .withColumn("_line", line_text(F.col("process"), F.col("message")))
+            .where(matches("_line", atoms[1]))
             .select(*KEYS, line_position(F.col("ts"), F.col("line_no")).alias("_pos"))
             .join(open_windows, KEYS)
             .where((F.col("_a") < F.col("_pos")) & (F.col("_pos") < F.col("_z")))
@@ -121,15 +127,18 @@ def label_windows(
     bad = [name for name, pattern in d.rules if not decomposable(pattern)]
     if bad:
         raise ValueError(f"rules {bad} need the joined text; use window_text + label_text")
-    windows = create_windows(lines, width, d, processes, keywords=keywords, rules=True)
-    if _three_part(d):
-        windows = _resolve_middles(materialise(windows, "windows"), lines, width, d)
-    label = F.lit(NORMAL)
-    for i, (name, pattern) in reversed(list(enumerate(d.rules))):
-        hit = F.col(f"_rule{i}")
+    # One pass over the lines; written, because the table of top processes, the
+    # windows and the test for open chains all start from it.
+    grouped = materialise(grouped_lines(lines, width, d, keywords, rules=True), "grouped")
+    windows = merge_groups(grouped, d, processes, keywords, rules=True)
+    windows = _resolve_middles(windows, lines, width, d)
+    arms = []
+    for i, (name, pattern) in enumerate(d.rules):
+        tests = [f"_rule{i}"]
         for j, atoms in enumerate(chains(pattern)):
-            hit = hit | _chain_hit(i, j, atoms)
-        label = F.when(hit, F.lit(name)).otherwise(label)
+            tests += [f"coalesce({t}, false)" for t in _chain_hit(i, j, atoms)]
+        arms.append((name, " OR ".join(tests)))
+    label = _first_of(arms)
     labelled = with_flag(windows.withColumn("window_label", label))
     return labelled.select(*[c for c in labelled.columns if not c.startswith("_")])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect, dialect as as_dialect
-from augurlog.functions.rules import chains, matches
+from augurlog.functions.rules import chains, match_sql
 from augurlog.functions.text import blank_if_null, line_text
 from augurlog.functions.timestamps import epoch_micros, floor_bucket, width_seconds
 
@@ -52,41 +52,34 @@ def line_position(ts: Column, line_no: Column) -> Column:
 
 def keyword_counts(d: Dialect) -> list[Column]:
     """Per keyword: how many messages match it (once per line)."""
-    return [F.count_if(matches(F.col("message"), p)).alias(k) for k, p in d.keywords.items()]
-
-
-def rule_aggregates(d: Dialect) -> tuple[list[Column], list[Column]]:
-    """Aggregates that decide every rule for a window: (per line group, merge)."""
-    text = line_text(F.col("process"), F.col("message"))
-    pos = line_position(F.col("ts"), F.col("line_no"))
-    first, merged, seen = [], [], set()
+    return [
+        F.expr(f"count_if({match_sql('message', p, '_low_message')})").alias(k) for k, p in d.keywords.items()
+    ]
 
-    def add(alias: str, column: Column, merge) -> None:
-        if alias not in seen:
-            seen.add(alias)
-            first.append(column.alias(alias))
-            merged.append(merge(alias).alias(alias))
 
+def rule_aggregates(d: Dialect) -> dict[str, tuple[str, str]]:
+    """What decides every rule for a window: name -> (merging function, SQL over lines)."""
+    match = lambda pattern: match_sql("_line", pattern, "_low_line")
+    out = {}
     for i, (_, pattern) in enumerate(d.rules):
-        add(f"_rule{i}", F.max(matches(text, pattern)), F.max)
+        out[f"_rule{i}"] = ("max", match(pattern))
         for j, atoms in enumerate(chains(pattern)):
-            if len(atoms) == 1:
-                continue
-            for name, part, fn in _chain_parts(i, j, atoms):
-                add(name, fn(F.when(matches(text, part), pos)), fn)
-    return first, merged
+            if len(atoms) > 1:
+                for name, part, fn in _chain_parts(i, j, atoms):
+                    out[name] = (fn, f"CASE WHEN {match(part)} THEN _pos END")
+    return out
 
 
 def _chain_parts(i: int, j: int, atoms: list[str]):
     """(alias, pattern, aggregate) needed to follow one chain across lines."""
     tag = f"_r{i}_{j}"
-    yield f"{tag}_a_min", atoms[0], F.min
-    yield f"{tag}_z_max", atoms[-1], F.max
+    yield f"{tag}_a_min", atoms[0], "min"
+    yield f"{tag}_z_max", atoms[-1], "max"
     if len(atoms) == 3:
-        yield f"{tag}_ab_min", ".*".join(atoms[:2]), F.min
-        yield f"{tag}_bz_max", ".*".join(atoms[1:]), F.max
-        yield f"{tag}_b_min", atoms[1], F.min
-        yield f"{tag}_b_max", atoms[1], F.max
+        yield f"{tag}_ab_min", ".*".join(atoms[:2]), "min"
+        yield f"{tag}_bz_max", ".*".join(atoms[1:]), "max"
+        yield f"{tag}_b_min", atoms[1], "min"
+        yield f"{tag}_b_max", atoms[1], "max"
 
 
 def grouped_lines(
@@ -96,9 +89,18 @@ def grouped_lines(
     aggs = [F.count("*").alias("_n")]
     if keywords:
         aggs += keyword_counts(d)
+    cut = bucketed(lines, width)
+    if keywords:
+        cut = cut.withColumn("_low_message", F.lower("message"))
     if rules:
-        aggs += rule_aggregates(d)[0]
-    return bucketed(lines, width).groupBy(*KEYS, "process").agg(*aggs)
+        aggs += [F.expr(f"{fn}({sql})").alias(name) for name, (fn, sql) in rule_aggregates(d).items()]
+        cut = cut.withColumns(
+            {
+                "_line": line_text(F.col("process"), F.col("message")),
+                "_pos": line_position(F.col("ts"), F.col("line_no")),
+            }
+        ).withColumn("_low_line", F.lower("_line"))
+    return cut.groupBy(*KEYS, "process").agg(*aggs)
 
 
 def top_processes(grouped: DataFrame, n: int = packs.TOP_PROCESSES) -> DataFrame:
@@ -132,7 +134,13 @@ def create_windows(
     ``processes`` (the list a model was fitted with) it covers that list instead.
     """
     d = as_dialect(dialect)
-    grouped = grouped_lines(lines, width, d, keywords, rules)
+    return merge_groups(grouped_lines(lines, width, d, keywords, rules), d, processes, keywords, rules)
+
+
+def merge_groups(
+    grouped: DataFrame, d: Dialect, processes: list[str] | None = None, keywords: bool = True, rules: bool = False
+) -> DataFrame:
+    """Second aggregation: the per-process rows of a bucket become its window."""
     entry = F.struct("process", "_n")
     if processes is None:
         top = top_processes(grouped).where(F.col("process") != "").select("source_file", "process", F.lit(True).alias("_top"))
@@ -146,10 +154,10 @@ def create_windows(
         F.map_from_entries(F.collect_list(kept)).alias("proc_counts"),
     ]
     if keywords:
-        aggs += [F.sum(k).alias(k) for k in d.keywords]
+        aggs += [F.expr(f"sum({k})").alias(k) for k in d.keywords]
         aggs.append(F.count("*").alias("kw_unique_procs"))
     if rules:
-        aggs += rule_aggregates(d)[1]
+        aggs += [F.expr(f"{fn}({name})").alias(name) for name, (fn, _) in rule_aggregates(d).items()]
     return grouped.groupBy(*KEYS).agg(*aggs)
 
 

@@ -15,7 +15,7 @@ from augurlog.functions.text import example_text
 from augurlog.operators import alerts, evaluate, explain, labels, model, sequences, targets, tfidf, trends, windows
 from augurlog.operators.windows import KEYS
 from augurlog.plans import pipeline
-from augurlog.session import materialise, scratch_path
+from augurlog.session import materialise, scratch_path, spread
 from augurlog.sources import parse, tables
 from augurlog.sources.event_lines import event_lines, rendered_lines, rendered_year
 from augurlog.sources.logfiles import read_logs
@@ -41,6 +41,10 @@ def lines(spark, sf, d="linux"):
     return event_lines(spark, sf, d)
 
 
+def documents(spark, sf):
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+
+
 def flagged_lines(spark, sf):
     """Lines with a line-level truth flag (about one in a hundred)."""
     return lines(spark, sf).withColumn("is_anomaly", (F.col("line_no") % 97 == 5).cast("int"))
@@ -224,7 +228,7 @@ def label_window_text(spark, sf):
 
 
 def label_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf)
     return labels.label_text(docs, "windows", "text").select("doc_id", "window_label", "window_is_anomaly")
 
 
@@ -390,7 +394,7 @@ def tfidf_windows(spark, sf):
 
 
 def tfidf_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf)
     counts = tfidf.text_term_counts(docs, ["doc_id"], "text")
     vocab = tfidf.vocabulary(counts, docs.count(), 2, 50_000)
     return tfidf.weights(counts, vocab, ["doc_id"]).select("doc_id", "term", "tf", r6("weight").alias("weight"))

@@ -71,3 +71,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a size check; beyond it a shuffled join is planned."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input of few splits over all cores before per-row work.
+
+    A small table in one file is read by one task.  Inputs with at least as many
+    partitions as cores - any large table - are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -7,8 +7,10 @@ id.  ``sql_lines`` states the same projection for the SQL side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from augurlog.functions.rules import quoted
+from augurlog.session import spread
 
 SOURCES = 4
 SPECIAL_EVERY = 131
@@ -66,30 +68,32 @@ def rendered_year() -> int:
     return 2024
 
 
-def _texts(d: str) -> Column:
-    pick = lambda texts, i: F.element_at(F.array(*[F.lit(t) for t in texts]), (i + 1).cast("int"))
-    spot = F.col("event_id") % SPECIAL_EVERY
-    calm = pick(BENIGN[d], F.col("event_id") % len(BENIGN[d]))
-    return F.when(spot < len(SPECIAL[d]), pick(SPECIAL[d], F.least(spot, F.lit(len(SPECIAL[d]) - 1)))).otherwise(calm)
+def _array(texts: list[str]) -> str:
+    return "array(" + ", ".join(quoted(t) for t in texts) + ")"
+
+
+def _message(d: str) -> str:
+    special, benign = SPECIAL[d], BENIGN[d]
+    return f"""concat(CASE WHEN event_id % {SPECIAL_EVERY} < {len(special)}
+        THEN try_element_at({_array(special)}, int(event_id % {SPECIAL_EVERY}) + 1)
+        ELSE element_at({_array(benign)}, int(event_id % {len(benign)}) + 1) END, ' #', event_id % 97)"""
 
 
 def event_lines(spark: SparkSession, sf_dir: str, dialect: str = "linux") -> DataFrame:
-    """``source_file, line_no, ts, host, process, pid, message, event_id, value``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    host = F.concat(F.lit("host"), (F.col("user_id") % SOURCES).cast("string"))
-    name = F.lit("other")
-    for kind, process in PROCESSES[dialect].items():
-        name = F.when(F.col("event_type") == kind, F.lit(process)).otherwise(name)
-    # some ids get a numbered variant, so there are more processes than places
-    variant = F.when(F.col("event_id") % 5 == 0, F.concat(name, F.lit("_"), (F.col("event_id") % 17).cast("string")))
-    return events.select(
-        host.alias("source_file"),
-        F.col("event_id").alias("line_no"),
-        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"),
-        host.alias("host"),
-        F.coalesce(variant, name).alias("process"),
-        (F.col("event_id") % 1000 + 100).cast("string").alias("pid"),
-        F.concat(_texts(dialect), F.lit(" #"), (F.col("event_id") % 97).cast("string")).alias("message"),
+    """``source_file, line_no, ts, host, process, pid, message, value``."""
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").drop("props"), "event_id")
+    host = f"concat('host', user_id % {SOURCES})"
+    kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PROCESSES[dialect].items())
+    name = f"CASE event_type {kinds} ELSE 'other' END"
+    return events.selectExpr(
+        f"{host} AS source_file",
+        "event_id AS line_no",
+        "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ) AS ts",
+        f"{host} AS host",
+        # some ids get a numbered variant, so there are more processes than places
+        f"CASE WHEN event_id % 5 = 0 THEN concat({name}, '_', event_id % 17) ELSE {name} END AS process",
+        "CAST(event_id % 1000 + 100 AS STRING) AS pid",
+        f"{_message(dialect)} AS message",
         "value",
     )
 
@@ -98,23 +102,17 @@ def rendered_lines(spark: SparkSession, sf_dir: str, dialect: str = "linux") ->
     """``source_file, line_no, raw``: the lines as a log file holds them.
 
     Some lines have no pid, some are free text; servicing logs get continuation
-    lines (a line without header follows every seventh event).
+    lines (every seventh event is a line without header).
     """
     lines = event_lines(spark, sf_dir, dialect)
     if dialect == "windows":
-        head = F.concat(
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(", Info                  "),
-            F.col("process"), F.lit("    "), F.col("message"),
-        )
-        raw = F.when(F.col("line_no") % 7 == 3, F.concat(F.lit("CSIPERF:TXCOMMIT;"), F.col("line_no").cast("string")))
-        return lines.select("source_file", "line_no", F.coalesce(raw, head).alias("raw"))
-    pid = F.when(F.col("line_no") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("["), F.col("pid"), F.lit("]")))
-    head = F.concat(
-        F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" "), F.col("process"), pid,
-        F.lit(": "), F.col("message"),
-    )
-    raw = F.when(F.col("line_no") % 41 == 7, F.concat(F.lit("-- marker "), F.col("line_no").cast("string")))
-    return lines.select("source_file", "line_no", F.coalesce(raw, head).alias("raw"))
+        raw = """CASE WHEN line_no % 7 = 3 THEN concat('CSIPERF:TXCOMMIT;', line_no)
+            ELSE concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ', Info                  ', process, '    ', message) END"""
+    else:
+        raw = """CASE WHEN line_no % 41 = 7 THEN concat('-- marker ', line_no)
+            ELSE concat(date_format(ts, 'MMM dd HH:mm:ss'), ' ', host, ' ', process,
+                        CASE WHEN line_no % 3 = 0 THEN '' ELSE concat('[', pid, ']') END, ': ', message) END"""
+    return lines.selectExpr("source_file", "line_no", f"{raw} AS raw")
 
 
 def _quoted(texts: list[str]) -> str:

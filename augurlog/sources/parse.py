@@ -17,37 +17,38 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
-def is_header(raw: Column, d: Dialect) -> Column:
-    return F.coalesce(raw.rlike(LINE_FLAGS + d.line_pattern), F.lit(False))
+def header_fields(raw: Column, d: Dialect) -> Column:
+    """All groups of the line pattern as one array; a one-element array if none match.
+
+    One regex pass per line: a match is rewritten to its groups with line feeds
+    between them and split there (a line holds no line feed, so this is exact).
+    """
+    groups = 4 if d.carry_forward else 5
+    rewritten = F.regexp_replace(raw, LINE_FLAGS + d.line_pattern, "\n".join(f"${i + 1}" for i in range(groups)))
+    return F.split(rewritten, "\n", groups)
 
 
-def line_fields(raw: Column, d: Dialect) -> dict[str, Column]:
-    """Fields of one line; every field but ``raw`` is ``""`` when it does not parse.
+def with_fields(rows: DataFrame, d: Dialect) -> DataFrame:
+    """Add ``is_header`` and the fields to a table with ``raw``.
 
-    ``regexp_extract`` gives ``""`` both for no match and for an absent group.
+    Every field is ``""`` when the line does not parse (carry-forward dialects keep
+    the line as message); an absent pid is ``""``.
     """
-    part = lambda i: F.regexp_extract(raw, LINE_FLAGS + d.line_pattern, i)
+    cut = rows.withColumn("_f", header_fields(F.col("raw"), d))
+    ok = F.coalesce(F.size("_f") > 1, F.lit(False))
+    part = lambda i: F.when(ok, F.col("_f")[i]).otherwise(F.lit(""))
     if d.carry_forward:
-        header = is_header(raw, d)
-        return {
-            "timestamp": strip(part(1)),
+        fields = {
+            "timestamp": strip(part(0)),
             "host": F.lit(d.fixed_host),
-            "process": strip(part(3)),
+            "process": strip(part(2)),
             "pid": F.lit(""),
-            "message": F.when(header, strip(part(4))).otherwise(strip(raw)),
+            "message": strip(F.when(ok, F.col("_f")[3]).otherwise(F.col("raw"))),
         }
-    return {
-        "timestamp": part(1),
-        "host": part(2),
-        "process": part(3),
-        "pid": part(4),
-        "message": part(5),
-    }
-
-
-def with_fields(rows: DataFrame, d: Dialect) -> DataFrame:
-    """Add the fields and ``is_header`` to a table with ``raw``."""
-    return rows.withColumn("is_header", is_header(F.col("raw"), d)).withColumns(line_fields(F.col("raw"), d))
+    else:
+        names = ("timestamp", "host", "process", "pid", "message")
+        fields = {name: part(i) for i, name in enumerate(names)}
+    return cut.withColumns({"is_header": ok, **fields}).drop("_f")
 
 
 def parse_lines(raw_lines: DataFrame, d: Dialect) -> DataFrame:

@@ -129,8 +129,7 @@ def live_windows(events: DataFrame, model: Model, dialect: str | Dialect, width:
     """
     d = as_dialect(dialect)
     procs, _ = expected_inputs(model.features)
-    message = F.coalesce("message", F.lit(""))
-    counts = [F.count_if(matches(message, p)).alias(k) for k, p in d.keywords.items()]
+    counts = [F.count_if(matches("message", p)).alias(k) for k, p in d.keywords.items()]
     counts += [F.count_if(F.col("process") == p).alias(f"cnt_proc_{p}") for p in procs]
     return (
         _as_lines(events)
