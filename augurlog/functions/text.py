@@ -25,17 +25,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def bigrams(words: Column) -> Column:
-    """Adjacent pairs of an array of tokens, joined by a blank."""
-    n = F.size(words)
-    return F.when(
-        n > 1,
-        F.zip_with(
-            F.slice(words, F.lit(1), n - 1),
-            F.slice(words, F.lit(2), n - 1),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def first_token(lowered: Column) -> Column:
+    """First token of a lower-case text; ``""`` if it has none."""
+    return F.regexp_extract(lowered, TOKEN, 0)
+
+
+def last_token(lowered: Column) -> Column:
+    """Last token of a lower-case text, found from its end; ``""`` if it has none."""
+    return F.reverse(F.regexp_extract(F.reverse(lowered), TOKEN, 0))
+
+
+def terms_of(words: Column, ngram_max: int) -> Column:
+    """A struct per word: the word ``a`` and, for pairs, the word after it ``b``."""
+    following = F.slice(words, 2, 1 << 30) if ngram_max > 1 else F.array().cast("array<string>")
+    return F.arrays_zip(words.alias("a"), following.alias("b"))
 
 
 def sanitise(col: Column) -> Column:

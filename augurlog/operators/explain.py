@@ -90,14 +90,22 @@ def top_features(phi: DataFrame, absent: DataFrame, k: int = 5) -> DataFrame:
     """
     # one row: the ordered constants, at most one per model feature
     ordered = absent.agg(_by_size(F.collect_list(F.struct("feature", "phi"))).alias("c")).scalar()
-    own = phi.groupBy(*KEYS).agg(F.collect_list(F.struct("feature", "phi")).alias("_own"))
-    staged = own.withColumn("_const", ordered).withColumn("_names", F.transform("_own", lambda s: s["feature"]))
+    own = phi.groupBy(*KEYS).agg(
+        F.collect_list(F.struct("feature", "phi")).alias("_own"), F.collect_list("feature").alias("_names")
+    )
+    staged = own.withColumn("_const", ordered)
     near = F.slice("_const", F.lit(1), F.size("_own") + k)
-    free = F.slice(F.array_except(F.transform(near, lambda s: s["feature"]), F.col("_names")), 1, k)
-    missing = F.filter(near, lambda s: F.array_contains(free, s["feature"]))
+    name = lambda s: s["feature"]
+    free = F.slice(F.array_except(F.transform(near, name), F.col("_names")), 1, k)
+    missing = _bind(free, lambda names: F.filter(near, lambda s: F.array_contains(names, name(s))))
     return staged.select(*KEYS, F.slice(_by_size(F.concat("_own", missing)), 1, k).alias("top"))
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _pretty(feature: Column) -> Column:
     quoted = F.concat(F.lit('text:"'), F.substring_index(feature, "txt:", -1), F.lit('"'))
     return F.when(feature.startswith("txt:"), quoted).otherwise(feature)

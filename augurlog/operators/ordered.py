@@ -15,6 +15,8 @@ from augurlog.functions.timestamps import epoch_micros
 
 # Lines of one instant are cut into blocks of this many line numbers.
 LINE_BLOCK = 1 << 16
+# Most value ranges of a running total; every range is one group of one task.
+MAX_BINS = 512
 
 
 def value_cuts(df: DataFrame, value: str, bins: int) -> list[float]:
@@ -48,7 +50,7 @@ def running_totals(
     added.  The cut points are fixed before the plan is built, so both branches
     see the same ranges.
     """
-    bins = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = bins or min(MAX_BINS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = value_cuts(df, value, bins)
     binned = df.withColumn("_bin", bin_of(F.col(value), cuts))
     order = F.col(value).desc() if descending else F.col(value).asc()
@@ -141,18 +143,24 @@ def previous_value(
         (["_slice"], ["_ts", "_block"]),
         ([], ["_slice"]),
     ]
-    linked = []
-    current = staged
-    for depth, (run, order) in enumerate(levels):
+    linked, current = [], staged
+    for run, order in levels:
         part = Window.partitionBy(*keys, *run)
-        w = part.orderBy(*order)
-        seen = current.withColumn("_prev", F.lag("_last").over(w))
-        linked.append(seen.where(F.col("_prev").isNotNull()).select(*keys, F.col("_prev").alias("prev"), F.col("_first").alias("next")))
-        if depth < len(levels) - 1:
-            at = F.struct(*order)
-            current = current.groupBy(*keys, *run).agg(
-                F.min_by("_first", at).alias("_first"), F.max_by("_last", at).alias("_last")
-            )
+        ordered = part.orderBy(*order)
+        # Both branches below start from this one shuffle, which Spark reuses.
+        seen = current.withColumns(
+            {
+                "_prev": F.lag("_last").over(ordered),
+                "_tail": F.last("_last").over(
+                    ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+                ),
+            }
+        )
+        linked.append(
+            seen.where(F.col("_prev").isNotNull()).select(*keys, F.col("_prev").alias("prev"), F.col("_first").alias("next"))
+        )
+        # the first row of a run stands for the run on the next level
+        current = seen.where(F.col("_prev").isNull()).select(*keys, *run, "_first", F.col("_tail").alias("_last"))
     out = linked[0]
     for more in linked[1:]:
         out = out.unionByName(more)

@@ -12,11 +12,11 @@ each window scaled to length 1.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augurlog.functions import packs
-from augurlog.functions.text import bigrams, line_text, tokens
+from augurlog.functions.text import first_token, last_token, line_text, terms_of, tokens
 from augurlog.functions.timestamps import width_seconds
 from augurlog.operators.ordered import previous_value
 from augurlog.operators.windows import KEYS, bucketed
@@ -28,15 +28,14 @@ def line_term_counts(
     """``source_file, bucket, term, tf`` from a line table."""
     cut = bucketed(lines, width)
     text = line_text(F.col("process"), F.col("message")) if with_process else F.col("message")
-    worded = cut.select(*KEYS, "ts", "line_no", tokens(text).alias("_words")).where(F.size("_words") > 0)
+    own = term_rows(cut, KEYS, text, ngram_max)
     if ngram_max < 2:
-        return _count(worded.select(*KEYS, F.explode("_words").alias("term")), KEYS)
-    own = worded.select(*KEYS, F.explode(F.concat(F.col("_words"), bigrams(F.col("_words")))).alias("term"))
-    ends = worded.select(
-        *KEYS, "ts", "line_no",
-        F.element_at("_words", 1).alias("first"),
-        F.element_at("_words", -1).alias("last"),
-    )
+        return _count(own, KEYS)
+    # Outer tokens only: this side shuffles two short words per line, not its text.
+    low = F.lower(text)
+    ends = cut.select(
+        *KEYS, "ts", "line_no", first_token(low).alias("first"), last_token(low).alias("last")
+    ).where(F.col("first") != "")
     border = previous_value(ends, KEYS, "ts", "line_no", "first", "last", width_seconds(width) * 1_000_000)
     pairs = border.select(*KEYS, F.concat_ws(" ", "prev", "next").alias("term"))
     return _count(own.unionByName(pairs), KEYS)
@@ -44,9 +43,21 @@ def line_term_counts(
 
 def text_term_counts(docs: DataFrame, keys: list[str], text_col: str, ngram_max: int = 2) -> DataFrame:
     """``keys, term, tf`` from rows that already carry their text."""
-    words = docs.select(*keys, tokens(F.col(text_col)).alias("_words"))
-    terms = F.col("_words") if ngram_max < 2 else F.concat(F.col("_words"), bigrams(F.col("_words")))
-    return _count(words.select(*keys, F.explode(terms).alias("term")), keys)
+    return _count(term_rows(docs, keys, F.col(text_col), ngram_max), keys)
+
+
+def term_rows(rows: DataFrame, keys: list[str], text: Column, ngram_max: int = 2) -> DataFrame:
+    """``keys, term``: one row per word and per adjacent pair of words.
+
+    Words are zipped with their follower and opened twice, which stays inside
+    generated code (array lambdas do not).
+    """
+    zipped = rows.select(*keys, tokens(text).alias("_words")).select(
+        *keys, F.explode(terms_of(F.col("_words"), ngram_max)).alias("_w")
+    )
+    # the pair is null after the last word
+    both = F.array("_w.a", F.concat("_w.a", F.lit(" "), "_w.b"))
+    return zipped.select(*keys, F.explode(both).alias("term")).where(F.col("term").isNotNull())
 
 
 def _count(terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,5 +88,6 @@ def weights(counts: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     kept = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
         "_w", F.col("tf") * F.col("idf")
     )
-    norms = kept.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return kept.join(norms, keys).select(*keys, "term", "tf", (F.col("_w") / F.col("_norm")).alias("weight"))
+    # a row key has at most as many terms as the vocabulary
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*keys)))
+    return kept.select(*keys, "term", "tf", (F.col("_w") / norm).alias("weight"))

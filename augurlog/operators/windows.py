@@ -218,24 +218,31 @@ def window_text(lines: DataFrame, width: str = packs.DEFAULT_WINDOW, slices: int
     )
 
 
-def window_heads(lines: DataFrame, width: str = packs.DEFAULT_WINDOW) -> DataFrame:
+def window_heads(lines: DataFrame, width: str = packs.DEFAULT_WINDOW, slices: int = 64) -> DataFrame:
     """The first ``EXAMPLE_CHARS`` characters of each window's text, as ``head``.
 
-    Every line adds at least four characters to the text (``": "`` and the
-    separator's share), so the first ``EXAMPLE_CHARS`` lines by time are always
-    enough.  The row limit reaches the map side as a window group limit.
+    Every line adds at least two characters, so the first ``EXAMPLE_CHARS`` lines by
+    time are always enough.  They are picked per slice of the window, then per
+    window; both limits also apply on the map side.
     """
-    rank = Window.partitionBy(*KEYS).orderBy("ts", "line_no")
+    n = packs.EXAMPLE_CHARS
+    step = max(1, width_seconds(width) * 1_000_000 // slices)
+    rank = lambda *extra: F.row_number().over(Window.partitionBy(*KEYS, *extra).orderBy("ts", "line_no"))
     text = line_text(F.col("process"), F.col("message"))
     first = (
         bucketed(lines, width)
-        .select(*KEYS, "ts", "line_no", F.substring(text, 1, packs.EXAMPLE_CHARS).alias("v"))
-        .withColumn("_rank", F.row_number().over(rank))
-        .where(F.col("_rank") <= packs.EXAMPLE_CHARS)
+        .select(
+            *KEYS, "ts", "line_no", F.substring(text, 1, n).alias("v"),
+            F.floor(epoch_micros(F.col("ts")) / F.lit(step)).alias("_slice"),
+        )
+        .withColumn("_in_slice", rank("_slice"))
+        .where(F.col("_in_slice") <= n)
+        .withColumn("_rank", rank())
+        .where(F.col("_rank") <= n)
     )
     items = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "v"))), lambda s: s["v"])
     return first.groupBy(*KEYS).agg(
-        F.substring(F.array_join(items, packs.TEXT_SEPARATOR), 1, packs.EXAMPLE_CHARS).alias("head")
+        F.substring(F.array_join(items, packs.TEXT_SEPARATOR), 1, n).alias("head")
     )
 
 

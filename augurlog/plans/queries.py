@@ -42,7 +42,7 @@ def lines(spark, sf, d="linux"):
 
 
 def documents(spark, sf):
-    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
 def flagged_lines(spark, sf):

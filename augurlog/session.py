@@ -77,7 +77,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input of few splits over all cores before per-row work.
 
     A small table in one file is read by one task.  Inputs with at least as many
-    partitions as cores - any large table - are left alone.
+    partitions as cores - any large table - are left alone.  For plain scans only:
+    the check plans ``df``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect
 from augurlog.functions.timestamps import general_timestamp, syslog_timestamp
+from augurlog.session import broadcast_if_small, materialise
 
 # "d": "." crosses everything but a line feed; "U": Unicode digits, words, blanks
 LINE_FLAGS = "(?Ud)"
@@ -104,7 +105,7 @@ def parse_timestamps(
     """Add ``ts``.  Syslog stamps carry no year: a file is read under ``year`` when
     more than ``gate`` of its stamps fail the general parse, else those stay null.
 
-    The share per file is one aggregated row per file, joined back.
+    The share per file is one narrow row per file, found first and joined back.
     """
     if d.timestamp_style == "iso":
         return lines.withColumn("ts", general_timestamp(F.col("timestamp")))
@@ -113,7 +114,7 @@ def parse_timestamps(
         (F.avg(F.col("_general").isNull().cast("double")) > gate).alias("_repair")
     )
     return (
-        staged.join(share, series)
+        staged.join(broadcast_if_small(materialise(share, "stamps")), series)
         .withColumn("ts", gated_timestamp(F.col("_general"), F.col("timestamp"), F.col("_repair"), d, year))
         .drop("_general", "_repair")
     )
