@@ -120,7 +120,8 @@ def label_windows(
     """Windows with features, ``window_is_anomaly`` and ``window_label``.
 
     Same result as joining each window's lines and searching the joined text,
-    without joining them.  Rules that ``rules.chains`` cannot read line by line
+    without joining them.  ``lines`` should be a written table (``read_logs`` gives
+    one): a filter on fields still being parsed would repeat the parsing.  Rules that ``rules.chains`` cannot read line by line
     make this fail; use ``window_text`` and ``label_text`` for those.
     """
     d = as_dialect(dialect)

@@ -505,9 +505,11 @@ def live_collected(spark, sf):
 # --- whole pipeline -------------------------------------------------------------------------
 
 def early_warning(spark, sf):
-    """Parse, window, label, trends, targets and confirmed rule alerts in one plan."""
+    """Parse, window, label, trends, targets and confirmed rule alerts."""
     d = as_dialect("linux")
     parsed = parse.parse_timestamps(parse.parse_lines(rendered_lines(spark, sf), d), d, rendered_year())
+    # parsed once and written, as log files are; every later step reads the table
+    parsed = materialise(parsed.select("source_file", "line_no", "ts", "process", "message"), "parsed")
     labelled = labels.label_windows(parsed, WIDTH, d, processes=["kernel"])
     wide = windows.widen_processes(labelled, ["kernel"]).select(
         *KEYS, "lines", "cnt_proc_kernel", "kw_error", "window_is_anomaly", "window_label"
