@@ -54,19 +54,25 @@ def matches(text: str, pattern: str, lowered: str | None = None) -> Column:
 
 def literals(pattern: str) -> list[str] | None:
     """Lower-case substrings of which any match holds at least one; None if unknown."""
-    longest = [max(_literal_runs(a), key=len, default="") for a in _split_top_level(pattern, "|")]
-    if any(len(run) < 2 for run in longest):
-        return None
-    return list(dict.fromkeys(longest))
+    found = []
+    for alternative in _split_top_level(pattern, "|"):
+        options = [o for o in _required(alternative) if o]
+        if not options:
+            return None
+        # the option whose shortest member is longest rules out most texts
+        found += max(options, key=lambda o: min(map(len, o)))
+    return list(dict.fromkeys(found))
 
 
-def _literal_runs(alternative: str) -> list[str]:
-    """Runs of plain characters that every match of one alternative contains."""
-    runs, run, i = [], "", 0
+def _required(alternative: str) -> list[list[str]]:
+    """What every match of one alternative contains: each entry lists substrings of
+    which one is there (a plain run of characters, or the choices of a group)."""
+    options, run, i = [], "", 0
 
     def end() -> None:
         nonlocal run
-        runs.append(run)
+        if run:
+            options.append([run])
         run = ""
 
     while i < len(alternative):
@@ -81,7 +87,13 @@ def _literal_runs(alternative: str) -> list[str]:
             continue
         if ch in "([":
             end()
-            i = _group_end(alternative, i)
+            close = _group_end(alternative, i)
+            if ch == "(" and alternative[close : close + 1] not in ("?", "*", "{"):
+                inside = alternative[i + 1 : close - 1]
+                choices = None if inside.startswith("?") else literals(inside)
+                if choices:
+                    options.append(choices)
+            i = close
             continue
         if ch in "?*{":
             run = run[:-1]
@@ -94,7 +106,7 @@ def _literal_runs(alternative: str) -> list[str]:
             run += ch.lower()
         i += 1
     end()
-    return runs
+    return options
 
 
 def _group_end(pattern: str, start: int) -> int:

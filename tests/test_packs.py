@@ -1,5 +1,6 @@
 """Line patterns, keyword packs and rule packs on our own sample lines."""
 
+import random
 import re
 
 import pytest
@@ -130,6 +131,29 @@ def test_all_patterns_compile_and_prefilter_is_a_superset():
                 if rx.search(text) and must is not None:
                     assert any(m in text.lower() for m in must), (pattern, text)
     assert samples
+    assert literals(r"\b(curl|wget)\b") == ["curl", "wget"]
+    assert literals(r"(\\|\s*(bash|sh))\b") == ["\\", "bash", "sh"]
+    assert literals(r"\bfail(ed|ure)?\b") == ["fail"]
+    assert literals(r"timed? out") == ["time"]
+    assert literals(r"\d{4,}") is None and literals(r"a|\d") is None and literals(r"(ab)?") is None
+
+
+@pytest.mark.parametrize("name", list(DIALECTS))
+def test_prefilter_is_a_superset_on_random_texts(name):
+    rng = random.Random(name)
+    words = (
+        "ALERT exited abnormally sudo: USER=root curl wget https://h/x http://y run.sh | bash \\ /tmp/ CMD CRON[1] CBS failed to "
+        "store corrupt corrupted update failure HRESULT = 0x80070002 SFC found reboot pending USB reset panic cpu jetsam kill "
+        "PM response took 4000 ms memory pressure state: 3 disk0s1 error crashed signal 11 timed out time out manifest invalid"
+    ).split()
+    d = DIALECTS[name]
+    parts = [a for _, p in d.rules for c in chains(p) for a in c]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+        for pattern in [*d.keywords.values(), *[p for _, p in d.rules], *parts]:
+            must = literals(pattern)
+            if must is not None and re.search(pattern, text, re.I):
+                assert any(m in text.lower() for m in must), (pattern, text)
 
 
 def test_non_ascii_text_takes_the_regex(spark):
