@@ -9,7 +9,7 @@ from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect, dialect as as_dialect
 from augurlog.functions.rules import chains, decomposable, match_sql, matches, quoted
 from augurlog.functions.text import line_text
-from augurlog.operators.windows import KEYS, bucketed, grouped_lines, line_position, merge_groups, require
+from augurlog.operators.windows import KEYS, LINE_POSITION, bucketed, grouped_lines, merge_groups, require
 from augurlog.session import broadcast_if_small, materialise
 
 NORMAL = "NORMAL"
@@ -100,7 +100,7 @@ def _resolve_middles(windows: DataFrame, lines: DataFrame, width: str, d: Dialec
             bucketed(lines, width)
             .withColumn("_line", line_text(F.col("process"), F.col("message")))
             .where(matches("_line", atoms[1]))
-            .select(*KEYS, line_position(F.col("ts"), F.col("line_no")).alias("_pos"))
+            .select(*KEYS, F.expr(LINE_POSITION).alias("_pos"))
             .join(broadcast_if_small(open_windows), KEYS)
             .where((F.col("_a") < F.col("_pos")) & (F.col("_pos") < F.col("_z")))
             .groupBy(*KEYS)

@@ -44,10 +44,11 @@ def bucketed(lines: DataFrame, width: str = packs.DEFAULT_WINDOW) -> DataFrame:
     )
 
 
-def line_position(ts: Column, line_no: Column) -> Column:
-    """One number that orders lines by (time, line number)."""
-    micros = epoch_micros(ts).cast("decimal(19,0)")
-    return (micros * F.lit(10**16).cast("decimal(17,0)") + line_no.cast("decimal(17,0)")).cast("decimal(38,0)")
+# One number that orders lines by (time, line number).
+LINE_POSITION = (
+    "CAST(CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DECIMAL(19, 0)) * CAST(10000000000000000 AS DECIMAL(17, 0))"
+    " + CAST(line_no AS DECIMAL(17, 0)) AS DECIMAL(38, 0))"
+)
 
 
 def keyword_counts(d: Dialect) -> list[Column]:
@@ -66,7 +67,7 @@ def rule_aggregates(d: Dialect) -> dict[str, tuple[str, str]]:
         for j, atoms in enumerate(chains(pattern)):
             if len(atoms) > 1:
                 for name, part, fn in _chain_parts(i, j, atoms):
-                    out[name] = (fn, f"CASE WHEN {match(part)} THEN _pos END")
+                    out[name] = (fn, f"CASE WHEN {match(part)} THEN {LINE_POSITION} END")
     return out
 
 
@@ -94,12 +95,8 @@ def grouped_lines(
         cut = cut.withColumn("_low_message", F.lower("message"))
     if rules:
         aggs += [F.expr(f"{fn}({sql})").alias(name) for name, (fn, sql) in rule_aggregates(d).items()]
-        cut = cut.withColumns(
-            {
-                "_line": line_text(F.col("process"), F.col("message")),
-                "_pos": line_position(F.col("ts"), F.col("line_no")),
-            }
-        ).withColumn("_low_line", F.lower("_line"))
+        cut = cut.withColumn("_line", line_text(F.col("process"), F.col("message")))
+        cut = cut.withColumn("_low_line", F.lower("_line"))
     return cut.groupBy(*KEYS, "process").agg(*aggs)
 
 
