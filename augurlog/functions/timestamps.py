@@ -23,16 +23,10 @@ def width_seconds(width: str) -> int:
     return int(m.group(1)) * _UNITS[m.group(2).lower()]
 
 
-def bucket(ts: Column, width: str) -> Column:
-    """Start of the epoch-aligned bucket that holds ``ts`` (type is kept)."""
-    return F.window(ts, f"{width_seconds(width)} seconds")["start"]
-
-
 def floor_bucket(ts: Column, width: str) -> Column:
-    """As ``bucket``, as a plain scalar expression without the window operator.
+    """Start of the epoch-aligned bucket that holds ``ts`` (TIMESTAMP_NTZ in and out).
 
-    ``F.window`` may stand only once in a plan node; this form can be repeated.
-    Takes and gives TIMESTAMP_NTZ.
+    A plain scalar expression; ``F.window`` may stand only once in a plan node.
     """
     sec = width_seconds(width)
     epoch = F.unix_seconds(ts.cast("timestamp"))

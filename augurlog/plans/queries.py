@@ -7,6 +7,8 @@ are sparse.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -547,6 +549,17 @@ def svd_embedding(spark, sf):
     return pipeline.sequence_set(prepared, n_components=8, length=SEQ_LEN, max_features=2000)
 
 
+def _in_utc(query):
+    """Log times carry no zone; the engine reads them as UTC."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf)
+
+    return run
+
+
 def registry() -> dict:
     named = [
         early_warning, parse_syslog, parse_mac, parse_cbs_carry_forward, log_files_syslog, log_files_numbering,
@@ -569,4 +582,4 @@ def registry() -> dict:
     out["threshold_percentile"] = _threshold("percentile", percentile=0.99)
     out["threshold_pr_max"] = _threshold("pr_max")
     out["threshold_min_score"] = _threshold("min_score")
-    return out
+    return {name: _in_utc(query) for name, query in out.items()}

@@ -260,7 +260,7 @@ def alert_state(rule: AlertRule):
             values = _trend_row(history, rule.base)
             values["lines"] = float(r["lines"])
             z = rule.logit(values) + r["text_logit"]
-            score = 1.0 / (1.0 + math.exp(-z))
+            score = 1.0 / (1.0 + math.exp(-z)) if z >= 0 else math.exp(z) / (1.0 + math.exp(z))
             raw = int(score >= rule.threshold)
             ring = (ring + [raw])[-rule.k :]
             confirmed = int(len(ring) == rule.k and sum(ring) == rule.k)
