@@ -2,6 +2,35 @@
 
 from __future__ import annotations
 
+#: Words of a text, A-Z lower-cased only.
+WORDS = "list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{1}'), lambda x: x <> '')"
+NOT_SPACE = r"[\x20\x09-\x0D]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP8 = f"""
+WITH items AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {WORDS.format('text', NOT_WORD)} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, len(w) AS n, array_to_string(w, ' ') AS win FROM items WHERE len(w) BETWEEN 1 AND 12
+  UNION
+  SELECT item, 13, array_to_string(w[i:i + 12], ' ') FROM (SELECT item, w, unnest(range(1, len(w) - 11)) AS i FROM items WHERE len(w) >= 13)
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {WORDS.format('text', NOT_WORD)} AS w FROM documents
+), sizes AS (SELECT DISTINCT n FROM windows), spots AS (
+  SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)
+), found AS (
+  SELECT row, i, s.n, item FROM spots s JOIN windows v ON s.win = v.win AND s.n = v.n
+), hit AS (
+  SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM found) GROUP BY row
+), named AS (
+  SELECT row, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row, item FROM found) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op8_suffix_array_decontamination": OP8}
