@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurlog.llm import decontaminate, near_dedup
+from augurlog.llm import decontaminate, near_dedup, quality_crf
 from augurlog.llm.tables import table
 
 
@@ -20,5 +20,9 @@ def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op9_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
