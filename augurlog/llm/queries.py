@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurlog.llm import decontaminate, near_dedup, quality_crf
+from augurlog.llm import decontaminate, near_dedup, pii, quality_crf
 from augurlog.llm.tables import table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced; the key is a parameter of the operator."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="op1").select("doc_id", "text", "n_entities")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
