@@ -210,6 +210,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     return tc.with_columns(docs, text, compute, [(prefix + name, kind) for name, kind in FIELDS], keep)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without contaminated documents, columns unchanged; in place, without a shuffle."""
+    prefix = "hits_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return decontaminate(docs, benchmark, docs.columns, percent=percent, prefix=prefix).where(f"NOT `{prefix}contaminated`").select(docs.columns)
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard: int = SHARD) -> DataFrame:
     """(item_id, item_word, length, doc_id, doc_word) of the longest verbatim match of every item suffix.
 

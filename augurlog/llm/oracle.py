@@ -31,6 +31,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
+OP6 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, CAST(len({WORDS.format('text', NOT_SPACE)}) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source
+), b AS (SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) AS budget, sum(weight) AS all_weight FROM s
+), levels AS (  -- the level at which the k sources of least size for their weight are full
+  SELECT (budget - coalesce(sum(2 * source_size) OVER w, 0)) / (all_weight - coalesce(sum(weight) OVER w, 0)) AS level, 2.0 * source_size / weight AS own
+  FROM s, b WINDOW w AS (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), lev AS (SELECT coalesce(arg_min(level, own) FILTER (WHERE own >= level), max(own)) AS level FROM levels
+), t AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), level * weight) AS target FROM s, lev
+), f AS (
+  SELECT row, doc_id, size, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS words
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), i AS (
+  SELECT size, unnest([words / target, (source_size + words) / target]) AS fin FROM f WHERE target > 0 AND size > 0
+), r AS (SELECT fin, sum(sum(size)) OVER (ORDER BY fin) AS total FROM i GROUP BY fin
+), cut AS (SELECT coalesce(max(fin), 0) AS fin FROM r, b WHERE total <= budget)
+SELECT doc_id, size, source_size, target,
+  size * CASE WHEN target > 0 THEN CAST(words / target <= fin AS BIGINT) + CAST((source_size + words) / target <= fin AS BIGINT) ELSE 0 END AS taken
+FROM f, cut
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {"op8_suffix_array_decontamination": OP8}
+    return {"op6_weighted_fair_mix": OP6, "op8_suffix_array_decontamination": OP8}

@@ -217,7 +217,11 @@ def judged(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those of a quality below ``threshold``, columns unchanged."""
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without those of a quality below ``threshold``, columns unchanged.
+
+    ``labelled`` has the texts of the labelled documents (``docs`` itself unless given).
+    """
     name = tc.unused("quality_score", docs.columns)
-    return score(docs, train(docs, labels), docs.columns, name=name).where(F.col(name) >= threshold).select(docs.columns)
+    field = train(docs if labelled is None else labelled, labels)
+    return score(docs, field, docs.columns, name=name).where(F.col(name) >= threshold).select(docs.columns)
