@@ -11,9 +11,8 @@ Shape of the job, all as Spark joins and aggregates:
 * Equal sets fall into one class first, so exact copies cost one row each however many there are.
 * Only keys that at least two classes share on *both* sides are combined into table keys.
 * Within a table, members are compared with one leader (the smallest), never all with all.
-  Tables left with more than one component get further rounds of leaders, then, where still open,
-  an exact comparison in blocks of bounded size.  Comparisons found needless because their two
-  sides already belong to one component are skipped; no link between components is lost.
+  What is left with more than one component is compared exactly in blocks of bounded size, every
+  class once.  Comparisons within one component are skipped; no link between components is lost.
 * Sets are compared by 64-bit hashes of shingles.
 """
 
@@ -35,10 +34,10 @@ SHINGLE = 5
 ROWS = 4
 #: A linked pair shares no table with at most this chance.
 MISS = 5e-4
-#: Leaders per table in each round after the first, and the number of these rounds.
-LEADERS, ROUNDS = 8, 2
-#: Open members of a table are compared in blocks of this many.
-BLOCK = 128
+#: Leaders per table in each further round, and the most of these rounds.
+LEADERS, ROUNDS = 8, 3
+#: Clusters up to this many open classes are compared without further rounds, in blocks of BLOCK.
+LARGE, BLOCK = 10_000, 256
 
 _MULTIPLY = tc.seeds(5, 77) | np.uint64(1)
 
@@ -157,10 +156,11 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, bands: int) -> Dat
 
 
 def table_members(classes: DataFrame) -> DataFrame:
-    """(bucket, cls, n) of all tables in which at least two classes meet.
+    """(bucket, cls, n, c, head, hn) of all tables in which at least two classes meet.
 
-    A key that only one class has on its side can meet nobody, so it is left out before the two
-    collections are combined; this loses no meeting.
+    c is the number of classes in the table, head the smallest, hn its set size.  A key that only
+    one class has on its side can meet nobody, so it is left out before the two collections are
+    combined; this loses no meeting.
     """
 
     def shared(side: str) -> DataFrame:
@@ -168,82 +168,96 @@ def table_members(classes: DataFrame) -> DataFrame:
         twice = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         return each.join(twice, "key").groupBy("cls").agg(F.collect_list("key").alias(side))
 
-    pairs = shared("a").join(shared("b"), "cls").select("cls", F.explode("a").alias("ka"), "b").select("cls", F.explode("b").alias("kb"), "ka")
-    members = materialise(pairs.select("cls", F.xxhash64("ka", "kb").alias("bucket")), "table_keys")
-    met = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    return members.join(met, "bucket").select("bucket", "cls", "c")
+    both = shared("a").join(shared("b"), "cls").join(classes.select("cls", "n"), "cls")
+    pairs = both.select("cls", "n", F.explode("a").alias("ka"), "b").select("cls", "n", F.explode("b").alias("kb"), "ka")
+    keys = materialise(pairs.select("cls", "n", F.xxhash64("ka", "kb").alias("bucket")), "table_keys")
+    met = keys.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("cls", "n")).alias("h")).where("c > 1")
+    return keys.join(met, "bucket").select("bucket", "cls", "n", "c", F.col("h.cls").alias("head"), F.col("h.n").alias("hn"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y, xn, yn) whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the pairs (cls, n, head, hn): 100 * intersection >= percent * union of the full sets."""
+    small = F.col("cls") < F.col("head")
+    pairs = met.where("cls <> head").where(f"100 * least(n, hn) >= {percent} * greatest(n, hn)").select(
+        F.least("cls", "head").alias("x"), F.greatest("cls", "head").alias("y"),
+        F.when(small, F.col("n")).otherwise(F.col("hn")).alias("xn"), F.when(small, F.col("hn")).otherwise(F.col("n")).alias("yn"),
+    ).distinct()
     x = sets.select(F.col("cls").alias("x"), F.col("shingles").alias("xs"))
     y = sets.select(F.col("cls").alias("y"), F.col("shingles").alias("ys"))
     both = F.size(F.array_intersect("xs", "ys")).cast("long")
-    likely = pairs.where(f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
-    return likely.join(x, "x").join(y, "y").where(100 * both >= percent * (F.col("xn") + F.col("yn") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return pairs.join(x, "x").join(y, "y").where(100 * both >= percent * (F.col("xn") + F.col("yn") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links within pairs of blocks; ``blocks`` has (bucket, i, j, side, cls, root, shingles)."""
+def block_links(left: list[np.ndarray], right: list[np.ndarray], differ: np.ndarray, percent: int) -> np.ndarray:
+    """Index pairs of linked sets among those marked in ``differ``, by counting shared members."""
+    ln, rn = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    order = np.argsort(flat := np.concatenate(right), kind="stable")
+    values, owner = flat[order], np.repeat(np.arange(len(right)), rn)[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for i, own in enumerate(left):
+        lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        counts = hi - lo
+        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        common[i] = np.bincount(owner[at], minlength=len(right))
+    return np.argwhere(differ & (100 * common >= percent * (ln[:, None] + rn[None, :] - common)))
+
+
+def _open_links(open_members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between members of different components of what is still open, in blocks.
+
+    ``open_members`` has (cluster, cls, n, root).  Blocks hold neighbours by (root, size); pairs of
+    blocks within one component, or of sizes too different for a link, are left out.
+    """
+    place = Window.partitionBy("cluster").orderBy("root", "n", "cls")
+    placed = materialise(open_members.withColumn("block", F.floor((F.row_number().over(place) - 1) / block).cast("int")), "blocks")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    other = blocks.select("cluster", *[F.col(c).alias("o" + c) for c in ("block", "n0", "n1", "r0", "r1")])
+    meet = blocks.join(other, "cluster").where("block <= oblock").where(f"100 * n1 >= {percent} * on0 AND 100 * on1 >= {percent} * n0").where("NOT (r0 = r1 AND or0 = or1 AND r0 = or0)")
+    meet = materialise(meet.select("cluster", F.col("block").alias("i"), F.col("oblock").alias("j")), "block_pairs")
+    filled = placed.join(sets, "cls").select("cluster", "block", "cls", "root", "shingles")
+    sides = [filled.join(meet.withColumnRenamed(own, "block").withColumnRenamed(far, "far"), ["cluster", "block"]).select("cluster", *(("block", "far") if s == 0 else ("far", "block")), "cls", "root", "shingles", F.lit(s).alias("side")).toDF("cluster", "i", "j", "cls", "root", "shingles", "side") for s, own, far in ((0, "i", "j"), (1, "j", "i"))]
 
     def links(pdf):
         import pandas as pd
 
-        out = []
-        left = pdf[pdf.side == 0]
-        right = left if pdf.i.iloc[0] == pdf.j.iloc[0] else pdf[pdf.side == 1]
-        sets = [set(s) for s in right.shingles]
-        for cls, root, own in zip(left.cls, left.root, left.shingles, strict=True):
-            own = set(own)
-            for other, other_root, theirs in zip(right.cls, right.root, sets, strict=True):
-                if root != other_root and 100 * min(len(own), len(theirs)) >= percent * max(len(own), len(theirs)):
-                    common = len(own & theirs)
-                    if 100 * common >= percent * (len(own) + len(theirs) - common):
-                        out.append((cls, other))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return blocks.groupBy("bucket", "i", "j").applyInPandas(links, "u binary, v binary")
-
-
-def class_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, leaders: int = LEADERS, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """(node, root) of all classes with a link, complete over the pairs that meet in a table."""
-    members = materialise(members.join(sizes, "cls"), "members")
-
-    def compared(open_members: DataFrame, heads: DataFrame) -> DataFrame:
-        pairs = open_members.join(heads, "bucket").where("cls <> head")
-        if "root" in open_members.columns:
-            pairs = pairs.where("root <> head_root")
-        pairs = pairs.select(F.least("cls", "head").alias("x"), F.greatest("cls", "head").alias("y"), F.when(F.col("cls") < F.col("head"), F.col("n")).otherwise(F.col("hn")).alias("xn"), F.when(F.col("cls") < F.col("head"), F.col("hn")).otherwise(F.col("n")).alias("yn")).distinct()
-        return _confirmed(pairs, sets, percent)
-
-    # Every table of two is settled by its one pair.
-    first = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("h")).select("bucket", F.col("h.cls").alias("head"), F.col("h.n").alias("hn"))
-    links = materialise(compared(members, first), "links")
-    larger = members.where("c > 2").select("bucket", "cls", "n")
-    if larger.isEmpty():
-        return tables.components(links)
-    open_members = larger
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        differ = left.root.to_numpy()[:, None] != right.root.to_numpy()[None, :]
+        arrays = [[np.asarray(s, np.int64) for s in side.shingles] for side in (left, right)]
+        at = block_links(*arrays, differ, percent)
+        return pd.DataFrame({"u": left.cls.to_numpy()[at[:, 0]], "v": right.cls.to_numpy()[at[:, 1]]})
+
+    return sides[0].union(sides[1]).groupBy("cluster", "i", "j").applyInPandas(links, "u binary, v binary")
+
+
+def class_links(members: DataFrame, sets: DataFrame, percent: int, leaders: int = LEADERS, rounds: int = ROUNDS, large: int = LARGE, block: int = BLOCK) -> DataFrame:
+    """(node, root) of all classes with a link; no component is split that links found by the tables join.
+
+    The smallest member of every table is compared with the others, which settles tables of two.
+    Larger tables whose members then lie in several components are *open*.  Open tables that share
+    members form clusters, and each cluster is compared in blocks, every class once.  While a
+    cluster has more than ``large`` members, up to ``rounds`` rounds of further leaders come first.
+    """
+    links = materialise(_confirmed(members, sets, percent), "links")
+    open_members = members.where("c > 2").select("bucket", "cls", "n")
     for step in range(rounds + 1):
         roots = materialise(tables.components(links), "roots")
+        if open_members.isEmpty():
+            return roots
         at = open_members.select("bucket", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        split = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+        split = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("cls").alias("first")).where("r0 <> r1").select("bucket", "first")
         open_members = materialise(at.join(split, "bucket"), "open_members")
         if open_members.isEmpty():
             return roots
-        if step == rounds:
+        clusters = tables.components(open_members.select(F.col("cls").alias("u"), F.col("first").alias("v"))).withColumnRenamed("root", "cluster")
+        clusters = materialise(clusters, "open_clusters")
+        if step == rounds or clusters.groupBy("cluster").count().agg(F.max("count")).first()[0] <= large:
             break
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("cls", F.lit(step)), "cls")
         heads = open_members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
         heads = heads.select("bucket", F.col("cls").alias("head"), F.col("n").alias("hn"), F.col("root").alias("head_root"))
-        links = materialise(links.union(compared(open_members, heads)), "links")
-    # What is still open is compared in blocks: tables with the same open members need it once.
-    place = Window.partitionBy("bucket").orderBy("cls")
-    placed = materialise(open_members.withColumn("block", F.floor((F.row_number().over(place) - 1) / block).cast("int")).withColumn("cap", F.lit(0)), "blocks")
-    last = placed.groupBy("bucket").agg(F.max("block").alias("last"))
-    with_sets = placed.join(last, "bucket").join(sets, "cls")
-    left = with_sets.select("bucket", "cls", "root", "shingles", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.lit(0).alias("side"))
-    right = with_sets.where("block > 0").select("bucket", "cls", "root", "shingles", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-    return tables.components(materialise(links.union(_block_links(left.union(right), percent)), "links"))
+        links = materialise(links.union(_confirmed(open_members.join(heads, "bucket").where("root <> head_root"), sets, percent)), "links")
+    each = open_members.select("cls", "n", "root").distinct().join(clusters.withColumnRenamed("node", "cls"), "cls")
+    return tables.components(links.union(materialise(_open_links(each, sets, percent, block), "open_links")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, rows: int = ROWS) -> DataFrame:
@@ -265,13 +279,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     classes = materialise(classes, "classes")
     members = materialise(table_members(classes), "table_members")
     met = members.select("cls").distinct()
-    sizes = classes.select("cls", "n")
     needed = materialise(classes.select("cls", "least").join(met, "cls"), "needed")
     # One text of each class that meets another; a null doc_id is found by the digest alone.
     texts = own.join(needed.select(F.col("least").alias("doc_id")).distinct(), on="doc_id", how="left_semi") if needed.where("least is null").isEmpty() else own
     sets = _sets(texts, "doc_id", "text", size, bands).dropDuplicates(["cls"]).join(met, "cls", "left_semi")
     sets = materialise(sets, "sets")
-    roots = materialise(class_links(members, sets, sizes, percent), "class_roots")
+    roots = materialise(class_links(members, sets, percent), "class_roots")
     least = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     whole = least.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = least.join(whole, "root").select("cls", "component_id")
