@@ -57,5 +57,40 @@ FROM f, cut
 """
 
 
+def _ranks(seed: str, source: str, target: str, name: str, iterations: int = 15) -> str:
+    """CTEs of one personalised PageRank, unrolled."""
+    steps = [f"""{name}0 AS (SELECT host, {seed} / sum({seed}) OVER () AS rank FROM shares WHERE {seed} >= 0.5)""",
+             f"""{name}w AS (SELECT {source} AS host, {target} AS too, n / sum(n) OVER (PARTITION BY {source}) AS share FROM links)"""]
+    for i in range(iterations):
+        steps.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (
+          SELECT w.too AS host, 0.85 * r.rank * w.share AS rank FROM {name}{i} r JOIN {name}w w ON r.host = w.host
+          UNION ALL SELECT host, 0.15 * rank FROM {name}0) GROUP BY host)""")
+    return ", ".join(steps)
+
+
+OP5 = f"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+a AS (
+  SELECT row_number() OVER () AS row, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT row, page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a
+), hit AS (
+  SELECT row, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row
+), links AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:https?:)?//([^/"''?#\\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM p WHERE host <> '') WHERE src <> dst GROUP BY ALL
+), shares AS (
+  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allow, avg(CASE WHEN verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS block
+  FROM p LEFT JOIN hit USING (row) WHERE host <> '' GROUP BY host
+), {_ranks('allow', 'src', 'dst', 't')}, {_ranks('block', 'dst', 'src', 'b')},
+bad AS (SELECT b15.host FROM b15 LEFT JOIN t15 USING (host) WHERE b15.rank > coalesce(t15.rank, 0))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN hit USING (row)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op6_weighted_fair_mix": OP6, "op8_suffix_array_decontamination": OP8}
+    return {"op5_link_graph_urls": OP5, "op6_weighted_fair_mix": OP6, "op8_suffix_array_decontamination": OP8}
