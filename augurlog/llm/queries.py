@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurlog.llm import decontaminate, mixing, near_dedup, pii, quality_crf, simhash, url_filter
+from augurlog.llm import decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
 from augurlog.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"), key="op1").select("doc_id", "text", "n_entities")
 
 
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near, the documents near in fingerprint, is given for the ids divisible by 100."""
     return simhash.with_neighbours(simhash.with_next(table(spark, sf_dir, "documents")))
