@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurlog.llm import decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
+from augurlog.llm import chunk_dedup, decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
 from augurlog.llm.tables import table
 
 
@@ -51,5 +51,9 @@ def op9_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.deduplicated(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
