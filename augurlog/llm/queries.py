@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurlog.llm import chunk_dedup, decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
+from augurlog.llm import bit_mixing, chunk_dedup, decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
 from augurlog.llm.tables import table
 
 
@@ -43,6 +43,10 @@ def op6_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_logistic_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_mixing.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
