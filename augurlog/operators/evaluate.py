@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from augurlog.functions import packs
 from augurlog.operators.ordered import exact_quantiles, running_totals
+from augurlog.session import materialise
 
 POLICIES = ("precision", "percentile", "pr_max", "min_score")
 
@@ -19,6 +20,7 @@ def pr_curve(scores: DataFrame, score: str = "proba", target: str = "y_true") ->
     merged = scores.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) == 0).alias("_neg")
     )
+    merged = materialise(merged, "curve")
     total = merged.agg(F.sum("_pos")).scalar()
     sums = running_totals(merged, "threshold", {"tp": "_pos", "fp": "_neg"}, descending=True)
     return sums.select(

@@ -2,7 +2,7 @@
 
 A feature adds ``coef * (x - mean)``.  Text features a window does not hold add a
 constant that only depends on the feature; the explanations therefore work on the
-non-zero entries plus one bounded, ordered list of those constants.
+non-zero entries and one ranked table of those constants.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from augurlog.functions import packs
 from augurlog.operators import tfidf
 from augurlog.operators.model import Model
 from augurlog.operators.windows import KEYS
+from augurlog.session import broadcast_if_small, materialise
 
 UP, DOWN = "↑", "↓"
 
@@ -65,7 +66,7 @@ def contributions(features: DataFrame, coefs: DataFrame, means: DataFrame) -> Da
     table = coefs.join(means, "feature", "left").select(
         "feature", "coef", F.coalesce("mean", F.lit(0.0)).alias("mean")
     )
-    return features.join(F.broadcast(table), "feature").select(
+    return features.join(broadcast_if_small(table), "feature").select(
         *KEYS, "feature", (F.col("coef") * (F.col("x") - F.col("mean"))).alias("phi")
     )
 
@@ -75,35 +76,29 @@ def absent_constants(coefs: DataFrame, means: DataFrame) -> DataFrame:
     return coefs.join(means, "feature").select("feature", (-F.col("coef") * F.col("mean")).alias("phi"))
 
 
-def _by_size(items: Column) -> Column:
-    """Largest absolute contribution first, ties by name."""
-    key = lambda s: F.struct((-F.abs(s["phi"])).alias("k"), s["feature"].alias("feature"), s["phi"].alias("phi"))
-    return F.transform(F.array_sort(F.transform(items, key)), lambda s: F.struct(s["feature"].alias("feature"), s["phi"].alias("phi")))
+def top_features(phi: DataFrame, absent: DataFrame, k: int = 5, rows: DataFrame | None = None) -> DataFrame:
+    """``KEYS, top``: the k strongest contributions of each window, strongest first, ties by name.
 
-
-def top_features(phi: DataFrame, absent: DataFrame, k: int = 5) -> DataFrame:
-    """``KEYS, top``: the k strongest contributions of each window, strongest first.
-
-    A window's candidates are its own entries and the absent features.  Of the
-    absent ones the k strongest lie within the first ``k + own entries`` places of
-    the ordered constant list, so only that much of it is looked at.
+    A window's candidates are its own k strongest entries and the k strongest features it lacks.
+    Absent features are ranked once (one row per model feature, a fixed bound); with ``m`` own
+    entries the wanted ones are the first k of the ranks 1 to k + m that the window's own entries
+    don't take, so a window carries ranks, not constants.  ``rows`` has the keys of windows that
+    are to be explained though they may hold no feature at all.
     """
-    # one row: the ordered constants, at most one per model feature
-    ordered = absent.agg(_by_size(F.collect_list(F.struct("feature", "phi"))).alias("c")).scalar()
-    own = phi.groupBy(*KEYS).agg(
-        F.collect_list(F.struct("feature", "phi")).alias("_own"), F.collect_list("feature").alias("_names")
-    )
-    staged = own.withColumn("_const", ordered)
-    near = F.slice("_const", F.lit(1), F.size("_own") + k)
-    name = lambda s: s["feature"]
-    free = F.slice(F.array_except(F.transform(near, name), F.col("_names")), 1, k)
-    missing = _bind(free, lambda names: F.filter(near, lambda s: F.array_contains(names, name(s))))
-    return staged.select(*KEYS, F.slice(_by_size(F.concat("_own", missing)), 1, k).alias("top"))
-
-
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, also inside lambdas."""
-    return F.transform(F.array(value), body)[0]
+    size = [F.desc(F.abs("phi")), F.asc("feature")]
+    ranked = absent.withColumn("rank", F.row_number().over(Window.orderBy(*size)))
+    ranked = materialise(ranked, "ranked_constants")
+    phi = materialise(phi, "contributions")
+    strongest = lambda df: df.withColumn("_place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*size))).where(F.col("_place") <= k)
+    held = phi.join(broadcast_if_small(ranked.select("feature", "rank")), "feature", "left")
+    taken = held.groupBy(*KEYS).agg(F.count("*").alias("_m"), F.collect_list("rank").alias("_ranks"))
+    if rows is not None:
+        taken = rows.select(*KEYS).join(taken, KEYS, "left")
+    free = F.slice(F.array_except(F.sequence(F.lit(1), F.coalesce("_m", F.lit(0)).cast("int") + k), F.coalesce("_ranks", F.array().cast("array<int>"))), 1, k)
+    lacking = taken.select(*KEYS, F.explode(free).alias("rank")).join(broadcast_if_small(ranked), "rank").select(*KEYS, "feature", "phi")
+    both = strongest(phi.select(*KEYS, "feature", "phi")).drop("_place").union(lacking)
+    best = strongest(both).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("_place", "feature", "phi"))).alias("_top"))
+    return best.select(*KEYS, F.transform("_top", lambda s: F.struct(s["feature"].alias("feature"), s["phi"].alias("phi"))).alias("top"))
 
 
 def _pretty(feature: Column) -> Column:
@@ -132,6 +127,11 @@ def explanation_rows(top: DataFrame, k: int = 5) -> DataFrame:
     return top.select(*others, *cells, explanation_text(F.col("top")).alias("explanation"))
 
 
+def direction(mean: Column) -> Column:
+    """Whether a feature raises or lowers the risk on average."""
+    return F.when(mean > 0, F.lit(f"{UP} risk")).otherwise(F.lit(f"{DOWN} risk"))
+
+
 def global_importance(phi: DataFrame, absent: DataFrame, n_windows: Column, top_k: int = 20) -> DataFrame:
     """``feature, mean_abs_shap, mean_shap, direction`` of the strongest features.
 
@@ -151,7 +151,7 @@ def global_importance(phi: DataFrame, absent: DataFrame, n_windows: Column, top_
             ((F.coalesce("_abs", zero) + rest * F.abs(c)) / n_windows).alias("mean_abs_shap"),
             ((F.coalesce("_sum", zero) + rest * c) / n_windows).alias("mean_shap"),
         )
-        .withColumn("direction", F.when(F.col("mean_shap") > 0, F.lit(f"{UP} risk")).otherwise(F.lit(f"{DOWN} risk")))
+        .withColumn("direction", direction(F.col("mean_shap")))
         .orderBy(F.desc("mean_abs_shap"), "feature")
         .limit(top_k)
     )

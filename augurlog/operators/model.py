@@ -18,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 from augurlog.functions import packs
 from augurlog.operators import tfidf
 from augurlog.operators.trends import numeric_features
-from augurlog.operators.windows import KEYS
+from augurlog.operators.windows import KEYS, require
 from augurlog.session import materialise, scratch_path
 
 
@@ -116,6 +116,8 @@ def fit(
     ``train`` has ``KEYS, y_future`` and the numeric columns; ``counts`` may cover
     more windows, the ones not in ``train`` are left out.
     """
+    require(train, *KEYS, "y_future")
+    require(counts, *KEYS, "term", "tf")
     train = materialise(train, "train")
     numeric = numeric if numeric is not None else numeric_features(train)
     n = train.count()
@@ -183,6 +185,8 @@ def sigmoid(z: Column) -> Column:
 
 def score(model: Model, windows: DataFrame, counts: DataFrame, out: str = "proba") -> DataFrame:
     """Add the probability of an anomaly within the horizon."""
-    text = text_logit(counts, model.terms)
+    require(windows, *KEYS)
+    # counts of other windows are left out before they are summed
+    text = text_logit(counts.join(windows.select(*KEYS), KEYS, "left_semi"), model.terms)
     z = F.lit(model.intercept) + F.coalesce(F.col("_text_logit"), F.lit(0.0)) + numeric_logit(model, windows.columns)
     return windows.join(text, KEYS, "left").withColumn(out, sigmoid(z)).drop("_text_logit")

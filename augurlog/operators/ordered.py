@@ -3,20 +3,22 @@
 * ``running_totals``  – prefix sums over a global order (bins by value range)
 * ``exact_quantiles`` – interpolated quantiles from running counts
 * ``previous_value``  – the value before a row inside a group of any size
-* ``global_rank``     – row numbers over (series, bucket)
+* ``global_rank``     – row numbers over a global order
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augurlog.functions.timestamps import epoch_micros
+from augurlog.session import materialise
 
 # Lines of one instant are cut into blocks of this many line numbers.
 LINE_BLOCK = 1 << 16
-# Most value ranges of a running total; every range is one group of one task.
-MAX_BINS = 512
+# Rows of one value range of a running total; every range is one group of one task.
+RANGE_ROWS = 100_000
 
 
 def value_cuts(df: DataFrame, value: str, bins: int) -> list[float]:
@@ -27,12 +29,14 @@ def value_cuts(df: DataFrame, value: str, bins: int) -> list[float]:
     return sorted(set(df.approxQuantile(value, probabilities, 0.5 / bins)))
 
 
-def bin_of(value: Column, cuts: list[float]) -> Column:
-    """Index of the half-open range between cuts that holds ``value`` (0..len(cuts))."""
+def with_bin(df: DataFrame, value: str, cuts: list[float], name: str = "_bin") -> DataFrame:
+    """Adds the index of the half-open range between cuts that holds ``value`` (0..len(cuts)),
+    found by binary search."""
     if not cuts:
-        return F.lit(0)
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(points, lambda c: c <= value.cast("double")))
+        return df.withColumn(name, F.lit(0))
+    splits = [float("-inf"), *map(float, cuts), float("inf")]
+    ranges = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
+    return ranges.transform(df.withColumn("_value", F.col(value).cast("double"))).withColumn(name, F.col(name).cast("int")).drop("_value")
 
 
 def running_totals(
@@ -45,14 +49,16 @@ def running_totals(
     """Inclusive prefix sums over the order of ``value``, which must be distinct.
 
     ``sums`` maps a new column to the column it accumulates.  Rows are spread over
-    value ranges of about equal row counts; every range is summed on its own, and
-    the totals of the ranges before it (one row per range, at most ``bins``) are
-    added.  The cut points are fixed before the plan is built, so both branches
-    see the same ranges.
+    value ranges of about equal row counts (``RANGE_ROWS``, so their number grows
+    with the table); every range is summed on its own, and the totals of the ranges
+    before it (one row per range) are added.  The table is written first, so what it
+    comes from is computed once, and the cut points are fixed before the plan is
+    built, so both branches see the same ranges.
     """
-    bins = bins or min(MAX_BINS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df = materialise(df, "ordered")
+    bins = bins or -(-df.count() // RANGE_ROWS)
     cuts = value_cuts(df, value, bins)
-    binned = df.withColumn("_bin", bin_of(F.col(value), cuts))
+    binned = with_bin(df, value, cuts)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = (
         Window.partitionBy("_bin")
@@ -60,7 +66,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     bin_order = F.col("_bin").desc() if descending else F.col("_bin").asc()
-    # One row per range: the unpartitioned window sees at most len(cuts) + 1 rows.
+    # One row per range, len(cuts) + 1 in all.
     before = Window.orderBy(bin_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         binned.groupBy("_bin")
@@ -89,7 +95,7 @@ def exact_quantiles(df: DataFrame, value: str, levels: list[float], bins: int |
     and the two rows around each wanted position are picked.  No buffer grows
     with the number of distinct values.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    counted = materialise(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), "counted")
     ranked = running_totals(counted, value, {"_upto": "_n"}, bins=bins)
     total = counted.agg(F.sum("_n").alias("_total"))
     wanted = F.array(*[F.lit(float(q)) for q in levels])
@@ -167,23 +173,21 @@ def previous_value(
     return out
 
 
-def global_rank(df: DataFrame, series: str, order: str, name: str = "row_no") -> DataFrame:
-    """1-based row number over ``(series, order)`` without one global sort.
+def global_rank(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
+    """1-based row number over the given order, without a sort or window in one task.
 
-    Rows are numbered inside their series; the counts of the series before it
-    (one narrow row per series) are added.
+    Rows are dealt out by ranges of the order and written; the place within a range is
+    shifted by the counts of the ranges before (one row per shuffle partition).
     """
-    inside = Window.partitionBy(series).orderBy(order)
-    # one row per series (source file), far fewer than windows
-    before = Window.orderBy(series).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(series)
-        .agg(F.count("*").alias("_n"))
-        .select(series, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialise(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        df.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, series)
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_inside", "_before")
+        ranged.withColumn("_part", part)
+        .join(F.broadcast(shifts), "_part")
+        .withColumn(name, (F.expr("_id & 8589934591") + F.col("_before") + 1))
+        .drop("_id", "_part", "_before")
     )

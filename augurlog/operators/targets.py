@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from augurlog.functions import packs
 from augurlog.operators.ordered import exact_quantiles, global_rank
 from augurlog.operators.windows import require
+from augurlog.session import materialise
 
 # Smallest parts a split may leave.
 MIN_TRAIN_ROWS = 50
@@ -90,6 +91,7 @@ def join_anomaly_flags(windows: DataFrame, flags: DataFrame) -> DataFrame:
 def future_summary(future: DataFrame, series: str = "source_file") -> DataFrame:
     """``windows, anomalies, positives, median_gap_sec`` (gap to the previous window)."""
     order = Window.partitionBy(series).orderBy("bucket")
+    future = materialise(future.select(series, "bucket", "window_is_anomaly", "y_future"), "future")
     seconds = F.unix_seconds(F.col("bucket").cast("timestamp"))
     gaps = future.select((seconds - F.lag(seconds).over(order)).cast("double").alias("gap"))
     median = exact_quantiles(gaps, "gap", [0.5]).select("quantile").scalar()
@@ -112,11 +114,11 @@ def chronological_split(
     rows = df.count()
     cut = int(rows * (1 - test_frac))
     if check and (cut < MIN_TRAIN_ROWS or cut >= rows - MIN_TEST_ROWS):
-        raise ValueError("Not enough data after filtering. Lower min_lines or collect more logs.")
+        raise ValueError(f"a split at row {cut} of {rows} leaves too few rows on one side")
     if order == "series":
-        ranked = global_rank(df, series, "bucket", "row_no")
+        ranked = global_rank(df, series, "bucket")
     else:
-        ranked = global_rank(df, "bucket", series, "row_no")
+        ranked = global_rank(df, "bucket", series)
     return ranked.withColumn("is_train", F.col("row_no") <= cut).drop("row_no")
 
 

@@ -28,7 +28,7 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     """Fail while the plan is built if a column is missing; name what is there."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}. Available: {df.columns}")
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
     return df
 
 

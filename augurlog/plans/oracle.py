@@ -182,7 +182,7 @@ KEY = "source_file, bucket"
 
 def explained(extra: dict[str, str]) -> str:
     """The fixed model of ``queries.fixed_model`` over window text, in dense form."""
-    ctes = tfidf_ctes(text_sql("linux"), KEY, "text_with_proc", 400)
+    ctes = tfidf_ctes(text_sql("linux"), KEY, "text_with_proc", 50000)
     ctes["vocab"] = ctes["vocab"].replace("SELECT term,", "SELECT term, ((length(term) * 7 + ascii(term)) % 11 - 5) / 10.0 AS coef,", 1)
     ctes.update(
         win=windows_sql("linux"),
@@ -191,8 +191,8 @@ def explained(extra: dict[str, str]) -> str:
                   UNION ALL SELECT {KEY}, 'kw_error', kw_error / 1.0 FROM win""",
         coefs="""SELECT 'txt:' || term AS feature, CAST(coef AS DOUBLE) AS coef FROM vocab
                  UNION ALL SELECT 'lines', 0.25 UNION ALL SELECT 'kw_error', 0.5""",
-        means=f"""SELECT feature, sum(x) / (SELECT count(*) FROM win WHERE source_file = 'host0') AS mean
-                  FROM feats WHERE source_file = 'host0' GROUP BY 1""",
+        means=f"""SELECT feature, sum(x) / (SELECT count(*) FROM win) AS mean
+                  FROM feats GROUP BY 1""",
         dense=f"""SELECT win.source_file, win.bucket, feature, coef * (coalesce(x, 0) - coalesce(mean, 0)) AS phi,
                   coalesce(x, 0) * coef AS share, x IS NOT NULL OR mean IS NOT NULL AS known
                   FROM win CROSS JOIN coefs LEFT JOIN means USING (feature)
@@ -319,7 +319,7 @@ def oracle() -> dict[str, str]:
         "future_labels_rows": f"""SELECT *, coalesce(max(window_is_anomaly) OVER (PARTITION BY source_file ORDER BY bucket
             ROWS BETWEEN 1 FOLLOWING AND {HORIZON_MIN * 60 // WIDTH_SEC} FOLLOWING), 0) AS y_future, {HORIZON_MIN} AS horizon_min FROM ({ANOMALY})""",
         "legacy_anomaly_join": f"""SELECT c.*, coalesce(a.window_is_anomaly, 0) AS window_is_anomaly FROM ({counts}) c
-            LEFT JOIN (SELECT * FROM ({ANOMALY}) WHERE hour(bucket) < 20) a USING (source_file, bucket)""",
+            LEFT JOIN (SELECT * FROM ({ANOMALY}) WHERE window_is_anomaly = 1) a USING (source_file, bucket)""",
         "future_label_summary": f"""SELECT count(*) AS windows, CAST(sum(window_is_anomaly) AS BIGINT) AS anomalies,
             CAST(sum(y_future) AS BIGINT) AS positives, CAST(median(gap) AS DOUBLE) AS median_gap_sec
             FROM (SELECT *, epoch(bucket) - lag(epoch(bucket)) OVER (PARTITION BY source_file ORDER BY bucket) AS gap
@@ -353,13 +353,15 @@ def oracle() -> dict[str, str]:
         + " FROM ("
         + " UNION ALL BY NAME ".join(f"SELECT *, {q(n)} AS os FROM ({windows_sql(n)})" for n in DIALECTS)
         + ")",
-        "tfidf_windows": tfidf_sql(text_sql("linux"), KEY, "text_with_proc", 5000),
+        "tfidf_windows": tfidf_sql(text_sql("linux"), KEY, "text_with_proc", 50000),
         "tfidf_documents": tfidf_sql("SELECT doc_id, text FROM documents", "doc_id", "text", 50000),
         "fixed_model_scores": explained({}) + f"""SELECT {KEY}, round(1 / (1 + exp(0.5 - sum(share))), 6) AS proba FROM dense GROUP BY ALL""",
         "linear_attribution_topk": explained(RANKED) + f"SELECT {KEY}, CAST(rn - 1 AS INT) AS pos, feature, round(phi, 6) AS phi FROM ranked WHERE rn <= 5",
         "explanation_text": explained(RANKED) + f"""SELECT {KEY}, max(feature) FILTER (rn = 1) AS feature_1, max(feature) FILTER (rn = 2) AS feature_2,
-            max(feature) FILTER (rn = 3) AS feature_3, {SENTENCE} AS explanation FROM ranked WHERE rn <= 3 GROUP BY ALL""",
-        "global_importance": explained({}) + """SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_shap, round(avg(phi), 6) AS mean_shap
+            max(feature) FILTER (rn = 3) AS feature_3,
+            round(max(phi) FILTER (rn = 1), 6) AS shap_1, round(max(phi) FILTER (rn = 2), 6) AS shap_2, round(max(phi) FILTER (rn = 3), 6) AS shap_3, {SENTENCE} AS explanation FROM ranked WHERE rn <= 3 GROUP BY ALL""",
+        "global_importance": explained({}) + """SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_shap, round(avg(phi), 6) AS mean_shap,
+            CASE WHEN round(avg(phi), 6) > 0 THEN '↑ risk' ELSE '↓ risk' END AS direction
             FROM dense GROUP BY 1 HAVING bool_or(known)""",
         "sequence_windows": f"""SELECT source_file, bucket, array_to_string(s, ',') AS sequence, y_true AS label FROM (
             SELECT *, list(lines) OVER (PARTITION BY source_file ORDER BY bucket ROWS BETWEEN {SEQ_LEN} PRECEDING AND 1 PRECEDING) AS s

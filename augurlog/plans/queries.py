@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from augurlog.functions.dialects import DIALECTS, dialect as as_dialect
 from augurlog.functions.text import example_text
+from augurlog.functions.timestamps import width_seconds
 from augurlog.operators import alerts, evaluate, explain, labels, model, sequences, targets, tfidf, trends, windows
 from augurlog.operators.windows import KEYS
 from augurlog.plans import pipeline
@@ -84,11 +85,11 @@ def predictions(spark, sf):
 def fixed_model(spark, sf, counts):
     """A model whose coefficients are a rule on the term, so SQL can state them."""
     n = counts.select(*KEYS).distinct().count()
-    vocab = materialise(tfidf.vocabulary(counts, n, 2, 400), "vocab")
+    vocab = materialise(tfidf.vocabulary(counts, n), "vocab")
     code = (F.length("term") * 7 + F.ascii(F.col("term"))) % 11 - 5
     terms = vocab.select("term", "idf", (F.col("df") * 0).cast("int").alias("idx"), (code / 10.0).alias("coef"))
     numeric = [("lines", 2.0, 0.25), ("kw_error", 1.0, 0.5)]
-    return model.Model(terms, numeric, -0.5, meta={"terms": 400}), n
+    return model.Model(terms, numeric, -0.5, meta={"terms": vocab.count()}), n
 
 
 # --- parse ----------------------------------------------------------------------
@@ -274,7 +275,8 @@ def future_labels_rows(spark, sf):
 
 
 def legacy_anomaly_join(spark, sf):
-    flags = window_anomaly(spark, sf).where(F.hour("bucket") < 20)
+    # windows without an anomaly have no flag, as in a table of anomalies alone
+    flags = window_anomaly(spark, sf).where("window_is_anomaly = 1")
     return targets.join_anomaly_flags(window_counts(spark, sf), flags)
 
 
@@ -318,9 +320,13 @@ def prediction_summary(spark, sf):
 
 
 def top_alerts(spark, sf):
-    heads = windows.window_heads(lines(spark, sf), WIDTH)
-    table = predictions(spark, sf).join(heads, KEYS).withColumnRenamed("proba", "early_warning_score")
-    named = table.withColumn("example_text", example_text(F.col("head")))
+    table = predictions(spark, sf).withColumnRenamed("proba", "early_warning_score")
+    first = materialise(table.orderBy(F.desc("early_warning_score"), *KEYS).limit(20), "top_alerts")
+    # example text is made for these windows only
+    near = first.select(F.col("source_file").alias("_of"), F.col("bucket").alias("_at"))
+    mine = F.expr("source_file = _of AND ts >= _at") & (F.col("ts") < F.col("_at") + F.expr(f"INTERVAL {width_seconds(WIDTH)} SECONDS"))
+    heads = windows.window_heads(lines(spark, sf).join(F.broadcast(near), mine, "left_semi"), WIDTH)
+    named = first.join(heads, KEYS).withColumn("example_text", example_text(F.col("head")))
     return alerts.top_alerts(named, 20).select(*KEYS, "alert_line")
 
 
@@ -389,57 +395,65 @@ def union_by_name(spark, sf):
 # --- text and explanation ---------------------------------------------------------------------
 
 def tfidf_windows(spark, sf):
-    counts = tfidf.line_term_counts(lines(spark, sf), WIDTH)
+    # written once: vocabulary, number of windows and weights read it
+    counts = materialise(tfidf.line_term_counts(lines(spark, sf), WIDTH), "counts")
     n = lines(spark, sf).select("source_file", windows.floor_bucket(F.col("ts"), WIDTH).alias("bucket")).distinct().count()
-    vocab = tfidf.vocabulary(counts, n, 2, 5000)
+    vocab = tfidf.vocabulary(counts, n)
     return tfidf.weights(counts, vocab, KEYS).select(*KEYS, "term", "tf", r6("weight").alias("weight"))
 
 
 def tfidf_documents(spark, sf):
     docs = documents(spark, sf)
-    counts = tfidf.text_term_counts(docs, ["doc_id"], "text")
+    counts = materialise(tfidf.text_term_counts(docs, ["doc_id"], "text"), "counts")
     vocab = tfidf.vocabulary(counts, docs.count(), 2, 50_000)
     return tfidf.weights(counts, vocab, ["doc_id"]).select("doc_id", "term", "tf", r6("weight").alias("weight"))
 
 
-def _explained(spark, sf):
+def _fitted(spark, sf):
     cut = materialise(windows.create_windows(lines(spark, sf), WIDTH, keywords=True).drop("proc_counts"), "windows")
     counts = materialise(tfidf.line_term_counts(lines(spark, sf), WIDTH), "counts")
-    fitted, n = fixed_model(spark, sf, counts)
+    return cut, counts, fixed_model(spark, sf, counts)[0]
+
+
+def _explained(spark, sf):
+    cut, counts, fitted = _fitted(spark, sf)
     features = explain.long_features(fitted, cut, counts)
     coefs = explain.coefficient_table(fitted)
-    # the background is one source file, so that means differ from the rows explained
-    base = features.where(F.col("source_file") == "host0")
-    n_base = cut.where(F.col("source_file") == "host0").agg(F.count("*")).scalar()
-    means = materialise(explain.background_means(base, n_base), "means")
+    features = materialise(features, "features")
+    # the background is all explained windows
+    means = materialise(explain.background_means(features, cut.agg(F.count("*")).scalar()), "means")
     phi = explain.contributions(features, coefs, means)
     absent = explain.absent_constants(coefs, means)
-    return cut, counts, fitted, phi, absent
+    return cut, phi, absent
 
 
 def fixed_model_scores(spark, sf):
-    cut, counts, fitted, _, _ = _explained(spark, sf)
+    cut, counts, fitted = _fitted(spark, sf)
     return model.score(fitted, cut, counts).select(*KEYS, r6("proba").alias("proba"))
 
 
 def linear_attribution_topk(spark, sf):
-    _, _, _, phi, absent = _explained(spark, sf)
-    top = explain.top_features(phi.withColumn("phi", F.round("phi", 9)), absent.withColumn("phi", F.round("phi", 9)), 5)
+    cut, phi, absent = _explained(spark, sf)
+    top = explain.top_features(phi.withColumn("phi", F.round("phi", 9)), absent.withColumn("phi", F.round("phi", 9)), 5, cut)
     return top.select(*KEYS, F.posexplode("top").alias("pos", "t")).select(
         *KEYS, "pos", "t.feature", r6("t.phi").alias("phi")
     )
 
 
 def explanation_text(spark, sf):
-    _, _, _, phi, absent = _explained(spark, sf)
-    top = explain.top_features(phi.withColumn("phi", F.round("phi", 9)), absent.withColumn("phi", F.round("phi", 9)), 5)
-    return explain.explanation_rows(top, 3).select(*KEYS, "feature_1", "feature_2", "feature_3", "explanation")
+    cut, phi, absent = _explained(spark, sf)
+    top = explain.top_features(phi.withColumn("phi", F.round("phi", 9)), absent.withColumn("phi", F.round("phi", 9)), 5, cut)
+    rows = explain.explanation_rows(top, 3)
+    return rows.select(*KEYS, *[c for i in (1, 2, 3) for c in (f"feature_{i}", f"shap_{i}")], "explanation")
 
 
 def global_importance(spark, sf):
-    cut, _, _, phi, absent = _explained(spark, sf)
-    out = explain.global_importance(phi, absent, cut.agg(F.count("*")).scalar(), 1000)
-    return out.select("feature", r6("mean_abs_shap").alias("mean_abs_shap"), r6("mean_shap").alias("mean_shap"))
+    cut, phi, absent = _explained(spark, sf)
+    # every feature that some window holds; the length of the list is a parameter of the operator
+    out = explain.global_importance(phi, absent, cut.agg(F.count("*")).scalar(), 1_000_000)
+    # sums of opposite terms may differ in their last bits, so the sign is read from the rounded mean
+    means = out.select("feature", r6("mean_abs_shap").alias("mean_abs_shap"), r6("mean_shap").alias("mean_shap"))
+    return means.withColumn("direction", explain.direction(F.col("mean_shap")))
 
 
 def sequence_windows(spark, sf):

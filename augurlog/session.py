@@ -34,12 +34,15 @@ def get_session(app: str = "augurlog", master: str | None = None, **conf) -> Spa
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates.
 
-    On a cluster this is the folder named in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a temporary folder is made.
+    On a cluster this is the folder named in ``spark.checkpoint.dir``, which all
+    executors must share.  Only a local master, whose tasks all run on this machine,
+    may do without: there a temporary folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.lower().startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _scratch_root:
         _scratch_root[app] = tempfile.mkdtemp(prefix="augurlog-")
@@ -61,11 +64,11 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (counts no further than that).
+    """True if ``df`` has at most ``max_rows`` rows.
 
-    Call it on materialised tables: the count is then a footer read.
+    Call it on written tables, where counting reads no column; each task sends one number.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -58,14 +59,22 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
 
 
 def merge_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """One table from all stage files of a folder, with ``source_file`` as provenance."""
+    """One table from all stage files of a folder, with ``source_file`` as provenance.
+
+    A ``source_file`` that the files hold stays; else it is the file's path below ``path``, so
+    equal names in two folders differ.
+    """
     df = (
         spark.read.option("mergeSchema", "true")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .parquet(path)
     )
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    if "source_file" in df.columns:
+        return df
+    root = re.escape(re.sub(r"^[a-z]+:/*", "/", path.rstrip("/")))
+    below = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^[a-z]+:/*", "/"), f"^{root}/", "")
+    return df.withColumn("source_file", below)
 
 
 def collected_events(
