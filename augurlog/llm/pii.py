@@ -109,19 +109,17 @@ def _normal(kind: Column, value: Column) -> Column:
 def _surrogate(key: str) -> tuple[str, str, Column]:
     """SQL of the hash and of the drawn characters, and the surrogate: draw number ``attempt`` for a unit (kind, normal form ``norm``)."""
     secret = key.replace("\\", "\\\\").replace("'", "\\'")
-    h = f"sha2(concat_ws('|', '{secret}', kind, norm, CAST(attempt AS STRING)), 512)"
-    byte = lambda i: f"CAST(conv(substr(hash, 2 * (({i}) % 64) + 1, 2), 16, 10) AS INT)"
-    pick = lambda letters, i: f"substr('{letters}', {byte(i)} % {len(letters)} + 1, 1)"
+    hashed = f"sha2(concat_ws('|', '{secret}', kind, norm, CAST(attempt AS STRING)), 512)"
+    pick = lambda letters: f"substr('{letters}', b[i % 64] % {len(letters)} + 1, 1)"
     kept = "CASE kind WHEN 'key' THEN 4 WHEN 'iban' THEN 2 WHEN 'card' THEN 1 ELSE 0 END"
     tail = "CASE kind WHEN 'email' THEN length(norm) - length(substring_index(norm, '.', -1)) ELSE length(norm) END"
     by_class = f"""array_join(transform(split(norm, ''), (c, i) -> CASE
       WHEN i < {kept} OR i >= {tail} THEN c
-      WHEN kind = 'phone' AND i = 0 THEN {pick('23456789', 'i')}
-      WHEN c rlike '^[0-9a-f]$' AND hexed THEN {pick('0123456789abcdef', 'i')}
-      WHEN c rlike '^[0-9]$' THEN {pick('0123456789', 'i')}
-      WHEN c rlike '^[a-z]$' THEN {pick('abcdefghijklmnopqrstuvwxyz', 'i')}
-      WHEN c rlike '^[A-Z]$' THEN {pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'i')}
-      WHEN c rlike '^\\\\p{{L}}$' THEN {pick('abcdefghijklmnopqrstuvwxyz', 'i')}
+      WHEN kind = 'phone' AND i = 0 THEN {pick('23456789')}
+      WHEN hexed AND c rlike '^[0-9a-f]$' THEN {pick('0123456789abcdef')}
+      WHEN c rlike '^[0-9]$' THEN {pick('0123456789')}
+      WHEN c rlike '^[A-Z]$' THEN {pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}
+      WHEN c rlike '^\\\\p{{L}}$' THEN {pick('abcdefghijklmnopqrstuvwxyz')}
       ELSE c END), '')"""
     # The last digit of a card number is its check digit.
     body = "split(substr(drawn, 1, length(drawn) - 1), '')"
@@ -129,30 +127,29 @@ def _surrogate(key: str) -> tuple[str, str, Column]:
     doubled = f"(2 * {digit}) % 10 + IF({digit} > 4, 1, 0)"
     weights = f"transform({body}, (c, i) -> CASE WHEN c = '' THEN 0 WHEN (length(drawn) - i) % 2 = 0 THEN {doubled} ELSE {digit} END)"
     luhn = f"concat(substr(drawn, 1, length(drawn) - 1), CAST((10 - aggregate({weights}, 0, (a, x) -> a + x) % 10) % 10 AS STRING))"
-    ip = f"array_join(transform(split(norm, '[.]'), (c, i) -> CAST({byte('i')} % 254 + 1 AS STRING)), '.')"
-    script = F.when(F.col("norm").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("norm").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    ip = "array_join(transform(split(norm, '[.]'), (c, i) -> CAST(b[i] % 254 + 1 AS STRING)), '.')"
     words = lambda table: "array(" + ", ".join(f"'{w}'" for w in table) + ")"
-    made = {s: f"concat({', '.join(f'element_at({words(SYLLABLES[s])}, {byte(i)} % 16 + 1)' for i in range(8, 12))}, '{ENDINGS[s]}')" for s in SYLLABLES}
-    name = F.expr(made["latin"])
-    for s in ("cyrillic", "greek"):
-        name = F.when(script == s, F.expr(made[s])).otherwise(name)
-    given = name
+    syllables = "map(" + ", ".join(f"'{s}', {words(SYLLABLES[s])}" for s in SYLLABLES) + ")"
+    endings = "map(" + ", ".join(f"'{s}', '{e}'" for s, e in ENDINGS.items()) + ")"
+    given = "map(" + ", ".join(f"'given_{g}{s}', {words([n.lower() for n in names])}" for (g, s), names in GIVEN.items()) + ")"
+    made = f"concat(array_join(transform(slice(b, 9, 4), x -> element_at({syllables}, script)[x % 16]), ''), element_at({endings}, script))"
     # A given name is drawn from its list; a second draw lengthens it, so the lists don't run out.
-    for (gender, s), names in GIVEN.items():
-        drawn = f"concat(element_at({words([n.lower() for n in names])}, {byte(0)} % 16 + 1), IF(attempt = 0, '', concat('-', {made[s]})))"
-        given = F.when((F.col("kind") == f"given_{gender}") & (script == s), F.expr(drawn)).otherwise(given)
-    shape = (
-        F.when(F.col("kind") == "ip", F.expr(ip)).when(F.col("kind") == "surname", name).when(F.col("kind").startswith("given"), given)
-        .when(F.col("kind") == "card", F.expr(luhn)).otherwise(F.col("drawn"))
-    )
+    first = f"coalesce(concat(try_element_at({given}, concat(kind, script))[b[0] % 16], IF(attempt = 0, '', concat('-', {made}))), {made})"
+    shape = F.expr(f"CASE WHEN kind = 'ip' THEN {ip} WHEN kind = 'surname' THEN {made} WHEN kind LIKE 'given%' THEN {first} WHEN kind = 'card' THEN {luhn} ELSE drawn END")
     # A form with too few values for its distinct units is made longer in the end.
     longer = F.when(F.col("attempt") >= ALIKE_ATTEMPTS, F.concat(shape, F.substring("hash", 65, 16))).otherwise(shape)
-    return h, by_class, longer
+    return hashed, by_class, longer
 
 
 def _drawn(units: DataFrame, key: str) -> DataFrame:
     hashed, by_class, shape = _surrogate(key)
-    return units.withColumn("hash", F.expr(hashed)).withColumn("hexed", F.expr("kind = 'secret' AND norm rlike '^[0-9a-f]+$'")).withColumn("drawn", F.expr(by_class)).withColumn("sur", shape).select("kind", "norm", "attempt", "sur")
+    script = F.when(F.col("norm").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("norm").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    byte = "transform(sequence(0, 63), i -> CAST(conv(substr(hash, 2 * i + 1, 2), 16, 10) AS INT))"
+    hashes = units.withColumn("hash", F.expr(hashed)).withColumn("script", script).withColumn("hexed", F.expr("kind = 'secret' AND norm rlike '^[0-9a-f]+$'"))
+    # Written out at each step, so that expressions used many times below are computed once.
+    hashes = materialise(hashes, "pii_hashes").withColumn("b", F.expr(byte))
+    shaped = materialise(materialise(hashes, "pii_bytes").withColumn("drawn", F.expr(by_class)), "pii_drawn")
+    return shaped.withColumn("sur", shape).select("kind", "norm", "attempt", "sur")
 
 
 def surrogates(units: DataFrame, key: str) -> DataFrame:
@@ -196,6 +193,14 @@ def _formatted() -> Column:
     )
 
 
+def _likely(text: Column) -> Column:
+    """A cheap test that every text with an entity passes: a sign that one needs, or a title."""
+    likely = text.rlike("[0-9@=:]")
+    for title in (t for group in TITLES.values() for t in group):
+        likely = likely | F.contains(text, F.lit(title))
+    return likely
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in its text column, and the number of replaced units in ``count``.
 
@@ -204,7 +209,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str = "n
     """
     columns = docs.columns
     row, pieces, found = (unused(n, columns) for n in ("row", "pieces", "found"))
-    has = F.coalesce(F.col(f"`{text}`").rlike(PATTERN), F.lit(False))
+    has = F.coalesce(_likely(F.col(f"`{text}`")) & F.col(f"`{text}`").rlike(PATTERN), F.lit(False))
     clean = docs.where(~has).withColumn(count, F.lit(0).cast("long"))
     hits = docs.where(has).withColumn(row, F.monotonically_increasing_id())
     hits = hits.withColumn(pieces, F.split(f"`{text}`", PATTERN, -1)).withColumn(found, F.regexp_extract_all(f"`{text}`", F.lit(PATTERN), F.lit(0)))
