@@ -240,8 +240,7 @@ def live_sql() -> dict[str, str]:
         "p": f"SELECT * FROM ({parsed_sql('linux')}) WHERE ts IS NOT NULL",
         "base": f"""SELECT host AS source_file, {bucket()} AS bucket, count(*) AS lines, count(DISTINCT process) AS kw_unique_procs,
             count(*) FILTER (regexp_matches(message, {kw}, 'i')) AS kw_error, count(*) FILTER ({kernel}) AS cnt_proc_kernel,
-            string_agg(process || ': ' || message, {q(SEP)} ORDER BY ts, line_no) AS text FROM p GROUP BY 1, 2
-            HAVING {bucket()} + INTERVAL '{WIDTH_SEC} seconds' <= (SELECT max(ts) FROM p) - INTERVAL '2 hours'""",
+            string_agg(process || ': ' || message, {q(SEP)} ORDER BY ts, line_no) AS text FROM p GROUP BY 1, 2""",
         "tok": "SELECT source_file, bucket, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS u FROM base",
         "term": """SELECT source_file, bucket, unnest(list_concat(u, CASE WHEN len(u) > 1
             THEN list_transform(range(1, len(u)), lambda k: u[k] || ' ' || u[k + 1]) ELSE [] END)) AS term FROM tok""",
@@ -373,6 +372,7 @@ def oracle() -> dict[str, str]:
         "threshold_min_score": f"SELECT round(min(proba), 6) AS threshold, 'min_score' AS policy, true AS met_target FROM ({SCORES})",
     }
     out.update(live_sql())
+    out["live_replayed"] = out["live_alerts"]
     for name in DIALECTS:
         out[f"window_keywords_{name}"] = windows_sql(name)
         out[f"label_windows_{name}"] = labelled_sql(name)

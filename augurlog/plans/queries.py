@@ -476,17 +476,31 @@ LIVE_INTERCEPT = -0.6
 LATENESS = "2 hours"
 
 
-def _live(spark, sf):
-    """Rendered lines dropped as files, taken through the three live queries."""
+def _live(spark, sf, replay=False):
+    """Rendered lines dropped as files, taken through the three live queries to the end of input.
+
+    With ``replay`` the first batches of events and windows are written again in between, under
+    new file names, as after a crash before their commit.
+    """
     terms = spark.createDataFrame([(t, i, n, c) for n, (t, i, c) in enumerate(LIVE_TERMS)], "term string, idf double, idx int, coef double")
     fitted = model.Model(terms, LIVE_NUMERIC, LIVE_INTERCEPT, meta={"terms": len(LIVE_TERMS)})
     root = scratch_path(spark, "live")
     rendered_lines(spark, sf).repartitionByRange("source_file", "line_no").sortWithinPartitions(
         "source_file", "line_no"
     ).select("raw").write.text(f"{root}/landing")
+    if replay:
+        live.run_available(
+            spark, f"{root}/landing", root, fitted, THRESHOLD, width=WIDTH, year=rendered_year(), k=K,
+            min_lines=MIN_LINES, lateness=LATENESS,
+        )
+        for table, by in (("events", ["day"]), ("windows", [])):
+            stored = materialise(spark.read.parquet(f"{root}/{table}"), "replay")
+            for row in stored.select("batch").distinct().collect():
+                again = stored.where(F.col("batch") == row.batch).drop("batch")
+                again.write.mode("overwrite").partitionBy(*by).parquet(f"{root}/{table}/batch={row.batch}")
     live.run_available(
         spark, f"{root}/landing", root, fitted, THRESHOLD, width=WIDTH, year=rendered_year(), k=K,
-        min_lines=MIN_LINES, lateness=LATENESS,
+        min_lines=MIN_LINES, lateness=LATENESS, final=True,
     )
     return root
 
@@ -499,14 +513,18 @@ def live_windows(spark, sf):
     )
 
 
-def live_alerts(spark, sf):
-    got = spark.read.parquet(f"{_live(spark, sf)}/alerts")
+def live_alerts(spark, sf, replay=False):
+    got = spark.read.parquet(f"{_live(spark, sf, replay)}/alerts")
     return got.select(
         "source_file", F.col("bucket").cast("timestamp_ntz").alias("bucket"), r6("early_warning_score").alias("early_warning_score"),
         "predict_raw", "predict_confirmed", "lines",
     )
 
 
+def live_replayed(spark, sf):
+    return live_alerts(spark, sf, replay=True)
+
+
 def live_collected(spark, sf):
     root = scratch_path(spark, "collect")
     rendered_lines(spark, sf).repartitionByRange("source_file", "line_no").select("raw").write.text(f"{root}/landing")
@@ -585,7 +603,7 @@ def registry() -> dict:
         calibration_table, calibrate_alert_budget, pr_curve, average_precision, confusion_matrix,
         classification_report, classification_report_confirmed, union_by_name, tfidf_windows, tfidf_documents,
         fixed_model_scores, linear_attribution_topk, explanation_text, global_importance, sequence_windows,
-        explain_sample, live_collected, live_windows, live_alerts, train_and_score, explain_model, svd_embedding,
+        explain_sample, live_collected, live_windows, live_alerts, live_replayed, train_and_score, explain_model, svd_embedding,
     ]
     out = {f.__name__: f for f in named}
     for name in DIALECTS:

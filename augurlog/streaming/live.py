@@ -4,8 +4,8 @@
 2. windows:  events -> closed windows (watermark) with counts and text score
 3. alerts:   closed windows -> trends, score, confirmation (state per series)
 
-Each has at most one stateful step and its own checkpoint, so a restart goes on
-where it stopped.  Features come from the same expressions as in batch.
+Each has its own checkpoint, so a restart goes on where it stopped; a batch that is
+repeated after a crash counts once in the queries behind it.  Features come from the same expressions as in batch.
 """
 
 from __future__ import annotations
@@ -38,9 +38,11 @@ from augurlog.sources.tables import collected_events
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HISTORY = 6
+# Folder number and source name of the event that closes a bounded input.
+END_BATCH, END_OF_INPUT = -1, "end-of-input"
 EVENT_SCHEMA = (
     "ts timestamp, host string, os string, source string, process string, pid string, "
-    "message string, raw string, parsed boolean, line_no long, batch long, day date"
+    "message string, raw string, parsed boolean, line_no long, event_key long, batch long, day date"
 )
 ALERT_SCHEMA = (
     "source_file string, bucket timestamp, early_warning_score double, predict_raw int, "
@@ -61,7 +63,7 @@ def live_events(
     with an impossible date.  Only parsed lines are scored later.
     """
     d = as_dialect(dialect)
-    rows = raw.select(F.col("value").alias("raw"), "line_no")
+    rows = raw.select(F.col("value").alias("raw"), "line_no", "event_key")
     own = (
         general_timestamp(F.col("timestamp"))
         if d.timestamp_style == "iso"
@@ -74,7 +76,7 @@ def live_events(
         .withColumn("ts", F.coalesce(own.cast("timestamp"), now))
         .withColumn("parsed", F.col("is_header"))
     )
-    events = collected_events(parsed, d.name, source, clean=clean, keep=("parsed", "line_no"))
+    events = collected_events(parsed, d.name, source, clean=clean, keep=("parsed", "line_no", "event_key"))
     return events.withColumn("day", F.to_date("ts"))
 
 
@@ -92,18 +94,17 @@ def start_collector(
 ) -> StreamingQuery:
     """Follow a folder of dropped log files; append events by batch and day.
 
-    A repeated batch overwrites its own folder, so every line is kept once.
+    A repeated batch overwrites its own folder, so the table holds every line once.  To a
+    stream that follows the table the rewritten files are new; it tells lines apart by their
+    ``event_key`` (file, split and row in the split).
     """
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.text(landing).select("value", F.col("_metadata.file_block_start").alias("_block"))
+    raw = reader.text(landing).select("value", F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_path").alias("_file"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Order inside a file: start of the split, then the row in its task.
-        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = batch.select("value", (F.col("_block") + row).alias("line_no"))
-        events = live_events(numbered, dialect, year, source, clean=fmt == "csv")
+        events = live_events(numbered_lines(batch), dialect, year, source, clean=fmt == "csv")
         writer = events.write.mode("overwrite").format(fmt).option("header", "true")
         writer.partitionBy("day").save(f"{out}/batch={batch_id}")
 
@@ -116,6 +117,20 @@ def start_collector(
     )
 
 
+def numbered_lines(batch: DataFrame) -> DataFrame:
+    """``value, line_no, event_key`` of raw lines with their ``_file`` and ``_block`` (split start).
+
+    Rows count from the start of their split, whichever splits share a task, so a repeated batch
+    gives the same numbers.  ``line_no`` orders lines of one file by place and keeps files apart
+    by a hash (12 bits, so that it stays below 10^16).
+    """
+    rows = batch.select("value", "_file", "_block", F.monotonically_increasing_id().alias("_id"))
+    begin = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"))
+    placed = rows.join(begin, ["_file", "_block"]).withColumn("_row", F.col("_id") - F.col("_first"))
+    slot = F.shiftleft(F.pmod(F.xxhash64("_file"), F.lit(1 << 12)), 40)
+    return placed.select("value", (slot + F.col("_block") + F.col("_row")).alias("line_no"), F.xxhash64("_file", "_block", "_row").alias("event_key"))
+
+
 def _as_lines(events: DataFrame) -> DataFrame:
     """Parsed events as a line table; the host is the series."""
     return events.where("parsed").withColumn("source_file", F.col("host"))
@@ -125,7 +140,7 @@ def live_windows(events: DataFrame, model: Model, dialect: str | Dialect, width:
     """Closed windows of an event stream with the base columns a model needs.
 
     All aggregates are sums and one set of process names, so a busy window is
-    combined on the map side.
+    combined on the map side.  Lines of a repeated batch count once.
     """
     d = as_dialect(dialect)
     procs, _ = expected_inputs(model.features)
@@ -134,6 +149,7 @@ def live_windows(events: DataFrame, model: Model, dialect: str | Dialect, width:
     return (
         _as_lines(events)
         .withWatermark("ts", lateness)
+        .dropDuplicatesWithinWatermark(["event_key"])
         .groupBy("source_file", F.window("ts", f"{width_seconds(width)} seconds").alias("w"))
         .agg(
             F.count("*").alias("lines"),
@@ -241,18 +257,26 @@ def _trend_row(history: list[list[float]], base: list[str]) -> dict:
 
 
 def alert_state(rule: AlertRule):
-    """State step of one series: last six base rows, last k decisions.
+    """State step of one series: last six base rows, last k decisions, last window.
 
-    Called with the closed windows of one trigger; there is one small row per window.
+    Called with the closed windows of one trigger; there is one small row per window.  Windows
+    of a series close in order, so one that isn't after the last was seen before (a repeated
+    batch) and is passed over.  State of a silent series stays (a few numbers): a timeout would keep
+    a run over the available input from ending.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flat, ring = (list(map(list, state.get)) if state.exists else ([], []))
+        flat, ring, last = state.get if state.exists else ([], [], -1)
+        flat, ring = list(flat), list(ring)
         width = max(1, len(rule.base))
         history = [flat[i : i + width] for i in range(0, len(flat), width)] if rule.base else []
         rows = pd.concat(list(frames)).sort_values("bucket")
         out = []
         for r in rows.to_dict("records"):
+            at = pd.Timestamp(r["bucket"]).value
+            if at <= last:
+                continue
+            last = at
             history = (history + [[float(r[b]) for b in rule.base]])[-HISTORY:]
             # trends count every window, decisions only those with enough lines
             if r["lines"] < rule.min_lines:
@@ -265,7 +289,7 @@ def alert_state(rule: AlertRule):
             ring = (ring + [raw])[-rule.k :]
             confirmed = int(len(ring) == rule.k and sum(ring) == rule.k)
             out.append((key[0], r["bucket"], score, raw, confirmed, int(r["lines"]), r["example_text"]))
-        state.update(([v for h in history for v in h], ring))
+        state.update(([v for h in history for v in h], ring, last))
         names = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
         yield pd.DataFrame(out, columns=names)
 
@@ -298,7 +322,7 @@ def start_alerts(
     alerts = closed.groupBy("source_file").applyInPandasWithState(
         alert_state(rule),
         ALERT_SCHEMA,
-        "history array<double>, ring array<int>",
+        "history array<double>, ring array<int>, last long",
         "append",
         GroupStateTimeout.NoTimeout,
     )
@@ -356,11 +380,13 @@ def start_live(
 def run_available(
     spark: SparkSession, landing: str, root: str, model: Model, threshold: float, dialect: str | Dialect = "linux",
     width: str = packs.DEFAULT_WINDOW, year: int = packs.DEFAULT_YEAR, k: int = packs.DEFAULT_K_CONFIRM,
-    min_lines: int = packs.DEFAULT_MIN_LINES, lateness: str = LATENESS,
+    min_lines: int = packs.DEFAULT_MIN_LINES, lateness: str = LATENESS, final: bool = False,
 ) -> StreamingQuery:
     """Take in what lies in ``landing`` now, through all three queries, then stop.
 
-    Returns the finished window query.  Calling it again goes on from the checkpoints.
+    Returns the finished window query.  Calling it again goes on from the checkpoints.  Windows
+    that the watermark hasn't passed stay open, unless ``final`` says that the input ends here:
+    then they are all closed, and lines that come later are late.
     """
     start_collector(
         spark, landing, f"{root}/events", f"{root}/_collect", dialect, year, trigger=AVAILABLE
@@ -370,12 +396,30 @@ def run_available(
         spark, f"{root}/events", f"{root}/windows", f"{root}/_windows", model, dialect, width, lateness, AVAILABLE
     )
     closing.awaitTermination()
+    if final:
+        end_of_input(spark, f"{root}/events", width, lateness)
+        closing = start_windows(
+            spark, f"{root}/events", f"{root}/windows", f"{root}/_windows", model, dialect, width, lateness, AVAILABLE
+        )
+        closing.awaitTermination()
     start_alerts(
         spark, f"{root}/windows", f"{root}/alerts", f"{root}/_alerts", model, threshold, dialect, k, min_lines, AVAILABLE
     ).awaitTermination()
     return closing
 
 
+def end_of_input(spark: SparkSession, events_path: str, width: str, lateness: str) -> None:
+    """Add one event so late that the watermark passes all windows; its own window stays open."""
+    stored = spark.read.schema(EVENT_SCHEMA).parquet(events_path).where("parsed")
+    after = F.expr(f"INTERVAL {lateness}") + F.expr(f"INTERVAL {2 * width_seconds(width)} SECONDS")
+    mark = stored.agg(F.max("ts").alias("ts")).where("ts is not null").select(
+        (F.col("ts") + after).alias("ts"), F.lit("").alias("host"), F.lit(END_OF_INPUT).alias("os"), F.lit(END_OF_INPUT).alias("source"),
+        F.lit("").alias("process"), F.lit("").alias("pid"), F.lit("").alias("message"), F.lit("").alias("raw"), F.lit(True).alias("parsed"),
+        F.lit(0).cast("long").alias("line_no"), F.xxhash64(F.lit(END_OF_INPUT), "ts").alias("event_key"),
+    ).withColumn("day", F.to_date("ts"))
+    mark.coalesce(1).write.mode("overwrite").partitionBy("day").parquet(f"{events_path}/batch={END_BATCH}")
+
+
 def make_folders(spark: SparkSession, *paths: str) -> None:
     """Create folders on whatever file system a path names; a stream source must exist."""
     jvm = spark.sparkContext._jvm
