@@ -9,7 +9,7 @@ from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect, dialect as as_dialect
 from augurlog.functions.rules import chains, decomposable, match_sql, matches, quoted
 from augurlog.functions.text import line_text
-from augurlog.operators.windows import KEYS, LINE_POSITION, bucketed, grouped_lines, merge_groups, require
+from augurlog.operators.windows import KEYS, LINE_POSITION, bucketed, grouped_lines, merge_groups, require, window_text
 from augurlog.session import broadcast_if_small, materialise
 
 NORMAL = "NORMAL"
@@ -121,13 +121,15 @@ def label_windows(
 
     Same result as joining each window's lines and searching the joined text,
     without joining them.  ``lines`` should be a written table (``read_logs`` gives
-    one): a filter on fields still being parsed would repeat the parsing.  Rules that ``rules.chains`` cannot read line by line
-    make this fail; use ``window_text`` and ``label_text`` for those.
+    one): a filter on fields still being parsed would repeat the parsing.  A dialect with rules
+    that ``rules.chains`` cannot read line by line (such as chains of more than three parts) is
+    labelled by the joined text, as ``window_text`` and ``label_text`` do it.
     """
     d = as_dialect(dialect)
-    bad = [name for name, pattern in d.rules if not decomposable(pattern)]
-    if bad:
-        raise ValueError(f"rules {bad} need the joined text; use window_text + label_text")
+    if not all(decomposable(pattern) for _, pattern in d.rules):
+        features = merge_groups(grouped_lines(lines, width, d, keywords), d, processes, keywords)
+        text = window_text(lines, width).select(*KEYS, "text_with_proc")
+        return label_text(features.join(text, KEYS, "left"), d).drop("text_with_proc")
     # One pass over the lines; written, because the table of top processes, the
     # windows and the test for open chains all start from it.
     grouped = materialise(grouped_lines(lines, width, d, keywords, rules=True), "grouped")

@@ -88,12 +88,18 @@ def test_three_part_chain_is_settled_by_a_middle_between_outer_ones(make_lines):
     assert label(["cc", "bb", "aa"]) == "NORMAL"
 
 
-def test_rule_that_needs_the_text_is_refused(make_lines):
-    d = Dialect("t", ".*", {}, (("R", r"^start"),))
-    lines = make_lines([("f", 1, "10:00:00", "p", "m")])
-    with pytest.raises(ValueError, match="joined text"):
-        labels.label_windows(lines, "60s", d)
-    assert labels.label_text(windows.window_text(lines, "60s"), d).first().window_label == "NORMAL"
+def test_rules_that_need_the_text_are_labelled_by_it(make_lines):
+    d = Dialect("t", ".*", {}, (("START", r"^p: start"), ("FOUR", r"aa.*bb.*cc.*dd")))
+
+    def label(*messages):
+        lines = make_lines([("f", i, "10:00:00", "p", m) for i, m in enumerate(messages)])
+        row = labels.label_windows(lines, "60s", d).first()
+        return row.window_label, row.window_is_anomaly, row.lines
+
+    assert label("m") == ("NORMAL", 0, 1)
+    assert label("start", "aa") == ("START", 1, 2)
+    assert label("aa", "bb", "cc", "dd") == ("FOUR", 1, 4)
+    assert label("aa", "cc", "bb", "dd") == ("NORMAL", 0, 4)
 
 
 def test_label_text_null_empty_and_first_rule_wins(spark):
