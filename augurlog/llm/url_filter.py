@@ -67,8 +67,8 @@ def spread(seeds: DataFrame, links: DataFrame, source: str, target: str) -> Data
     """
     out = links.groupBy(source).agg(F.sum("n").alias("total"))
     shares = materialise(links.join(out, source).select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("n") / F.col("total")).alias("share")), "link_shares")
-    total = seeds.agg(F.sum("weight").alias("all"))
-    start = materialise(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("weight") / F.col("all")).alias("rank")), "seeds")
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0
+    start = materialise(seeds.select("host", (F.col("weight") / F.lit(float(total))).alias("rank")), "seeds")
     rank = start
     # Without links every step gives the same ranks.
     for step in range(1, (1 if shares.isEmpty() else ITERATIONS) + 1):
