@@ -110,3 +110,15 @@ def test_scratch_follows_the_session(spark):
     assert configured is None or path.startswith(configured)
     kept = materialise(spark.range(3))
     assert kept.count() == 3 and pathlib.Path(kept.inputFiles()[0].replace("file://", "")).exists()
+
+
+def test_scratch_of_a_cluster_must_be_shared():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session, "x")
