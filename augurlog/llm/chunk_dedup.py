@@ -49,7 +49,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         apart[1:] = (row[1:] != row[:-1]) | (ends[1:] - ends[:-1] >= LEAST)
         full = np.flatnonzero(np.diff(bounds))
         ends = np.unique(np.concatenate([ends[apart], bounds[full + 1]]))
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], ends]).astype(np.int64)[:-1]
         row = np.searchsorted(bounds, starts, "right") - 1
         yield lo, hi, data, bounds, starts, ends, row, tc.span_hashes(data, starts, ends, tc.EXACT)
 
