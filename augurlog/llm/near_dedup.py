@@ -293,13 +293,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     return out.select("doc_id", "n_shingles", "cls", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, columns unchanged.
 
     Rows that repeat the doc_id of a kept document are dropped too; documents without words stay,
     as do documents without a doc_id whose group has none with one (one of each).
     """
-    found = materialise(near_duplicates(docs, percent), "near_duplicates").where("kept")
+    found = materialise(near_duplicates(docs, percent, rows=rows), "near_duplicates").where("kept")
     with_id = found.where("doc_id is not null")
     keep = docs.join(with_id.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     repeated = materialise(with_id.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
