@@ -1,141 +1,271 @@
-"""Repeated passages found by content-defined chunking, and removed from all documents but the first.
+"""Repeated passages found by content-defined grams, and removed from all documents but the first.
 
-A gear hash rolls over the bytes of a text: twice the last value plus a value per byte, in 16 bits,
-so that only the last 16 bytes count.  A chunk ends where the hash is small.  Ends depend on nearby
-content alone, so after an insertion the chunks of what follows are the same again.  Chunks are
-compared by 64-bit digests across all documents.  A run of consecutive chunks that earlier documents
-(smaller ids) hold too, of ``MIN_BYTES`` together, is a repeated passage.
+A gear hash rolls over the bytes of a text: twice the last value plus a value per byte, over 16
+bytes.  Of every ``min_bytes - GRAM + 1`` neighbouring grams (stretches of ``GRAM`` bytes) the one
+with the smallest hash is an *anchor*; nothing else decides, so two texts that share ``min_bytes``
+bytes anywhere have the same anchor in them, whatever the words are.  Anchors are compared by 64-bit
+digests across all documents.  Anchors that earlier documents (smaller ids) hold too and that join
+up are a run.  At the two ends of a run longer stretches, of four fifths of ``min_bytes``, are
+compared the same way, at steps of a fifth around the anchor.  A run with these, of four fifths of
+``min_bytes`` or more, is a passage.  So all that has ``min_bytes`` bytes in a row of an earlier
+document is found, to a fifth of ``min_bytes`` at either end, and nothing below four fifths is.
 
-The shuffles carry a digest and an id per chunk, pre-aggregated by digest; a passage of very many
+The shuffles carry a digest and an id per anchor, pre-aggregated by digest; a passage of very many
 documents is one row of that aggregate, and the join with it is one that adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from augurlog.llm import textcore as tc
-from augurlog.session import materialise
+from augurlog.session import broadcast_if_small, materialise
 
-#: Mean distance of ends, and the least from one possible end to the next that is taken, in bytes.
-MEAN, LEAST = 24, 8
-WINDOW = 16
-#: Bytes of a run of repeated chunks that make it a passage.  Passages of over 50 words hold such a
-#: run but for about one in 200; single stock sentences, such as licence lines, do not.
+#: Bytes of a gram, and of its first bytes that the gear hash reads.
+GRAM, WINDOW = 48, 16
+#: Bytes in a row that are always found.  51 words have 101 bytes at least; single stock sentences,
+#: such as licence lines, have fewer.
 MIN_BYTES = 100
+#: Anchors whose surroundings are hashed at once.
+SLICE = 1 << 14
+#: Bytes of text handled at once.
+PIECE = 1 << 19
 
-_GEAR = (tc.seeds(256, 31) >> np.uint64(40)).astype(np.uint16)
-
-
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, end row, bytes, row bounds, then start, end, row and digest of every chunk."""
-    for lo, hi, data, bounds in tc.pieces(column):
-        h = _GEAR[data]
-        for step in (1, 2, 4, 8):
-            longer = h.copy()
-            longer[step:] += h[:-step] << np.uint16(step)
-            h = longer
-        ends = np.flatnonzero(h < (1 << 16) // MEAN) + 1
-        row = np.searchsorted(bounds, ends - 1, "right") - 1
-        inside = ends - bounds[row] >= WINDOW
-        ends, row = ends[inside], row[inside]
-        apart = np.ones(len(ends), bool)
-        apart[1:] = (row[1:] != row[:-1]) | (ends[1:] - ends[:-1] >= LEAST)
-        full = np.flatnonzero(np.diff(bounds))
-        ends = np.unique(np.concatenate([ends[apart], bounds[full + 1]]))
-        starts = np.concatenate([[0], ends]).astype(np.int64)[:-1]
+_GEAR = (tc.seeds(256, 31) >> np.uint64(32)).astype(np.uint32)
+
+
+def _sizes(min_bytes: int) -> tuple[int, int]:
+    """Bytes of a gram, and neighbouring grams of which one is an anchor."""
+    if min_bytes < WINDOW:
+        raise ValueError(f"min_bytes must be {WINDOW} at least")
+    gram = max(WINDOW, min(GRAM, min_bytes // 2))
+    return gram, min_bytes - gram + 1
+
+
+def anchors(column: pa.Array, min_bytes: int = MIN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, end row, bytes, row bounds, then start, row and digest of every anchor in order."""
+    gram, width = _sizes(min_bytes)
+    for lo, hi, data, bounds in tc.pieces(column, PIECE):
+        lengths = np.diff(bounds)
+        starts = np.zeros(0, np.int64)
+        if len(lengths) and lengths.max() >= min_bytes:
+            h = _GEAR[data]
+            for step in (1, 2, 4, 8):
+                longer = h.copy()
+                longer[step:] += h[:-step] << np.uint32(step)
+                h = longer
+            # The place breaks ties, so that the first of equal hashes counts.
+            least = (h[WINDOW - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange(len(data) - WINDOW + 1, dtype=np.uint64)
+            seen = 1
+            while seen < width:
+                step = min(seen, width - seen)
+                least = np.minimum(least[:-step], least[step:])
+                seen += step
+            left = np.repeat(bounds[1:], lengths)[: len(least)] - np.arange(len(least))
+            chosen = (least[left >= min_bytes] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.ones(len(chosen), bool)
+            new[1:] = chosen[1:] != chosen[:-1]
+            starts = chosen[new]
         row = np.searchsorted(bounds, starts, "right") - 1
-        yield lo, hi, data, bounds, starts, ends, row, tc.span_hashes(data, starts, ends, tc.EXACT)
+        yield lo, hi, data, bounds, starts, row, tc.span_hashes(data, starts, starts + gram, tc.EXACT)
+
+
+def _around(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, row: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which anchor, start and digest of the stretches of four fifths of ``min_bytes`` around each anchor, within its row.
+
+    An anchor in a passage is less than ``width`` from its begin if it is the first, and from its end
+    if it is the last; one of the steps is then less than a step from that end, and within the passage.
+    """
+    _, width = _sizes(min_bytes)
+    size = min_bytes * 4 // 5
+    step = min_bytes - size
+    begin = (starts[:, None] - step * np.arange(-1, max((width - 1) // step, width // step) + 1)).ravel()
+    of = np.repeat(np.arange(len(starts)), len(begin) // max(len(starts), 1))
+    inside = (begin >= bounds[row[of]]) & (begin + size <= bounds[row[of] + 1])
+    of, begin = of[inside], begin[inside]
+    return of, begin, tc.span_hashes(data, begin, begin + size, tc.EXACT)
+
+
+def _runs(starts: np.ndarray, row: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first and the last anchor of every run of anchors that overlap or touch."""
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (starts[1:] > starts[:-1] + gram) | (row[1:] != row[:-1])
+    head = np.flatnonzero(fresh)
+    return head, np.append(head[1:], len(starts))[: len(head)] - 1
+
+
+def _joined(begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches sorted by their begin, those of a row that overlap or touch made one."""
+    fresh = np.ones(len(begin), bool)
+    fresh[1:] = (begin[1:] > np.maximum.accumulate(end)[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(fresh)
+    return begin[head], np.maximum.reduceat(end, head) if len(head) else end, row[head]
+
+
+def _long(values: np.ndarray) -> np.ndarray:
+    return values.view(np.int64)
+
+
+def _listed(digest: np.ndarray, row: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Which digests are in the list of their row; ``row`` ascends."""
+    found = np.zeros(len(digest), bool)
+    first = np.searchsorted(row, np.arange(len(lists) + 1))
+    for i, listed in enumerate(lists):
+        found[first[i] : first[i + 1]] = np.isin(_long(digest[first[i] : first[i + 1]]), listed)
+    return found
 
 
-def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest), each digest once per document."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _each_digest(docs: DataFrame, columns: list[str], digests: Callable, more: str = "") -> DataFrame:
+    """(doc_id, digest) and more; ``digests(batch)`` gives row numbers, digests and further values of a batch."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "digest", *([more.split()[0]] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, _, _, _, _, row, digest in chunks(batch.column(1)):
-                order = np.lexsort((digest, row))
-                row, digest = row[order], digest[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row[new])), pa.array(digest[new].view(np.int64))], names=["doc_id", "digest"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, digest long")
-
-
-def _runs(repeated: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the runs of repeated chunks of at least ``min_bytes``."""
-    at = np.flatnonzero(repeated)
-    if not len(at):
-        return at, at, at
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
-    head = np.flatnonzero(fresh)
-    tail = np.concatenate([head[1:], [len(at)]]) - 1
-    begin, stop = starts[at[head]], ends[at[tail]]
-    long = stop - begin >= min_bytes
-    return begin[long], stop[long], row[at[head]][long]
+            for row, digest, *rest in digests(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(_long(digest)), *map(pa.array, rest)], names=names)
+
+    return docs.select("doc_id", *columns).mapInArrow(run, f"doc_id {kind}, digest long" + (f", {more}" if more else ""))
+
+
+def _thinned(starts: np.ndarray, row: np.ndarray, digest: np.ndarray, gram: int) -> np.ndarray:
+    """Anchors but for those amid many of one digest that overlap: the first and last and one per half gram stay."""
+    same = np.zeros(len(starts) + 1, bool)
+    same[1:-1] = (digest[1:] == digest[:-1]) & (row[1:] == row[:-1]) & (starts[1:] - starts[:-1] <= gram)
+    head = np.flatnonzero(~same[:-1])
+    place = (starts - np.repeat(starts[head], np.diff(np.append(head, len(starts))))) // (gram // 2)
+    kept = ~same[:-1] | ~same[1:]
+    kept[1:] |= place[1:] != place[:-1]
+    return np.flatnonzero(kept)
+
+
+def _held(digests: DataFrame) -> DataFrame:
+    """``digests`` and their owner, for the digests that several documents have; the owner has the smallest id."""
+    shared = digests.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("digest", "owner")
+    return digests.join(shared, "digest")
+
+
+def _hits(held: DataFrame, name: str, *more: str) -> DataFrame:
+    """Per document the digests that an earlier one has, the first that has them, and more columns."""
+    hits = held.where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner", *more)).alias("hits"))
+    return hits.select(F.col("doc_id").alias("_of_" + name), F.col("hits.digest").alias(name), F.col("hits.owner").alias(name + "_owner"), *[F.col("hits." + c).alias(c) for c in more])
 
 
 def deduplicated(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """``keep`` columns, the text without repeated passages, n_removed (bytes) and repeats_of (ids).
 
-    A passage stays in the document of the smallest id that has its chunks; repeats_of lists the
-    documents, in order, whose chunks the removed passages of this one repeat.  Texts without a
+    A passage stays in the document of the smallest id that has its bytes; repeats_of lists the
+    documents, in order, whose anchors the removed passages of this one repeat.  Texts without a
     repeated passage are returned as they are, null and empty ones too, with 0 and an empty list.
     Repeated rows with one doc_id count as one document, so they don't repeat each other; rows
     without an id are neither compared nor changed.  What a document repeats within itself stays.
     Characters are never split.  An empty table gives an empty result.
     """
+    gram, size = _sizes(min_bytes)[0], min_bytes * 4 // 5
     kind = docs.schema[doc_id].dataType
-    digests = _digests(docs, doc_id, text)
-    shared = digests.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("digest", "owner")
-    hits = digests.join(shared, "digest").where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner")).alias("hits"))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
+
+    def whole(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, _, data, bounds, starts, row, digest in anchors(batch.column(1), min_bytes):
+            # Repeated rows of a doc_id may have different texts: the place is one in the text of this hash.
+            texts = (tc.span_hashes(data, bounds[:-1], bounds[1:], tc.EXACT) >> np.uint64(33)).astype(np.int64) << 32
+            some = _thinned(starts, row, digest, gram)
+            yield lo + row[some], digest[some], texts[row[some]] + starts[some] - bounds[row[some]]
+
+    held = materialise(_held(_each_digest(own, ["text"], whole, "place long")), "held")
     names = {n: tc.unused(n, [c for c in keep if c != text]) for n in ("n_removed", "repeats_of")}
-    marks = tc.unused("hits", docs.columns)
-    hits = materialise(hits.select(F.col("doc_id").alias("_of"), F.col("hits.digest").alias(marks), F.col("hits.owner").alias(marks + "_owner")), "repeats")
+    marks, stretch = tc.unused("hits", docs.columns), tc.unused("stretch", docs.columns)
+    hits = materialise(_hits(held, marks, "place"), "repeats")
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, place = (np.asarray(batch.column(i).flatten()) for i in (0, 1))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(0))))
+            order = np.lexsort((place, row))
+            head, tail = _runs(place[order], row[order], gram)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(digest[order][np.concatenate([head, tail])]))], names=["digest"])
+
+    edges = materialise(hits.select(marks, "place").mapInArrow(outer, "digest long").distinct(), "edges")
+    ends = held.select("digest", "doc_id").join(edges, "digest").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("digest").alias("ends"))
+    ends = materialise(ends, "ends")
+
+    def around(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi, data, bounds, starts, row, digest in anchors(batch.column(1), min_bytes):
+            at = np.flatnonzero(_listed(digest, row, [np.asarray(batch.column(2)[i].values) for i in range(lo, hi)]))
+            for a in range(0, len(at), SLICE):
+                part = at[a : a + SLICE]
+                of, _, stretch = _around(data, bounds, starts[part], row[part], min_bytes)
+                of = lo + row[part][of]
+                order = np.lexsort((stretch, of))
+                of, stretch = of[order], stretch[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (stretch[1:] != stretch[:-1])
+                yield of[new], stretch[new]
+
+    # Texts without an end are left out before the texts are moved, while the ids of the others are few.
+    concerned = own.join(broadcast_if_small(ends.select("_of")), F.col("doc_id") == F.col("_of"), "left_semi")
+    around_ends = _each_digest(concerned.join(ends, F.col("doc_id") == F.col("_of")), ["text", "ends"], around)
+    stretches = materialise(_hits(_held(materialise(around_ends, "around")), stretch), "stretches")
+
     kept = [c for c in keep if c != text]
-    joined = docs.join(hits, F.col(f"`{doc_id}`") == F.col("_of"), "left").select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), marks, marks + "_owner")
+    found = [marks, marks + "_owner", stretch, stretch + "_owner"]
+    lists = hits.join(stretches, F.col("_of_" + marks) == F.col("_of_" + stretch), "left").select("_of_" + marks, *found)
+    joined = docs.join(lists, F.col(f"`{doc_id}`") == F.col("_of_" + marks), "left").select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), *found)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(text, T.StringType()), T.StructField(names["n_removed"], T.LongType()), T.StructField(names["repeats_of"], T.ArrayType(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, column, lists, owners = len(kept), batch.column(len(kept)), batch.column(len(kept) + 1), batch.column(len(kept) + 2)
+            more, more_owners = batch.column(n + 3), batch.column(n + 4)
             hit_rows = np.flatnonzero(np.asarray(lists.is_valid()))
             texts, removed, of = column.to_pylist(), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for lo, hi, data, bounds, starts, ends, row, digest in chunks(column.take(pa.array(hit_rows))):
-                first = np.searchsorted(row, np.arange(hi - lo + 1))
-                repeated = np.zeros(len(row), bool)
-                owner: list = [None] * (hi - lo)
-                for i in range(hi - lo):
-                    k = int(hit_rows[lo + i])
-                    owner[i] = dict(zip(lists[k].as_py(), owners[k].as_py(), strict=True))
-                    own = digest[first[i] : first[i + 1]]
-                    repeated[first[i] : first[i + 1]] = np.isin(own.view(np.int64), np.fromiter(owner[i], np.int64))
-                begin, stop, at = _runs(repeated, starts, ends, row, min_bytes)
+            for lo, hi, data, bounds, starts, row, digest in anchors(column.take(pa.array(hit_rows)), min_bytes):
+                rows = [int(k) for k in hit_rows[lo:hi]]
+                owner = [dict(zip(lists[k].as_py(), owners[k].as_py(), strict=True)) for k in rows]
+                beyond = [dict(zip(more[k].as_py() or [], more_owners[k].as_py() or [], strict=True)) for k in rows]
+                known = _listed(digest, row, [np.fromiter(o, np.int64) for o in owner])
+                starts, row, digest = starts[known], row[known], digest[known]
+                head, tail = _runs(starts, row, gram)
+                edge = np.unique(np.concatenate([head, tail]))
+                begins, sources = [starts[head]], [set() for _ in head]
+                for a in range(0, len(edge), SLICE):
+                    part = edge[a : a + SLICE]
+                    whose, place, longer = _around(data, bounds, starts[part], row[part], min_bytes)
+                    whose = row[part][whose]
+                    on = np.flatnonzero(_listed(longer, whose, [np.fromiter(o, np.int64) for o in beyond]))
+                    begins.append(place[on])
+                    sources += [{beyond[i][d]} for i, d in zip(whose[on].tolist(), _long(longer[on]).tolist(), strict=True)]
+                begin = np.concatenate(begins)
+                stop = np.concatenate([starts[tail] + gram, begin[len(head) :] + size])
+                order = np.argsort(begin, kind="stable")
+                begin, stop, sources = begin[order], stop[order], [sources[j] for j in order]
+                first, last, at = _joined(begin, stop, np.searchsorted(bounds, begin, "right") - 1)
+                long = last - first >= size
+                first, last, at = first[long], last[long], at[long]
                 for i in np.unique(at):
-                    k, pieces, last, sources = int(hit_rows[lo + i]), [], int(bounds[i]), set()
-                    for b, e in zip(begin[at == i].tolist(), stop[at == i].tolist(), strict=True):
-                        inner = np.searchsorted(starts, b), np.searchsorted(starts, e)
-                        sources.update(owner[i][int(d)] for d in digest[inner[0] : inner[1]].view(np.int64))
+                    k, pieces, done, origins = rows[i], [], int(bounds[i]), set()
+                    for b, e in zip(first[at == i].tolist(), last[at == i].tolist(), strict=True):
+                        inner = slice(*np.searchsorted(starts, (b, e)))
+                        origins.update(owner[i][int(d)] for d in _long(digest[inner]))
+                        for j in range(*np.searchsorted(begin, (b, e))):
+                            origins |= sources[j]
                         while b < e and data[b] & 0xC0 == 0x80:
                             b += 1
                         while e > b and e < bounds[i + 1] and data[e] & 0xC0 == 0x80:
                             e -= 1
-                        pieces.append(data[last:b])
+                        pieces.append(data[done:b])
                         removed[k] += e - b
-                        last = e
-                    pieces.append(data[last : bounds[i + 1]])
+                        done = e
+                    pieces.append(data[done : bounds[i + 1]])
                     texts[k] = np.concatenate(pieces).tobytes().decode("utf-8", "replace")
-                    of[k] = sorted(sources)
+                    of[k] = sorted(origins)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string()), pa.array(removed), pa.array(of, owners.type)], names=schema.names)
 
     return joined.mapInArrow(run, schema)

@@ -217,6 +217,60 @@ def test_repeats_across_documents(make_docs):
             assert got[i].n_removed == 0 and got[i].text == text and got[i].repeats_of == []
 
 
+def shared_bytes(text, earlier, size):
+    """Mask of the bytes that lie in a stretch of ``size`` bytes which an earlier text has."""
+    known = {e[i : i + size] for e in earlier for i in range(len(e) - size + 1)}
+    mask = np.zeros(len(text), bool)
+    for i in range(len(text) - size + 1):
+        if text[i : i + size] in known:
+            mask[i : i + size] = True
+    return mask
+
+
+def test_repeats_are_whole(make_docs):
+    """Passages of 51 words go, to a fifth of MIN_BYTES at either end, also of short words, of repeated phrases and of one character."""
+    rng = random.Random(11)
+    word = lambda least, most: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(least, most)))
+    fresh = lambda n, least=2, most=9: " ".join(word(least, most) for _ in range(n))
+    phrase = fresh(4)
+    passages = [*(fresh(51, 1, 1) for _ in range(20)), *(fresh(51, 1, 3) for _ in range(20)), *(fresh(51) for _ in range(20)), *(" ".join([fresh(k)] * 51)[:110] for k in range(1, 8)), " ".join([phrase] * 15), "z" * 101]
+    rows = []
+    for i, passage in enumerate(passages):
+        rows += [(2 * i + 1, f"{fresh(30)}<{passage}>{fresh(30)}"), (2 * i + 2, f"{fresh(20)}[{passage}]{fresh(20)}")]
+    # A document that has the first half only, and one that comes first with a stock phrase of 45 bytes.
+    tail = fresh(60)
+    rows += [(1000, tail[:45] + fresh(20)), (1001, f"{fresh(20)} {tail}"), (1002, f"{fresh(20)}_{tail[:130]}_{fresh(20)}")]
+    got = {r.doc_id: r for r in chunk_dedup.deduplicated(make_docs(rows), ["doc_id"]).collect()}
+    for i, text in rows:
+        earlier = [t for j, t in rows if j < i]
+        mask = shared_bytes(text, earlier, chunk_dedup.MIN_BYTES)
+        at, gone = int(mask.argmax()), got[i].n_removed
+        assert mask.sum() - 40 < gone <= mask.sum() and (gone >= 80 if mask.any() else got[i].text == text), (i, text)
+        assert any(at <= b < at + 20 and got[i].text == text[:b] + text[b + gone :] for b in range(len(text))) or not gone
+        assert mask.any() == (i % 2 == 0 and i != 1000), i
+    assert all(2 * i + 1 in got[2 * i + 2].repeats_of for i in range(len(passages))) and 1001 in got[1002].repeats_of
+
+
+def test_repeats_of_many_pieces(make_docs):
+    """Stretches of a few earlier documents, in any number and of any length: nothing of 100 bytes stays, nothing that is no run goes."""
+    rng = random.Random(12)
+    source = ["".join(rng.choices("abé ü😀", k=400)) for _ in range(6)]
+    rows = [(i, s) for i, s in enumerate(source)]
+    for i in range(10, 60):
+        cut = lambda: (s := rng.choice(source))[(a := rng.randrange(300)) : a + rng.choice([15, 40, 60, 90, 130])]
+        rows.append((i, "".join(cut() for _ in range(6))))
+    got = {r.doc_id: r for r in chunk_dedup.deduplicated(make_docs(rows), ["doc_id"]).collect()}
+    for i, text in rows:
+        data, earlier = text.encode(), [t.encode() for j, t in rows if j < i]
+        may, known = shared_bytes(data, earlier, chunk_dedup.GRAM), {e[k : k + 100] for e in earlier for k in range(len(e) - 99)}
+        must = np.zeros(len(data), bool)
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in known:
+                must[k + 23 : k + 77] = True  # a fifth at either end may stay, and a cut character
+        assert must.sum() <= got[i].n_removed <= may.sum()
+        assert len(got[i].text.encode()) + got[i].n_removed == len(data)
+
+
 def test_surrogates(make_docs):
     phones = [f"+1 ({200 + i}) 555-{1000 + i}" for i in range(300)]
     rows = [(i, f"call {p} or mail u{i}@mail.example.com about password=ab12cd{i:04d}x, {i}.") for i, p in enumerate(phones)]
