@@ -46,6 +46,7 @@ ENDINGS = {"latin": "er", "cyrillic": "ко", "greek": "ος"}
 
 _ALL_TITLES = "|".join(t for group in TITLES.values() for t in group)
 _LOCAL = "A-Za-z0-9._%+-"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _SECRET = rf"(?i:{'|'.join(SECRET_WORDS)})\"?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
 PATTERN = "|".join([
     rf"(?<![A-Za-z0-9]){_SECRET}[^\s\"'<>,;]{{6,}}",
@@ -53,11 +54,18 @@ PATTERN = "|".join([
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    # Other numbers with a country code: 7 to 15 digits in any groups.
+    r"(?<![\p{L}\d+])\+\d(?:[ .()/-]{0,2}\d){6,14}(?!\d)",
     r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
     r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     r"(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)",
+    # National numbers: a leading 0 and groups, 3-3-4 with spaces, and nine digits that begin with 6 to 9.
+    r"(?<![\p{L}\d.,+-])(?!\d\d[/-]\d\d[/-]\d{4})0(?=(?:\d[ /-]?){8,11}(?!\d))\d{1,4}[ /-]\d{2,8}(?:[ /-]\d{2,8}){0,4}(?!\d)",
+    r"(?<![\p{L}\d.,+-])\d{3} \d{3} \d{4}(?![\d-])",
+    r"(?<![\p{L}\d.,+-])[6-9]\d{2}(?:(?: \d{3}){2}|(?: \d{2}){3})(?![\d-])",
+    rf"(?<![\p{{L}}\d:.])(?=[0-9A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{7}}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\d:])",
     rf"(?<![\p{{L}}\p{{N}}])(?:{_ALL_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 ])
 
@@ -73,9 +81,11 @@ def _kind(v: str) -> str:
     secret, title = _quoted("^" + _SECRET), _quoted(rf"^(?:{_ALL_TITLES})\.? ")
     return f"""CASE
       WHEN {v} rlike {secret} THEN 'secret' WHEN contains({v}, '@') THEN 'email' WHEN {v} rlike '^AKIA' THEN 'key'
+      WHEN {v} rlike '^[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]+$' THEN 'ip6'
       WHEN {v} rlike '^[A-Z]{{2}}[0-9]{{2}}' THEN 'iban' WHEN {v} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
       WHEN {v} rlike {_quoted(r'^[0-9]{1,3}([.][0-9]{1,3}){3}$')} THEN 'ip' WHEN {v} rlike {title} THEN 'name'
-      WHEN {v} rlike {_quoted(r'^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$')} THEN 'phone' ELSE 'card' END"""
+      WHEN {v} rlike {_quoted(r'^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$')} THEN 'phone'
+      WHEN length(regexp_replace({v}, '[^0-9]', '')) < 13 THEN 'phone' ELSE 'card' END"""
 
 
 def _units(v: str) -> str:
@@ -98,10 +108,12 @@ def _normal(kind: Column, value: Column) -> Column:
     """What makes two mentions the same thing."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(kind == "phone", F.expr("right(regexp_replace(value, '[^0-9]', ''), 10)"))
+        # Without the country code, or the 0 in its place.
+        F.when((kind == "phone") & value.rlike("^[+][0-9]{1,3}[ .()/-]|^0"), F.right(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "^[+][0-9]{1,3}", ""), "[^0-9]", ""), "^0", ""), F.lit(12)))
+        .when(kind == "phone", F.right(digits, F.lit(10)))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when((kind == "email") | (kind == "surname") | kind.startswith("given"), F.lower(value))
+        .when((kind == "email") | (kind == "ip6") | (kind == "surname") | kind.startswith("given"), F.lower(value))
         .otherwise(value)
     )
 
@@ -145,7 +157,7 @@ def _drawn(units: DataFrame, key: str) -> DataFrame:
     hashed, by_class, shape = _surrogate(key)
     script = F.when(F.col("norm").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("norm").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     byte = "transform(sequence(0, 63), i -> CAST(conv(substr(hash, 2 * i + 1, 2), 16, 10) AS INT))"
-    hashes = units.withColumn("hash", F.expr(hashed)).withColumn("script", script).withColumn("hexed", F.expr("kind = 'secret' AND norm rlike '^[0-9a-f]+$'"))
+    hashes = units.withColumn("hash", F.expr(hashed)).withColumn("script", script).withColumn("hexed", F.expr("kind = 'ip6' OR kind = 'secret' AND norm rlike '^[0-9a-f]+$'"))
     # Written out at each step, so that expressions used many times below are computed once.
     hashes = materialise(hashes, "pii_hashes").withColumn("b", F.expr(byte))
     shaped = materialise(materialise(hashes, "pii_bytes").withColumn("drawn", F.expr(by_class)), "pii_drawn")

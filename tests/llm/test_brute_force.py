@@ -271,6 +271,22 @@ def test_repeats_of_many_pieces(make_docs):
         assert len(got[i].text.encode()) + got[i].n_removed == len(data)
 
 
+def test_surrogates_of_other_countries(make_docs):
+    """Phone numbers of several countries and IPv6 addresses go; their format and country code stay."""
+    found = ["+49 30 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+34 912 345 678", "+49 (0)30 7654321", "030 1234567", "020 7946 0958", "01 23 45 67 89", "912 345 678", "912 34 56 78", "212 555 1234",
+             "2001:db8:85a3:0:0:8a2e:370:7334", "2001:db8::ff00:42:8329", "fe80::1ff:fe23:4567:890a"]
+    other = ["on 01-02-2024 12 came", "at 12:30:45", "std::vector x1::y", "about 1 234 567 in 2024", "word 030"]
+    rows = [(i, f"Tel. {v}, Ende") for i, v in enumerate(found)] + [(100 + i, v) for i, v in enumerate(other)]
+    got = {r.doc_id: r for r in pii.pseudonymised(make_docs(rows), "k").collect()}
+    shape = lambda v: re.sub("[0-9a-f]", "0", v)
+    for i, v in enumerate(found):
+        new = got[i].text[5:-6]
+        assert got[i].n_entities == 1 and new != v and shape(new) == shape(v), (v, got[i].text)
+        assert not v.startswith("+") or new.split()[0] == v.split()[0]
+    assert got[0].text[9:-6] == got[5].text[6:-6] and got[2].text[9:-6] == got[7].text[6:-6]
+    assert all(got[100 + i].text == v for i, v in enumerate(other))
+
+
 def test_surrogates(make_docs):
     phones = [f"+1 ({200 + i}) 555-{1000 + i}" for i in range(300)]
     rows = [(i, f"call {p} or mail u{i}@mail.example.com about password=ab12cd{i:04d}x, {i}.") for i, p in enumerate(phones)]
