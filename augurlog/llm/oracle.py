@@ -92,5 +92,25 @@ FROM p LEFT JOIN hit USING (row)
 """
 
 
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.row AS a, a.id AS anchor_id, b.row AS b, b.id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.id % 50 = 0 AND a.row <> b.row
+), positive AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) <= 5
+), mined AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id NULLS LAST, n.b) AS rank
+  FROM positive p JOIN scored n ON p.a = n.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 3
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op5_link_graph_urls": OP5, "op6_weighted_fair_mix": OP6, "op8_suffix_array_decontamination": OP8}
+    return {"op13_lemp_hard_negatives": OP13, "op5_link_graph_urls": OP5, "op6_weighted_fair_mix": OP6, "op8_suffix_array_decontamination": OP8}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurlog.llm import bit_mixing, chunk_dedup, decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
+from augurlog.llm import (
+    bit_mixing, bpe_automaton, chunk_dedup, decontaminate, hard_negatives, mixing, near_dedup, pii, quality_crf, simhash, spelling, toxicity, url_filter,
+)
 from augurlog.llm.tables import table
 
 
@@ -59,5 +62,24 @@ def op10_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.deduplicated(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_bit_sliced_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe_automaton.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    texts = bpe_automaton.decoded(ids, path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return texts.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lemp_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("id"), F.col("label")
+    return hard_negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), anchor=vec_id % 50 == 0, relabel=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
