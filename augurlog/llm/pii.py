@@ -50,7 +50,8 @@ _HEX = "[0-9A-Fa-f]{1,4}"
 _SECRET = rf"(?i:{'|'.join(SECRET_WORDS)})\"?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
 PATTERN = "|".join([
     rf"(?<![A-Za-z0-9]){_SECRET}[^\s\"'<>,;]{{6,}}",
-    rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # Possessive, so the labels of a domain are matched in a loop: a domain of any length needs no stack.
+    rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",

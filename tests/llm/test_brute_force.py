@@ -310,6 +310,19 @@ def test_surrogates(make_docs):
     assert got[2001].text == rows[-1][1] and got[2001].n_entities == 0
 
 
+@pytest.mark.parametrize("text", [
+    "x@" + "a." * 500_000 + "com", "a" * 1_000_000 + "@b.example.com", "password=" + "s" * 1_000_000, "+1" + " 2" * 500_000, "1.2.3." * 170_000, "2001:" * 200_000,
+    "DE12 " + "ABCD " * 200_000, "Mrs. A" + "a" * 1_000_000, "0" + "12 34 " * 170_000, "1 " * 500_000, "a@" * 500_000, "Frau " * 200_000,
+])
+def test_surrogates_of_very_long_mentions(make_docs, text):
+    """A megabyte of what each pattern repeats."""
+    got = pii.pseudonymised(make_docs([(1, text), (2, "mail me@mail.example.com")]), "k").collect()
+    got = {r.doc_id: r for r in got}
+    assert got[2].n_entities == 1 and got[1].text is not None
+    if text[0] in "xap" and "@" in text[:1_000_002] and not text.startswith("a@"):
+        assert got[1].n_entities == 1 and got[1].text != text
+
+
 def test_surrogates_stay_apart_when_values_run_out(spark):
     units = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(50)] + [("ssn", f"{i}") for i in range(10)], "kind string, norm string")
     got = pii.surrogates(units, "k").collect()
