@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augurlog.functions import packs
 from augurlog.operators.ordered import exact_quantiles
+from augurlog.operators.series import over_rows
 from augurlog.operators.windows import require
 
 # --- fixed values: the calibration grid (quantile levels of the scores) -------
@@ -28,17 +29,16 @@ def k_confirm(
     """1 if this row and the ``k - 1`` rows before it are all 1 (``k <= 1``: unchanged)."""
     if k <= 1:
         return df.withColumn(out, F.col(flag).cast("int"))
-    last = Window.partitionBy(series).orderBy("bucket").rowsBetween(-(k - 1), 0)
-    return df.withColumn(out, (F.sum(F.col(flag).cast("long")).over(last) >= k).cast("int"))
+    ones = lambda rows: F.sum(F.col(flag).cast("long")).over(rows.rowsBetween(-(k - 1), 0))
+    return over_rows(df, lambda rows: {out: (ones(rows) >= k).cast("int")}, before=k - 1, series=series)
 
 
 def rising_edges(
     df: DataFrame, flag: str = "predict_confirmed", out: str = "rise", series: str = "source_file"
 ) -> DataFrame:
     """1 where the flag turns from 0 to 1; the first row of a series never does."""
-    order = Window.partitionBy(series).orderBy("bucket")
-    turned = (F.col(flag) == 1) & (F.lag(flag).over(order) == 0)
-    return df.withColumn(out, F.coalesce(turned, F.lit(False)).cast("int"))
+    turned = lambda rows: (F.col(flag) == 1) & (F.lag(flag).over(rows) == 0)
+    return over_rows(df, lambda rows: {out: F.coalesce(turned(rows), F.lit(False)).cast("int")}, before=1, series=series)
 
 
 def alerts_by_day(df: DataFrame, flag: str = "predict_confirmed", series: str = "source_file") -> DataFrame:
@@ -116,22 +116,20 @@ def calibration_table(
     """
     require(scores, score, target, "bucket", series)
     grid = grid if grid is not None else threshold_grid(scores, score)
-    order = Window.partitionBy(series).orderBy("bucket")
-    last_k = order.rowsBetween(-(max(1, k) - 1), 0)
+    k = max(1, k)
     points = F.array(*[F.lit(float(t)) for t in grid])
     # how many grid thresholds are <= m, i.e. at how many the window is confirmed
-    places = lambda m: F.size(F.filter(points, lambda t: t <= m))
-    full = F.count(score).over(last_k) >= max(1, k)
+    places = lambda m: F.when(m.isNull(), 0).otherwise(F.size(F.filter(points, lambda t: t <= m)))
+
+    def smallest(rows) -> dict:
+        of = lambda frame: F.when(F.count("_s").over(frame) >= k, F.min("_s").over(frame))
+        return {"_m": of(rows.rowsBetween(-(k - 1), 0)), "_m_before": of(rows.rowsBetween(-k, -1)), "_has_prev": F.lag(F.lit(1)).over(rows)}
+
+    thin = scores.select(F.to_date("bucket").alias("_day"), F.col(target).alias("_y"), F.col(score).alias("_s"), series, "bucket")
     per_window = (
-        scores.select(
-            F.to_date("bucket").alias("_day"),
-            F.col(target).alias("_y"),
-            F.lag(F.lit(1)).over(order).alias("_has_prev"),
-            F.when(full, F.min(score).over(last_k)).alias("_m"),
-            series, "bucket",
-        )
-        .withColumn("_up", F.when(F.col("_m").isNull(), 0).otherwise(places(F.col("_m"))))
-        .withColumn("_before", F.coalesce(F.lag("_up").over(order), F.col("_up")))
+        over_rows(thin, smallest, before=k, series=series)
+        .withColumn("_up", places(F.col("_m")))
+        .withColumn("_before", F.when(F.col("_has_prev").isNull(), F.col("_up")).otherwise(places(F.col("_m_before"))))
     )
     # Place p means: confirmed at the p lowest thresholds.
     by_place = per_window.groupBy("_up", "_before").agg(

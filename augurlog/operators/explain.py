@@ -25,13 +25,20 @@ def feature_names(model: Model) -> DataFrame:
     n_terms = model.meta["terms"]
     numeric = [(n_terms + i, name) for i, (name, _, _) in enumerate(model.numeric)]
     text = model.terms.select("idx", F.concat(F.lit("txt:"), "term").alias("feature"))
-    return text.unionByName(spark.createDataFrame(numeric, "idx int, feature string"))
+    named = text.unionByName(spark.createDataFrame(numeric, "idx int, feature string"))
+    return named if model.numbers is None else named.unionByName(model.numbers.select("idx", "feature"))
 
 
-def long_features(model: Model, windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``KEYS, feature, x``: the model inputs of each window, text zeros left out."""
+def long_features(model: Model, windows: DataFrame, counts: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """``KEYS, feature, x``: the scaled model inputs of each window; zeros of text and of ``numbers``
+    (``KEYS, feature, x``) are left out."""
     weighted = tfidf.weights(counts.join(windows.select(*KEYS), KEYS, "left_semi"), model.terms, KEYS)
     text = weighted.select(*KEYS, F.concat(F.lit("txt:"), "term").alias("feature"), F.col("weight").alias("x"))
+    if model.numbers is not None:
+        if numbers is None:
+            raise ValueError("the model has inputs in long form; give numbers (KEYS, feature, x)")
+        mine = numbers.join(windows.select(*KEYS), KEYS, "left_semi").join(broadcast_if_small(model.numbers.select("feature", "scale")), "feature")
+        text = text.unionByName(mine.select(*KEYS, "feature", (F.col("x") / F.col("scale")).alias("x")))
     if not model.numeric:
         return text
     value = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in windows.columns else F.lit(0.0)
@@ -46,11 +53,12 @@ def long_features(model: Model, windows: DataFrame, counts: DataFrame) -> DataFr
 
 
 def coefficient_table(model: Model) -> DataFrame:
-    """``feature, coef``: at most ``max_features`` rows plus the numeric columns."""
+    """``feature, coef``: at most ``max_features`` rows plus the numeric inputs."""
     spark = model.terms.sparkSession
     text = model.terms.select(F.concat(F.lit("txt:"), "term").alias("feature"), "coef")
     numeric = spark.createDataFrame([(n, c) for n, _, c in model.numeric], "feature string, coef double")
-    return text.unionByName(numeric)
+    every = text.unionByName(numeric)
+    return every if model.numbers is None else every.unionByName(model.numbers.select("feature", "coef"))
 
 
 def background_means(features: DataFrame, n_windows: Column) -> DataFrame:

@@ -1,14 +1,19 @@
 """The early-warning model: TF-IDF text block + scaled numeric block -> logistic regression.
 
 Fitting uses Spark ML's distributed logistic regression on sparse vectors.  A
-fitted model is two narrow tables of coefficients plus an intercept, so scoring is
-a join with a bounded table and a sum, inside generated code.
+fitted model is narrow tables of coefficients plus an intercept, so scoring is
+joins and sums, inside generated code.
+
+Numeric inputs come in two forms: columns of the window table (keywords, ``lines``),
+few and named by the schema, and rows ``KEYS, feature, x`` without zeros
+(processes), of which there may be any number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -17,26 +22,36 @@ from pyspark.sql.types import StructField, StructType
 
 from augurlog.functions import packs
 from augurlog.operators import tfidf
+from augurlog.operators.ordered import global_rank
 from augurlog.operators.trends import numeric_features
 from augurlog.operators.windows import KEYS, require
-from augurlog.session import materialise, scratch_path
+from augurlog.session import broadcast_if_small, materialise, scratch_path
 
 
 @dataclass
 class Model:
     """``terms``: term, idf, idx, coef - at most ``max_features`` rows.
-    ``numeric``: ordered (feature, scale, coef)."""
+    ``numeric``: ordered (feature, scale, coef) of columns; ``numbers``: feature, idx,
+    scale, coef of the inputs in long form.  ``processes``: the names that get counts."""
 
     terms: DataFrame
     numeric: list[tuple[str, float, float]]
     intercept: float
     text_col: str = "text_with_proc"
-    processes: list[str] = field(default_factory=list)
+    processes: DataFrame | None = None
     meta: dict = field(default_factory=dict)
+    numbers: DataFrame | None = None
 
     @property
     def features(self) -> list[str]:
-        return [name for name, _, _ in self.numeric]
+        return [name for name, _, _ in self.all_numeric()]
+
+    def all_numeric(self) -> list[tuple[str, float, float]]:
+        """Every numeric input as (feature, scale, coef), for callers that keep the model in
+        memory (the live state).  As many as the fitted vector, which a driver held once."""
+        if self.numbers is None:
+            return self.numeric
+        return self.numeric + [tuple(r) for r in self.numbers.orderBy("idx").select("feature", "scale", "coef").collect()]
 
 
 def sparse_struct(size: int, entries: Column) -> Column:
@@ -72,6 +87,16 @@ def numeric_scales(train: DataFrame, features: list[str]) -> list[float]:
     return [float(s) if s else 1.0 for s in row]
 
 
+def number_scales(numbers: DataFrame, n: int) -> DataFrame:
+    """``feature, scale`` of inputs in long form: as ``numeric_scales``, absent rows as 0.
+
+    The spread of a constant is rounding error, so a spread that small counts as none.
+    """
+    sums = numbers.groupBy("feature").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    square, variance = F.col("q") / n, F.col("q") / n - (F.col("s") / n) * (F.col("s") / n)
+    return sums.select("feature", F.when(variance > 1e-12 * square, F.sqrt(variance)).otherwise(1.0).alias("scale"))
+
+
 def class_weights(train: DataFrame, target: str = "y_future") -> dict[int, float]:
     """Balanced weights ``n / (2 * n_class)``."""
     counts = {r[target]: r["n"] for r in train.groupBy(target).agg(F.count("*").alias("n")).collect()}
@@ -80,17 +105,18 @@ def class_weights(train: DataFrame, target: str = "y_future") -> dict[int, float
 
 
 def feature_vectors(
-    rows: DataFrame, weights: DataFrame, terms: DataFrame, numeric: list[str], scales: list[float], n_terms: int
-) -> DataFrame:
-    """``KEYS, y_future, features`` with the text block first, then the numeric block.
+    rows: DataFrame, weights: DataFrame, terms: DataFrame, numeric: list[str], scales: list[float], n_terms: int,
+    numbers: DataFrame | None = None, n_numbers: int = 0,
+) -> DataFrame:
+    """``KEYS, y_future, features``: text, then numeric columns, then inputs in long form.
 
-    A row's entries are at most the vocabulary plus the numeric columns.
+    ``numbers`` has ``KEYS, i, v``, index and scaled value.  A row's entries are at most the
+    vocabulary plus the numeric columns plus the entries of its processes.
     """
-    entries = (
-        weights.join(F.broadcast(terms.select("term", "idx")), "term")
-        .groupBy(*KEYS)
-        .agg(F.collect_list(F.struct(F.col("idx").alias("i"), F.col("weight").alias("v"))).alias("_text"))
-    )
+    cells = weights.join(F.broadcast(terms.select("term", "idx")), "term").select(*KEYS, F.col("idx").alias("i"), F.col("weight").alias("v"))
+    if numbers is not None:
+        cells = cells.unionByName(numbers.select(*KEYS, "i", "v"))
+    entries = cells.groupBy(*KEYS).agg(F.collect_list(F.struct("i", "v")).alias("_text"))
     number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
     cells = [
         F.struct(F.lit(n_terms + i).alias("i"), (number(c) / F.lit(s)).alias("v"))
@@ -99,7 +125,7 @@ def feature_vectors(
     none = F.array().cast("array<struct<i:int,v:double>>")
     everything = F.concat(F.coalesce("_text", none), F.array(*cells) if cells else none)
     return rows.join(entries, KEYS, "left").select(
-        *KEYS, "y_future", sparse_struct(n_terms + len(numeric), everything).alias("features")
+        *KEYS, "y_future", sparse_struct(n_terms + len(numeric) + n_numbers, everything).alias("features")
     )
 
 
@@ -110,11 +136,14 @@ def fit(
     min_df: int = packs.MIN_DF,
     max_features: int = packs.MAX_FEATURES,
     max_iter: int = 4000,
+    numbers: DataFrame | None = None,
 ) -> Model:
     """Fit on training windows and their term counts.
 
-    ``train`` has ``KEYS, y_future`` and the numeric columns; ``counts`` may cover
-    more windows, the ones not in ``train`` are left out.
+    ``train`` has ``KEYS, y_future`` and the numeric columns; ``counts`` and
+    ``numbers`` (``KEYS, feature, x``) may cover more windows, the ones not in
+    ``train`` are left out.  As in wide form, a feature that only other windows have
+    is a feature of the model too, with coefficient 0.
     """
     require(train, *KEYS, "y_future")
     require(counts, *KEYS, "term", "tf")
@@ -131,7 +160,16 @@ def fit(
     terms = spark.createDataFrame(listed, "term string, idf double, idx int")
     weighted = tfidf.weights(mine, terms, KEYS)
     scales = numeric_scales(train, numeric)
-    vectors = feature_vectors(train, weighted, terms, numeric, scales, len(listed))
+    known, own, n_numbers = None, None, 0
+    if numbers is not None:
+        own = materialise(numbers.join(train.select(*KEYS), KEYS, "left_semi"), "numbers")
+        names = numbers.select("feature").distinct().join(number_scales(own, n), "feature", "left")
+        named = global_rank(names.withColumn("scale", F.coalesce("scale", F.lit(1.0))), "feature", name="rank")
+        first = len(listed) + len(numeric)
+        known = materialise(named.select("feature", (F.col("rank") - 1 + first).cast("int").alias("idx"), "scale"), "number-index")
+        n_numbers = known.count()
+        own = own.join(broadcast_if_small(known), "feature").select(*KEYS, F.col("idx").alias("i"), (F.col("x") / F.col("scale")).alias("v"))
+    vectors = feature_vectors(train, weighted, terms, numeric, scales, len(listed), own, n_numbers)
     balance = class_weights(train)
     if len(balance) < 2:
         raise ValueError("training rows hold one class only")
@@ -149,7 +187,13 @@ def fit(
     ).fit(data.select("features", "label", "weight"))
     coef = fitted.coefficients.toArray()
     with_coef = [(t, i, k, float(coef[k])) for t, i, k in listed]
+    if known is not None:
+        # the fitted vector is on the driver anyway; it goes out as one narrow table
+        first = len(listed) + len(numeric)
+        rest = pa.table({"idx": pa.array(range(first, first + n_numbers), pa.int32()), "coef": pa.array(coef[first:], pa.float64())})
+        known = materialise(known.join(spark.createDataFrame(rest), "idx").select("feature", "idx", "scale", "coef"), "number-coefs")
     return Model(
+        numbers=known,
         terms=spark.createDataFrame(with_coef, "term string, idf double, idx int, coef double"),
         numeric=[(c, s, float(coef[len(listed) + i])) for i, (c, s) in enumerate(zip(numeric, scales))],
         intercept=float(fitted.intercept),
@@ -166,6 +210,12 @@ def numeric_logit(model: Model, have: list[str]) -> Column:
     return out
 
 
+def number_logit(numbers: DataFrame, known: DataFrame) -> DataFrame:
+    """The share of inputs in long form: ``KEYS, _number_logit``."""
+    weighted = numbers.join(broadcast_if_small(known.select("feature", "scale", "coef")), "feature")
+    return weighted.groupBy(*KEYS).agg(F.sum(F.col("x") * F.col("coef") / F.col("scale")).alias("_number_logit"))
+
+
 def text_logit(counts: DataFrame, terms: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The text block's share of the log-odds: ``keys, _text_logit``.
 
@@ -183,10 +233,17 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def score(model: Model, windows: DataFrame, counts: DataFrame, out: str = "proba") -> DataFrame:
+def score(model: Model, windows: DataFrame, counts: DataFrame, out: str = "proba", numbers: DataFrame | None = None) -> DataFrame:
     """Add the probability of an anomaly within the horizon."""
     require(windows, *KEYS)
+    if model.numbers is not None:
+        if numbers is None:
+            raise ValueError("the model has inputs in long form; give numbers (KEYS, feature, x)")
+        share = number_logit(numbers.join(windows.select(*KEYS), KEYS, "left_semi"), model.numbers)
+        windows = windows.join(share, KEYS, "left")
     # counts of other windows are left out before they are summed
     text = text_logit(counts.join(windows.select(*KEYS), KEYS, "left_semi"), model.terms)
     z = F.lit(model.intercept) + F.coalesce(F.col("_text_logit"), F.lit(0.0)) + numeric_logit(model, windows.columns)
-    return windows.join(text, KEYS, "left").withColumn(out, sigmoid(z)).drop("_text_logit")
+    if model.numbers is not None:
+        z = z + F.coalesce(F.col("_number_logit"), F.lit(0.0))
+    return windows.join(text, KEYS, "left").withColumn(out, sigmoid(z)).drop("_text_logit", "_number_logit")

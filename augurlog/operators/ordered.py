@@ -4,6 +4,7 @@
 * ``exact_quantiles`` – interpolated quantiles from running counts
 * ``previous_value``  – the value before a row inside a group of any size
 * ``global_rank``     – row numbers over a global order
+* ``largest``         – the n rows of largest value, for any n
 """
 
 from __future__ import annotations
@@ -191,3 +192,26 @@ def global_rank(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
         .withColumn(name, (F.expr("_id & 8589934591") + F.col("_before") + 1))
         .drop("_id", "_part", "_before")
     )
+
+
+def largest(df: DataFrame, n: int, value: str, tie: str) -> DataFrame:
+    """The ``n`` rows of largest ``value``, ties by smaller ``tie``; all, if there are no more.
+
+    A limit behind a sort would bring n rows of every task to one.  Here the value at which
+    the n-th row stands is found from the counts of the values, and the rows of that value
+    are ranked by ranges of ``tie``.  Rows with a null value come last.
+    """
+    df = materialise(df, "largest")
+    if n < 1 or df.count() <= n:
+        return df if n > 0 else df.limit(0)
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    reached = running_totals(counted, value, {"_upto": "_n"}, descending=True)
+    at = reached.where((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n)).first()
+    if at is None:  # fewer rows with a value than wanted
+        above, level = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
+        missing = n - above.count()
+    else:
+        above, level = df.where(F.col(value) > at[value]), df.where(F.col(value) == at[value])
+        missing = n - (at["_upto"] - at["_n"])
+    ranked = global_rank(level, tie, name="_rank").where(F.col("_rank") <= missing).drop("_rank")
+    return above.unionByName(ranked)

@@ -4,84 +4,74 @@ from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augurlog.operators import tfidf
-from augurlog.operators.model import sparse_struct, stored_vectors
+from augurlog.functions import packs
+from augurlog.operators import svd, tfidf
+from augurlog.operators.ordered import global_rank
+from augurlog.operators.series import over_rows
 from augurlog.operators.windows import KEYS
-from augurlog.session import materialise
+from augurlog.session import broadcast_if_small, materialise
 
 
 def sequences(df: DataFrame, value: str, length: int, target: str = "y_future", series: str = "source_file") -> DataFrame:
     """``series, bucket, sequence, label``: the ``length`` rows before each row, with
     that row's label.  Sequences never cross from one series to the next."""
-    order = Window.partitionBy(series).orderBy("bucket")
-    before = order.rowsBetween(-length, -1)
-    return (
-        df.select(series, "bucket", F.collect_list(value).over(before).alias("sequence"), F.col(target).alias("label"))
-        .where(F.size("sequence") == length)
-    )
+    thin = df.select(series, "bucket", F.col(value).alias("_value"), F.col(target).alias("label"))
+    before = lambda rows: {"sequence": F.collect_list("_value").over(rows.rowsBetween(-length, -1))}
+    out = over_rows(thin, before, before=length, series=series, settled=F.size("sequence") == length)
+    return out.select(series, "bucket", "sequence", "label")
+
+
+def fitted_svd(
+    windows: DataFrame, counts: DataFrame, n_components: int = 256, min_df: int = packs.MIN_DF, max_features: int = packs.MAX_FEATURES, max_rounds: int = 30
+) -> tuple[DataFrame, svd.Svd]:
+    """(``term, idf, idx``, decomposition) of the TF-IDF rows of the training windows.
+
+    ``windows`` has ``KEYS, is_train``, ``counts`` the term counts of its windows.
+    """
+    train = materialise(windows.where("is_train").select(*KEYS, F.monotonically_increasing_id().alias("rid")), "svd-rows")
+    mine = materialise(counts.join(train, KEYS), "svd-terms")
+    n = train.count()
+    ranked = global_rank(tfidf.vocabulary(mine, n, min_df, max_features).select("term", "idf"), "term", name="_rank")
+    terms = materialise(ranked.select("term", "idf", (F.col("_rank") - 1).alias("idx")), "svd-vocabulary")
+    entries = tfidf.weights(mine, terms, ["rid"]).join(broadcast_if_small(terms.select("term", "idx")), "term")
+    k = min(n_components, terms.count() - 1, n)
+    return terms, svd.truncated_svd(entries.select("rid", "idx", F.col("weight").alias("w")), terms, n, max(k, 1), max_rounds)
 
 
 def svd_embedding(
     windows: DataFrame,
     counts: DataFrame,
     n_components: int = 256,
-    min_df: int = 2,
-    max_features: int = 50_000,
+    min_df: int = packs.MIN_DF,
+    max_features: int = packs.MAX_FEATURES,
     standardise: bool = True,
+    max_rounds: int = 30,
 ) -> DataFrame:
     """``KEYS, embedding``: TF-IDF -> truncated SVD -> zero mean, unit spread.
 
     ``windows`` has ``KEYS, is_train``; ``counts`` are the term counts of its windows.
 
-    Vocabulary, components and scaling are fitted on the training windows only.
-    The projection is a sum over the terms a window holds, by a join with the
-    component table (at most ``max_features`` rows); signs of components are free.
+    Vocabulary, components and scaling are fitted on the training windows only; the
+    factor stays a table (see ``svd``).  Signs of components are free.
     """
-    spark = counts.sparkSession
-    windows = materialise(windows.select(*KEYS, "is_train"), "svd-windows")
-    train_keys = windows.where("is_train").select(*KEYS)
-    train_counts = materialise(counts.join(train_keys, KEYS, "left_semi"), "svd-terms")
-    n = train_keys.count()
-    vocab = tfidf.vocabulary(train_counts, n, min_df, max_features).select("term", "idf").orderBy("term").collect()
-    terms = spark.createDataFrame([(r.term, r.idf, i) for i, r in enumerate(vocab)], "term string, idf double, idx int")
-    size = len(vocab)
-    rows = (
-        tfidf.weights(train_counts, terms, KEYS)
-        .join(F.broadcast(terms.select("term", "idx")), "term")
-        .groupBy(*KEYS)
-        .agg(F.collect_list(F.struct(F.col("idx").alias("i"), F.col("weight").alias("v"))).alias("e"))
-        .select(sparse_struct(size, F.col("e")).alias("features"))
-    )
-    rows = stored_vectors(rows)
-    k = min(n_components, size - 1, n)
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "features"), 0, size)
-    v = matrix.computeSVD(k).V.toArray()
-    k = v.shape[1]
-    components = spark.createDataFrame(
-        [(r.term, r.idf, [float(x) for x in v[i]]) for i, r in enumerate(vocab)],
-        "term string, idf double, component array<double>",
-    )
-    weighted = tfidf.weights(counts, components, KEYS).join(
-        F.broadcast(components.select("term", "component")), "term"
-    )
-    projected = weighted.groupBy(*KEYS).agg(
-        F.array(*[F.sum(F.col("weight") * F.col("component")[i]) for i in range(k)]).alias("embedding")
-    )
+    windows = materialise(windows.select(*KEYS, "is_train", F.monotonically_increasing_id().alias("rid")), "svd-windows")
+    terms, fitted = fitted_svd(windows.drop("rid"), counts, n_components, min_df, max_features, max_rounds)
+    k = len(fitted.values)
+    own = materialise(counts.join(windows.select(*KEYS, "rid"), KEYS), "svd-counts")
+    weighted = tfidf.weights(own, terms, ["rid"]).join(broadcast_if_small(terms.select("term", "idx")), "term")
+    entries = svd.in_blocks(weighted.select("rid", "idx", F.col("weight").alias("w")), windows.count())
     zeros = F.array_repeat(F.lit(0.0), k)
-    projected = windows.select(*KEYS).join(projected, KEYS, "left").select(
-        *KEYS, F.coalesce("embedding", zeros).alias("embedding")
+    projected = windows.select(*KEYS, "is_train", "rid").join(svd.product(entries, fitted.factor, k), "rid", "left").select(
+        *KEYS, "is_train", F.coalesce("y", zeros).alias("embedding")
     )
     if not standardise:
-        return projected
+        return projected.drop("is_train")
     dense = materialise(projected.withColumn("v", array_to_vector("embedding")), "svd-dense")
-    scaler = StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True).fit(
-        dense.join(train_keys, KEYS, "left_semi")
-    )
+    n = dense.where("is_train").count()
+    scaler = StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True).fit(dense.where("is_train"))
     # the scaler divides by the sample spread; the population spread is wanted
     factor = (n / (n - 1.0)) ** 0.5 if n > 1 else 1.0
     z = vector_to_array("z")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from augurlog.functions import packs
 from augurlog.operators.ordered import exact_quantiles, global_rank
+from augurlog.operators.series import over_rows
 from augurlog.operators.windows import require
 from augurlog.session import materialise
 
@@ -71,13 +72,10 @@ def future_labels_rows(
     require(labelled, "bucket", "window_is_anomaly", series)
     n = horizon_min * 60 // window_sec
     flag = clean_flag(F.col("window_is_anomaly"))
-    order = Window.partitionBy(series).orderBy("bucket")
-    y = F.coalesce(F.max(flag).over(order.rowsBetween(1, n)), F.lit(0)) if n > 0 else F.lit(0)
-    return (
-        labelled.withColumn("window_is_anomaly", flag)
-        .withColumn("y_future", y)
-        .withColumn("horizon_min", F.lit(horizon_min))
-    )
+    labelled = labelled.withColumn("window_is_anomaly", flag)
+    ahead = lambda rows: {"y_future": F.coalesce(F.max("window_is_anomaly").over(rows.rowsBetween(1, n)), F.lit(0))}
+    out = over_rows(labelled, ahead, after=n, series=series) if n > 0 else labelled.withColumn("y_future", F.lit(0))
+    return out.withColumn("horizon_min", F.lit(horizon_min))
 
 
 def join_anomaly_flags(windows: DataFrame, flags: DataFrame) -> DataFrame:
@@ -90,10 +88,10 @@ def join_anomaly_flags(windows: DataFrame, flags: DataFrame) -> DataFrame:
 
 def future_summary(future: DataFrame, series: str = "source_file") -> DataFrame:
     """``windows, anomalies, positives, median_gap_sec`` (gap to the previous window)."""
-    order = Window.partitionBy(series).orderBy("bucket")
     future = materialise(future.select(series, "bucket", "window_is_anomaly", "y_future"), "future")
     seconds = F.unix_seconds(F.col("bucket").cast("timestamp"))
-    gaps = future.select((seconds - F.lag(seconds).over(order)).cast("double").alias("gap"))
+    gap = lambda rows: {"gap": (seconds - F.lag(seconds).over(rows)).cast("double")}
+    gaps = over_rows(future.select(series, "bucket"), gap, before=1, series=series).select("gap")
     median = exact_quantiles(gaps, "gap", [0.5]).select("quantile").scalar()
     return future.agg(
         F.count("*").alias("windows"),

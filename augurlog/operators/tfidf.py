@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from augurlog.functions import packs
 from augurlog.functions.text import first_token, last_token, line_text, terms_of, tokens
 from augurlog.functions.timestamps import width_seconds
-from augurlog.operators.ordered import previous_value
+from augurlog.operators.ordered import largest, previous_value
 from augurlog.operators.windows import KEYS, bucketed
 
 
@@ -67,16 +67,10 @@ def _count(terms: DataFrame, keys: list[str]) -> DataFrame:
 def vocabulary(
     counts: DataFrame, n_docs: int, min_df: int = packs.MIN_DF, max_features: int = packs.MAX_FEATURES
 ) -> DataFrame:
-    """``term, df, cf, idf``: at most ``max_features`` rows."""
+    """``term, df, cf, idf``: at most ``max_features`` rows, a written table."""
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
-        .withColumn("idf", idf)
-    )
+    totals = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
+    return largest(totals, max_features, "cf", "term").withColumn("idf", idf)
 
 
 def weights(counts: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,8 +20,6 @@ from augurlog.functions.text import blank_if_null, line_text
 from augurlog.functions.timestamps import epoch_micros, floor_bucket, width_seconds
 
 KEYS = ["source_file", "bucket"]
-# As Spark's own pivot does, refuse to build a table wider than this.
-MAX_WIDE_PROCESSES = 10_000
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -119,7 +117,7 @@ def create_windows(
     lines: DataFrame,
     width: str = packs.DEFAULT_WINDOW,
     dialect: str | Dialect = "linux",
-    processes: list[str] | None = None,
+    processes: list[str] | DataFrame | None = None,
     keywords: bool = True,
     rules: bool = False,
 ) -> DataFrame:
@@ -128,14 +126,15 @@ def create_windows(
     Columns: ``source_file, bucket, lines, proc_counts, kw_*, kw_unique_procs``
     (and hidden rule columns for ``labels``).  ``proc_counts`` is a map with an
     entry for each of the file's top processes seen in the bucket; with
-    ``processes`` (the list a model was fitted with) it covers that list instead.
+    ``processes`` (what a model was fitted with: a list, or a table ``process`` of
+    any length) it covers these instead.
     """
     d = as_dialect(dialect)
     return merge_groups(grouped_lines(lines, width, d, keywords, rules), d, processes, keywords, rules)
 
 
 def merge_groups(
-    grouped: DataFrame, d: Dialect, processes: list[str] | None = None, keywords: bool = True, rules: bool = False
+    grouped: DataFrame, d: Dialect, processes: list[str] | DataFrame | None = None, keywords: bool = True, rules: bool = False
 ) -> DataFrame:
     """Second aggregation: the per-process rows of a bucket become its window."""
     entry = F.struct("process", "_n")
@@ -143,6 +142,10 @@ def merge_groups(
         top = top_processes(grouped).where(F.col("process") != "").select("source_file", "process", F.lit(True).alias("_top"))
         grouped = grouped.join(top, ["source_file", "process"], "left")
         kept = F.when(F.col("_top"), entry)
+    elif isinstance(processes, DataFrame):
+        wanted = processes.where(F.col("process") != "").select("process", F.lit(True).alias("_wanted")).distinct()
+        grouped = grouped.join(wanted, "process", "left")
+        kept = F.when(F.col("_wanted"), entry)
     else:
         kept = F.when(F.col("process").isin([p for p in processes if p]), entry)
     aggs = [
@@ -158,23 +161,14 @@ def merge_groups(
     return grouped.groupBy(*KEYS).agg(*aggs)
 
 
-def process_vocabulary(windows: DataFrame) -> list[str]:
-    """Names of all processes that have counts, sorted.  They become column names,
-    so the list must fit a schema; beyond ``MAX_WIDE_PROCESSES`` keep the map form."""
-    names = (
-        windows.select(F.explode(F.map_keys("proc_counts")).alias("p"))
-        .distinct()
-        .orderBy("p")
-        .limit(MAX_WIDE_PROCESSES + 1)
-        .collect()
-    )
-    if len(names) > MAX_WIDE_PROCESSES:
-        raise ValueError(f"more than {MAX_WIDE_PROCESSES} processes; use proc_counts as it is")
-    return [r.p for r in names]
+def process_vocabulary(windows: DataFrame) -> DataFrame:
+    """``process``: the names of all processes that have counts."""
+    return windows.select(F.explode(F.map_keys("proc_counts")).alias("process")).distinct()
 
 
 def widen_processes(windows: DataFrame, processes: list[str]) -> DataFrame:
-    """``cnt_proc_*`` columns (0 where absent) in place of the map."""
+    """``cnt_proc_*`` columns (0 where absent) in place of the map, for a list short enough to be a
+    schema.  The model takes the counts in long form instead (``trends.process_features``)."""
     counts = [
         F.coalesce(F.col("proc_counts")[F.lit(p)], F.lit(0).cast("long")).alias(f"cnt_proc_{p}")
         for p in processes

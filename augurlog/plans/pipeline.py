@@ -20,6 +20,7 @@ from augurlog.operators.windows import KEYS
 from augurlog.session import materialise, scratch_path
 from augurlog.sources import bundle
 from augurlog.sources.logfiles import read_logs
+from augurlog.sources.tables import write_table
 
 
 @dataclass(frozen=True)
@@ -53,26 +54,27 @@ SERVICING = Settings(min_lines=8, target_precision=0.92)
 
 @dataclass
 class Prepared:
-    """Windows with features, labels and targets; term counts; first characters."""
+    """Windows with features, labels and targets (process counts as a map); their process
+    features in long form (``KEYS, feature, x``); term counts; first characters; processes."""
 
     windows: DataFrame
+    numbers: DataFrame
     counts: DataFrame
     heads: DataFrame
-    processes: list[str]
+    processes: DataFrame
 
 
-def prepare(lines: DataFrame, dialect: str | Dialect, settings: Settings = STAGES, processes: list[str] | None = None) -> Prepared:
-    """Lines to windows.  ``processes`` is a fitted model's list; without it the
+def prepare(lines: DataFrame, dialect: str | Dialect, settings: Settings = STAGES, processes: DataFrame | None = None) -> Prepared:
+    """Lines to windows.  ``processes`` is a fitted model's table; without it the
     processes are those found here."""
     d = as_dialect(dialect)
-    cut = materialise(labels.label_windows(lines, settings.width, d), "labelled")
-    processes = processes if processes is not None else windows.process_vocabulary(cut)
-    table = windows.widen_processes(cut, processes)
-    if settings.use_trends:
-        table = trends.add_trends(table)
+    cut = materialise(labels.label_windows(lines, settings.width, d, processes=processes), "labelled")
+    found = processes if processes is not None else materialise(windows.process_vocabulary(cut), "processes")
+    table = trends.add_trends(cut) if settings.use_trends else cut
     table = materialise(targets.future_labels(table, settings.horizon_min), "windows")
+    numbers = materialise(trends.process_features(cut, settings.use_trends), "process-features")
     counts = materialise(tfidf.line_term_counts(lines, settings.width, settings.ngram_max), "term-counts")
-    return Prepared(table, counts, windows.window_heads(lines, settings.width), processes)
+    return Prepared(table, numbers, counts, windows.window_heads(lines, settings.width), found)
 
 
 @dataclass
@@ -96,10 +98,11 @@ def train(prepared: Prepared, settings: Settings = STAGES, eval_k: int = 0) -> T
         prepared.counts,
         trends.numeric_features(prepared.windows.drop("window_is_anomaly", "y_future", "horizon_min")),
         max_features=settings.max_features,
+        numbers=prepared.numbers,
     )
     fitted.processes = prepared.processes
     test = targets.test_part(split)
-    scored = models.score(fitted, test, prepared.counts).select(
+    scored = models.score(fitted, test, prepared.counts, numbers=prepared.numbers).select(
         *KEYS, "lines", "proba", F.col("y_future").alias("y_true")
     )
     val = materialise(scored, "val-scores")
@@ -139,7 +142,7 @@ def save(trained: Trained, path: str, settings: Settings = STAGES) -> None:
 def score(prepared: Prepared, model: models.Model, threshold: float, settings: Settings = STAGES) -> DataFrame:
     """Predictions: filter by lines, score, decide, confirm (in this order), show."""
     kept = windows.keep_min_lines(prepared.windows, settings.min_lines)
-    scored = models.score(model, kept, prepared.counts, "early_warning_score")
+    scored = models.score(model, kept, prepared.counts, "early_warning_score", prepared.numbers)
     k = max(1, settings.k_confirm)
     decided = scored.withColumn("predict_raw", alerts.raw_decision(F.col("early_warning_score"), threshold))
     out = alerts.k_confirm(decided, k).join(prepared.heads, KEYS, "left")
@@ -174,13 +177,13 @@ def explain_windows(
         kept = explain.sample_rows(kept, sample)
     kept = materialise(kept, "explained")
     n = kept.agg(F.count("*")).scalar()
-    features = materialise(explain.long_features(model, kept, prepared.counts), "features")
+    features = materialise(explain.long_features(model, kept, prepared.counts, prepared.numbers), "features")
     coefs = explain.coefficient_table(model)
     means = materialise(explain.background_means(features, n), "means")
     phi = explain.contributions(features, coefs, means)
     absent = explain.absent_constants(coefs, means)
-    top = explain.top_features(phi, absent, top_k)
-    scored = models.score(model, kept, prepared.counts, "prediction_score").select(*KEYS, "prediction_score")
+    top = explain.top_features(phi, absent, top_k, kept)
+    scored = models.score(model, kept, prepared.counts, "prediction_score", prepared.numbers).select(*KEYS, "prediction_score")
     rows = explain.explanation_rows(top.join(scored, KEYS), top_k)
     return rows, explain.global_importance(phi, absent, n, 30)
 
@@ -226,9 +229,7 @@ def run_pipeline(
     if target_alerts_per_day is not None:
         calibrate(spark, f"{out}/model", target_alerts_per_day, settings.k_confirm)
     threshold = bundle.load_threshold(spark, f"{out}/model")
-    score(prepared, trained.model, threshold, settings).write.mode("overwrite").partitionBy("source_file").parquet(
-        f"{out}/predictions"
-    )
+    write_table(score(prepared, trained.model, threshold, settings), f"{out}/predictions", partition_by=("source_file",))
     prepared.windows.write.mode("overwrite").parquet(f"{out}/windows")
     return Run(prepared, trained, spark.read.parquet(f"{out}/predictions"))
 

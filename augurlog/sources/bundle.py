@@ -2,7 +2,9 @@
 
     <path>/terms        term, idf, idx, coef
     <path>/numeric      pos, feature, scale, coef
-    <path>/info         one JSON row: intercept, text column, processes, metadata
+    <path>/numbers      feature, idx, scale, coef of inputs in long form, if the model has them
+    <path>/processes    process, if the model was fitted with a list of them
+    <path>/info         one JSON row: intercept, text column, metadata, which tables there are
     <path>/thresholds   one JSON row per choice; the latest one counts
     <path>/val_scores, <path>/metrics_*, <path>/calibration
 """
@@ -27,11 +29,15 @@ def save_model(model: Model, path: str) -> None:
     rows = [(i, n, s, c) for i, (n, s, c) in enumerate(model.numeric)]
     schema = "pos int, feature string, scale double, coef double"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/numeric")
+    tables = {"numbers": model.numbers, "processes": model.processes}
+    for name, table in tables.items():
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
     info = json.dumps(
         {
             "intercept": model.intercept,
             "text_col": model.text_col,
-            "processes": model.processes,
+            "tables": [name for name, table in tables.items() if table is not None],
             "meta": model.meta,
         }
     )
@@ -41,12 +47,14 @@ def save_model(model: Model, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> Model:
     info = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/info").collect()))
     numeric = spark.read.parquet(f"{path}/numeric").orderBy("pos").collect()
+    optional = lambda name: spark.read.parquet(f"{path}/{name}") if name in info["tables"] else None
     return Model(
+        numbers=optional("numbers"),
         terms=spark.read.parquet(f"{path}/terms"),
         numeric=[(r.feature, r.scale, r.coef) for r in numeric],
         intercept=info["intercept"],
         text_col=info["text_col"],
-        processes=info["processes"],
+        processes=optional("processes"),
         meta=info["meta"],
     )
 

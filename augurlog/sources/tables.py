@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from augurlog.functions.text import sanitise
+from augurlog.session import broadcast_if_small, materialise
 
 # Rows per file of a chunked write.
 CHUNK_ROWS = 500_000
@@ -35,7 +36,12 @@ def write_table(
     chunk_rows: int = CHUNK_ROWS,
     mode: str = "overwrite",
 ) -> int:
-    """Write a stage table in files of at most ``chunk_rows`` rows; returns rows written."""
+    """Write a stage table in files of at most ``chunk_rows`` rows; returns rows written.
+
+    With ``partition_by`` a folder gets as many files as its rows need, whatever tasks they come from.
+    """
+    if partition_by:
+        df = dealt(df, partition_by, chunk_rows)
     seen = Observation()
     writer = (
         df.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -51,6 +57,24 @@ def write_table(
     return seen.get["rows"]
 
 
+def dealt(df: DataFrame, keys: tuple[str, ...], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows, dealt to tasks so that a folder per value of ``keys`` holds files of about ``chunk_rows`` rows.
+
+    Written as they come, the rows of a folder would be spread over all tasks, one small file each.
+    A value with many rows gets one slot per ``chunk_rows`` of them; a slot is in one task.
+    """
+    spark = df.sparkSession
+    df = materialise(df, "dealt")
+    slots = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_slots"))
+    slots = materialise(slots.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_slots"), "slots")
+    total = slots.agg(F.sum("_slots")).first()[0] or 1
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).join(broadcast_if_small(slots), same)
+    placed = placed.withColumn("_slot", F.pmod("_row", "_slots"))
+    tasks = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // chunk_rows)))
+    return placed.repartition(tasks, *keys, "_slot").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     """All rows of all tables by column name; a column one table lacks is null there."""
     if not tables:

@@ -317,7 +317,7 @@ def start_alerts(
         + ", ".join(f"`{c}` long" for c in base)
         + ", text_logit double, example_text string"
     )
-    rule = AlertRule(model.numeric, model.intercept, threshold, max(1, k), min_lines, base)
+    rule = AlertRule(model.all_numeric(), model.intercept, threshold, max(1, k), min_lines, base)
     closed = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(windows_path)
     alerts = closed.groupBy("source_file").applyInPandasWithState(
         alert_state(rule),

@@ -179,5 +179,5 @@ def test_split_guards_and_hygiene(table):
     assert max((r.source_file, r.bucket) for r in split.where("is_train").collect()) == last
     assert targets.train_part(split).where("window_is_anomaly = 1").count() == 0
     assert targets.test_part(split).count() == 20
-    with pytest.raises(ValueError, match="Not enough data"):
+    with pytest.raises(ValueError, match="leaves too few rows on one side"):
         targets.chronological_split(df.limit(40), 0.2)
