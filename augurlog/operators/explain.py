@@ -7,7 +7,7 @@ non-zero entries and one ranked table of those constants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augurlog.functions import packs
@@ -88,25 +88,32 @@ def top_features(phi: DataFrame, absent: DataFrame, k: int = 5, rows: DataFrame
     """``KEYS, top``: the k strongest contributions of each window, strongest first, ties by name.
 
     A window's candidates are its own k strongest entries and the k strongest features it lacks.
-    Absent features are ranked once (one row per model feature, a fixed bound); with ``m`` own
-    entries the wanted ones are the first k of the ranks 1 to k + m that the window's own entries
-    don't take, so a window carries ranks, not constants.  ``rows`` has the keys of windows that
-    are to be explained though they may hold no feature at all.
+    With ``m`` own entries the latter are among the first k + m of all absent features, so only as
+    many of these are listed as the fullest window needs, once for all windows, and a window finds
+    its own by the places its entries take in the list.  One shuffle, of the entries.  ``rows`` has
+    the keys of windows that are to be explained though they may hold no feature at all.
     """
-    size = [F.desc(F.abs("phi")), F.asc("feature")]
-    ranked = absent.withColumn("rank", F.row_number().over(Window.orderBy(*size)))
-    ranked = materialise(ranked, "ranked_constants")
     phi = materialise(phi, "contributions")
-    strongest = lambda df: df.withColumn("_place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*size))).where(F.col("_place") <= k)
-    held = phi.join(broadcast_if_small(ranked.select("feature", "rank")), "feature", "left")
-    taken = held.groupBy(*KEYS).agg(F.count("*").alias("_m"), F.collect_list("rank").alias("_ranks"))
+    fullest = phi.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
+    entry = lambda feature, value: F.struct((-F.abs(value)).alias("size"), feature.alias("feature"), value.alias("phi"))
+    first = absent.orderBy(F.desc(F.abs("phi")), F.asc("feature")).limit(fullest + k)
+    listed = materialise(first.agg(F.array_sort(F.collect_list(entry(F.col("feature"), F.col("phi")))).alias("constants")), "constants")
+    placed = listed.select(F.posexplode("constants").alias("place", "c")).select("place", F.col("c.feature").alias("feature"), F.col("c.phi").alias("constant"))
+    placed = broadcast_if_small(materialise(placed, "places"))
+    own = phi.join(placed.drop("constant"), "feature", "left").groupBy(*KEYS).agg(
+        F.collect_list(entry(F.col("feature"), F.col("phi"))).alias("_own"), F.collect_list("place").alias("_taken")
+    )
     if rows is not None:
-        taken = rows.select(*KEYS).join(taken, KEYS, "left")
-    free = F.slice(F.array_except(F.sequence(F.lit(1), F.coalesce("_m", F.lit(0)).cast("int") + k), F.coalesce("_ranks", F.array().cast("array<int>"))), 1, k)
-    lacking = taken.select(*KEYS, F.explode(free).alias("rank")).join(broadcast_if_small(ranked), "rank").select(*KEYS, "feature", "phi")
-    both = strongest(phi.select(*KEYS, "feature", "phi")).drop("_place").union(lacking)
-    best = strongest(both).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("_place", "feature", "phi"))).alias("_top"))
-    return best.select(*KEYS, F.transform("_top", lambda s: F.struct(s["feature"].alias("feature"), s["phi"].alias("phi"))).alias("top"))
+        own = rows.select(*KEYS).join(own, KEYS, "left")
+    none = F.array().cast("array<struct<size:double,feature:string,phi:double>>")
+    held, taken = F.coalesce("_own", none), F.coalesce("_taken", F.array().cast("array<int>"))
+    free = F.slice(F.array_except(F.sequence(F.lit(0), F.size(held) + F.lit(k - 1)), taken), 1, k)
+    # opened and closed again on the same key, so the rows stay where they are
+    opened = own.select(*KEYS, F.slice(F.array_sort(held), 1, k).alias("_own"), F.explode_outer(free).alias("place")).join(placed, "place", "left")
+    lacking = F.when(F.col("feature").isNotNull(), entry(F.col("feature"), F.col("constant")))
+    both = opened.groupBy(*KEYS).agg(F.first("_own").alias("_own"), F.collect_list(lacking).alias("_lacking"))
+    best = F.slice(F.array_sort(F.concat("_own", "_lacking")), 1, k)
+    return both.select(*KEYS, F.transform(best, lambda e: F.struct(e["feature"].alias("feature"), e["phi"].alias("phi"))).alias("top"))
 
 
 def _pretty(feature: Column) -> Column:
@@ -166,5 +173,6 @@ def global_importance(phi: DataFrame, absent: DataFrame, n_windows: Column, top_
 
 
 def sample_rows(windows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of ``n`` windows, by key hash."""
-    return windows.orderBy(F.xxhash64(*KEYS, F.lit(seed)), *KEYS).limit(n)
+    """A repeatable sample of ``n`` windows, by a hash of the key that other engines have too."""
+    key = F.concat_ws("|", "source_file", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"), F.lit(str(seed)))
+    return windows.orderBy(F.md5(key), *KEYS).limit(n)

@@ -229,6 +229,27 @@ def text_logit(counts: DataFrame, terms: DataFrame, keys: list[str] = KEYS) -> D
     )
 
 
+def optimality(model: Model, features: DataFrame, scored: DataFrame, coefs: DataFrame) -> DataFrame:
+    """``windows, positives, largest_gradient``: how far a fit is from the optimum.
+
+    The loss is the class-balanced mean log-loss plus the penalty; at its minimum every derivative
+    is 0.  ``features`` has the scaled inputs of the training windows (``KEYS, feature, x``),
+    ``scored`` their ``proba`` and ``y_future``, ``coefs`` a row per feature.  Derivatives are one
+    aggregate by feature, the intercept's is that of a feature that is always 1.
+    """
+    balance = class_weights(scored)
+    n = scored.count()
+    weight = F.lit(0.0)
+    for label, w in balance.items():
+        weight = F.when(F.col("y_future") == label, F.lit(w)).otherwise(weight)
+    pull = scored.select(*KEYS, (weight * (F.col("proba") - F.col("y_future"))).alias("_r"))
+    by_feature = features.join(pull, KEYS).groupBy("feature").agg(F.sum(F.col("_r") * F.col("x")).alias("_g"))
+    inner = coefs.join(by_feature, "feature", "left").agg(F.max(F.abs(F.coalesce("_g", F.lit(0.0)) + F.col("coef"))).alias("g"))
+    counted = scored.agg(F.count("*").alias("windows"), F.sum(F.col("y_future").cast("long")).alias("positives"))
+    free = pull.agg(F.abs(F.sum("_r"))).scalar()
+    return counted.withColumn("largest_gradient", F.greatest(inner.scalar(), free) / n)
+
+
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

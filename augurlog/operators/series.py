@@ -1,11 +1,10 @@
 """Window functions over the rows of a series of any length.
 
 Frames that look a fixed number of rows back or ahead need no task that holds a whole
-series.  A series is cut into days; every day computes its rows.  A row near the edge of its
-day may miss neighbours, so the rows at the edges - a few per day, however many the day has -
-are gathered again over longer runs of days, and in the end over the series.  Between two such
-rows of one run nothing is left out that a frame could reach: a run may hold fewer rows than a
-frame, then all of them are edges.
+series.  A series is cut into weeks; every week computes its rows.  A row near the edge of its
+week may miss neighbours, so the rows at the edges - a few per week, however many the week has -
+are gathered again over the series.  Between two edge rows nothing is left out that a frame could
+reach: a week may hold fewer rows than a frame, then all of them are edges.
 """
 
 from __future__ import annotations
@@ -15,8 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Days per run on the levels between one day and the whole series.
-DAY, RUNS = 86_400, (1, 64)
+from augurlog.session import materialise
+
+#: Days per run of the levels below the whole series.
+DAY, RUNS = 86_400, (7,)
 
 
 def over_rows(
@@ -42,6 +43,9 @@ def over_rows(
         whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         seen = current.withColumn("_run", run)
         seen = seen.withColumns({**compute(rows), "_at": F.row_number().over(rows), "_left": F.count(F.lit(1)).over(whole) - F.row_number().over(rows)})
+        if level == 0:
+            # both ways on start from this table, so that what it comes from is computed once
+            seen = materialise(seen, "rows")
         inside = F.lit(True) if last else (F.col("_at") > before) & (F.col("_left") >= after)
         keep = F.col("_open") & inside if settled is None else F.col("_open") & inside & settled
         done.append(seen.where(keep).drop("_open", "_run", "_at", "_left"))

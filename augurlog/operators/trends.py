@@ -1,7 +1,7 @@
 """Rolling trends over the windows of a series, and column roles by name.
 
 Frames count rows that exist, per source file; ``series.over_rows`` computes them in blocks of
-days, so no task walks a whole file.
+weeks, so no task walks a whole file.
 """
 
 from __future__ import annotations

@@ -268,6 +268,57 @@ def live_sql() -> dict[str, str]:
     }
 
 
+def stored_sql(counts: str) -> dict[str, str]:
+    """What comes back from disk is what was written."""
+    known = sorted({k for d in DIALECTS.values() for k in d.keywords})
+    merged = " UNION ALL BY NAME ".join(f"SELECT *, {q(n)} AS os FROM ({windows_sql(n)})" for n in DIALECTS)
+    return {
+        "stage_tables": f"""SELECT c.*, f.format, (SELECT count(*) FROM ({counts})) AS rows_written
+            FROM ({counts}) c, (VALUES ('parquet'), ('csv')) f(format)""",
+        "merged_files": "SELECT os AS folder, os, bucket, lines, kw_unique_procs, " + ", ".join(f"coalesce({k}, -1) AS {k}" for k in known) + f" FROM ({merged})",
+        "files_by_source": f"""SELECT source_file, count(*) AS rows, CAST(sum(predict_raw) AS BIGINT) AS raw_positive,
+            CAST(ceil(count(*) / 400.0) AS BIGINT) AS files FROM ({PREDICTIONS}) GROUP BY 1""",
+        "bundle_round_trip": explained({}) + f"""SELECT {KEY}, round(1 / (1 + exp(0.5 - sum(share))), 6) AS proba,
+            CAST(1 / (1 + exp(0.5 - sum(share))) >= {THRESHOLD} AS INT) AS predict_raw, CAST({THRESHOLD} AS DOUBLE) AS threshold,
+            (SELECT count(*) FROM coefs) AS features FROM dense GROUP BY {KEY}""",
+        "calibrated_predictions": f"""WITH t AS (SELECT threshold FROM ({CALIBRATION}) ORDER BY abs(alerts_per_day - 1), threshold DESC LIMIT 1),
+            r AS (SELECT source_file, bucket, CAST(proba >= threshold AS INT) AS predict_raw, threshold FROM ({SCORES}), t)
+            SELECT source_file, bucket, predict_raw, CAST(coalesce(sum(predict_raw) OVER (PARTITION BY source_file ORDER BY bucket
+            ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW), 0) >= {K} AS INT) AS predict_confirmed, round(threshold, 6) AS threshold FROM r""",
+        "explain_sample": f"""SELECT * FROM ({counts}) ORDER BY md5(source_file || '|' || strftime(bucket, '%Y-%m-%d %H:%M:%S') || '|42'),
+            source_file, bucket LIMIT 200""",
+        "explained_predictions": explained(RANKED) + f"""SELECT r.source_file, r.bucket, prediction_score, explanation FROM
+            (SELECT {KEY}, {SENTENCE} AS explanation FROM ranked WHERE rn <= 1 GROUP BY ALL) r
+            JOIN (SELECT {KEY}, round(1 / (1 + exp(0.5 - sum(share))), 6) AS prediction_score FROM dense GROUP BY ALL) s USING (source_file, bucket)""",
+    }
+
+
+def model_sql() -> dict[str, str]:
+    """Sizes of what a fit sees, and the grid of every process in every window."""
+    top = f"""SELECT source_file, process FROM (SELECT source_file, process, row_number() OVER (PARTITION BY source_file
+        ORDER BY count(*) DESC, process) AS rank FROM ({sql_lines()}) GROUP BY 1, 2) WHERE rank <= {packs.TOP_PROCESSES} AND process <> ''"""
+    train = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY source_file, bucket) AS rn, count(*) OVER () AS n FROM kept) WHERE rn <= CAST(floor(n * 0.8) AS BIGINT)"""
+    grid = {
+        "win": f"SELECT source_file, {bucket()} AS bucket FROM ({sql_lines()}) GROUP BY 1, 2",
+        "top": top,
+        "own": f"SELECT source_file, {bucket()} AS bucket, process, count(*) AS n FROM ({sql_lines()}) GROUP BY 1, 2, 3",
+        "x": "SELECT w.source_file, w.bucket, t.process, coalesce(o.n, 0) AS x FROM win w JOIN top t USING (source_file) LEFT JOIN own o ON o.source_file = w.source_file AND o.bucket = w.bucket AND o.process = t.process",
+        "tr": """SELECT *, avg(CAST(x AS DOUBLE)) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m, sum(x) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s,
+            coalesce(x - lag(x) OVER w, 0) AS d FROM x WINDOW w AS (PARTITION BY source_file, process ORDER BY bucket)""",
+    }
+    cells = " UNION ALL ".join(f"SELECT source_file, bucket, 'cnt_proc_' || process || {q(suffix)} AS feature, round(CAST({c} AS DOUBLE), 6) AS x FROM tr WHERE {c} <> 0" for suffix, c in (("", "x"), ("_roll3_mean", "m"), ("_roll6_sum", "s"), ("_diff1", "d")))
+    docs = f"SELECT t.* FROM ({text_sql('linux')}) t JOIN tr USING (source_file, bucket)"
+    sized = {"every": text_sql("linux"), "tr": train.replace("SELECT *, row_number", "SELECT source_file, bucket, row_number").replace("FROM kept", "FROM every")}
+    sized |= tfidf_ctes(docs, KEY, "text_with_proc", packs.MAX_FEATURES)
+    return {
+        "process_trend_features": with_(**grid) + cells,
+        "fit_certificate": with_(kept=f"SELECT * FROM ({future_sql(labelled_sql('linux'))}) WHERE lines >= {MIN_LINES}", tr=train)
+        + "SELECT count(*) AS windows, CAST(sum(y_future) AS BIGINT) AS positives, true AS optimal FROM tr WHERE window_is_anomaly = 0",
+        "svd_quality": with_(**sized) + """SELECT (SELECT count(*) FROM tr) AS windows, CAST(count(*) AS INT) AS terms,
+            CAST(least(256, count(*) - 1, (SELECT count(*) FROM tr)) AS INT) AS components, true AS orthonormal, true AS within_energy FROM vocab""",
+    }
+
+
 def oracle() -> dict[str, str]:
     counts = f"""SELECT source_file, {bucket()} AS bucket, count(*) AS lines, count(DISTINCT process) AS kw_unique_procs
                  FROM ({sql_lines()}) GROUP BY 1, 2"""
@@ -371,6 +422,7 @@ def oracle() -> dict[str, str]:
         "threshold_percentile": f"SELECT round(quantile_cont(proba, 0.99), 6) AS threshold, 'percentile' AS policy, true AS met_target FROM ({SCORES})",
         "threshold_min_score": f"SELECT round(min(proba), 6) AS threshold, 'min_score' AS policy, true AS met_target FROM ({SCORES})",
     }
+    out.update(stored_sql(counts), **model_sql())
     out.update(live_sql())
     out["live_replayed"] = out["live_alerts"]
     for name in DIALECTS:

@@ -19,7 +19,7 @@ from augurlog.operators import alerts, evaluate, explain, labels, model as model
 from augurlog.operators.windows import KEYS
 from augurlog.session import materialise, scratch_path
 from augurlog.sources import bundle
-from augurlog.sources.logfiles import read_logs
+from augurlog.sources.logfiles import read_logs, read_parsed
 from augurlog.sources.tables import write_table
 
 
@@ -52,6 +52,10 @@ SINGLE_FILE = Settings(horizon_min=10, min_lines=3, k_confirm=2, target_precisio
 SERVICING = Settings(min_lines=8, target_precision=0.92)
 
 
+# Rounds of block power iteration for embeddings, as the usual randomised solver takes.
+SVD_ROUNDS = 5
+
+
 @dataclass
 class Prepared:
     """Windows with features, labels and targets (process counts as a map); their process
@@ -69,6 +73,8 @@ def prepare(lines: DataFrame, dialect: str | Dialect, settings: Settings = STAGE
     processes are those found here."""
     d = as_dialect(dialect)
     cut = materialise(labels.label_windows(lines, settings.width, d, processes=processes), "labelled")
+    if cut.isEmpty():
+        raise ValueError("no line has a usable time; check the dialect and the year")
     found = processes if processes is not None else materialise(windows.process_vocabulary(cut), "processes")
     table = trends.add_trends(cut) if settings.use_trends else cut
     table = materialise(targets.future_labels(table, settings.horizon_min), "windows")
@@ -77,6 +83,14 @@ def prepare(lines: DataFrame, dialect: str | Dialect, settings: Settings = STAGE
     return Prepared(table, numbers, counts, windows.window_heads(lines, settings.width), found)
 
 
+def fit_certificate(prepared: Prepared, trained: Trained, settings: Settings = STAGES) -> DataFrame:
+    """``windows, positives, largest_gradient`` of the fit, over its training windows (see ``model.optimality``)."""
+    model = trained.model
+    scored = models.score(model, trained.train, prepared.counts, numbers=prepared.numbers)
+    features = explain.long_features(model, trained.train, prepared.counts, prepared.numbers)
+    return models.optimality(model, features, materialise(scored.select(*KEYS, "y_future", "proba"), "fitted-scores"), explain.coefficient_table(model))
+
+
 @dataclass
 class Trained:
     model: models.Model
@@ -86,6 +100,7 @@ class Trained:
     report: DataFrame
     matrix: DataFrame
     confirmed_report: DataFrame | None
+    train: DataFrame
 
 
 def train(prepared: Prepared, settings: Settings = STAGES, eval_k: int = 0) -> Trained:
@@ -93,8 +108,9 @@ def train(prepared: Prepared, settings: Settings = STAGES, eval_k: int = 0) -> T
     table = windows.keep_min_lines(prepared.windows, settings.min_lines)
     table = table.withColumn("y_future", targets.clean_flag(F.col("y_future")))
     split = materialise(targets.chronological_split(table, settings.test_frac, order=settings.split_order), "split")
+    train_rows = targets.train_part(split)
     fitted = models.fit(
-        targets.train_part(split),
+        train_rows,
         prepared.counts,
         trends.numeric_features(prepared.windows.drop("window_is_anomaly", "y_future", "horizon_min")),
         max_features=settings.max_features,
@@ -121,7 +137,7 @@ def train(prepared: Prepared, settings: Settings = STAGES, eval_k: int = 0) -> T
     )
     return Trained(
         fitted, chosen.threshold, val, ap,
-        evaluate.classification_report(judged), evaluate.confusion_matrix(judged), confirmed,
+        evaluate.classification_report(judged), evaluate.confusion_matrix(judged), confirmed, train_rows,
     )
 
 
@@ -189,12 +205,12 @@ def explain_windows(
 
 
 def sequence_set(
-    prepared: Prepared, n_components: int = 256, length: int = 6, test_frac: float = 0.2, max_features: int = packs.MAX_FEATURES
+    prepared: Prepared, n_components: int = 256, length: int = 6, test_frac: float = 0.2, max_features: int = packs.MAX_FEATURES, max_rounds: int = SVD_ROUNDS
 ) -> DataFrame:
     """``KEYS, sequence, label, is_train``: embedded windows as sequences for a temporal model."""
     split = targets.chronological_split(prepared.windows, test_frac, check=False)
     keyed = materialise(split.select(*KEYS, "is_train", "y_future"), "seq-split")
-    dense = sequences.svd_embedding(keyed, prepared.counts, n_components, max_features=max_features)
+    dense = sequences.svd_embedding(keyed, prepared.counts, n_components, max_features=max_features, max_rounds=max_rounds)
     rows = dense.join(keyed, KEYS)
     parts = [
         sequences.sequences(rows.where(cond), "embedding", length).withColumn("is_train", F.lit(flag))
@@ -218,10 +234,13 @@ def run_pipeline(
     settings: Settings = RUNNER,
     target_alerts_per_day: float | None = None,
 ) -> Run:
-    """Log files to predictions; with ``out`` everything is written below it."""
-    lines = read_logs(
-        spark, path, dialect, settings.year, settings.recursive, encoding=settings.encoding, errors=settings.errors
-    )
+    """Log files, or ``.csv`` files of parsed lines, to predictions; with ``out`` everything is written below it."""
+    if all(p.lower().endswith(".csv") for p in ([path] if isinstance(path, str) else path)):
+        lines = read_parsed(spark, path, dialect, settings.year)
+    else:
+        lines = read_logs(
+            spark, path, dialect, settings.year, settings.recursive, encoding=settings.encoding, errors=settings.errors
+        )
     prepared = prepare(materialise(lines, "lines"), dialect, settings)
     trained = train(prepared, settings)
     out = out or scratch_path(spark, "run")

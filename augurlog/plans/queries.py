@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augurlog.functions.dialects import DIALECTS, dialect as as_dialect
 from augurlog.functions.text import example_text
 from augurlog.functions.timestamps import width_seconds
-from augurlog.operators import alerts, evaluate, explain, labels, model, sequences, targets, tfidf, trends, windows
+from augurlog.operators import alerts, evaluate, explain, labels, model, sequences, svd, targets, tfidf, trends, windows
 from augurlog.operators.windows import KEYS
 from augurlog.plans import pipeline
 from augurlog.session import materialise, scratch_path, spread
-from augurlog.sources import parse, tables
+from augurlog.sources import bundle, parse, tables
 from augurlog.sources.event_lines import event_lines, rendered_lines, rendered_year
 from augurlog.sources.logfiles import read_logs
 from augurlog.streaming import live
@@ -557,7 +558,7 @@ def early_warning(spark, sf):
 
 
 def _event_pipeline(spark, sf):
-    settings = pipeline.with_settings(width=WIDTH, horizon_min=HORIZON_MIN, min_lines=MIN_LINES, k_confirm=K, max_features=2000)
+    settings = pipeline.with_settings(width=WIDTH, horizon_min=HORIZON_MIN, min_lines=MIN_LINES, k_confirm=K)
     prepared = pipeline.prepare(lines(spark, sf), "linux", settings)
     return prepared, settings
 
@@ -578,7 +579,97 @@ def explain_model(spark, sf):
 
 def svd_embedding(spark, sf):
     prepared, settings = _event_pipeline(spark, sf)
-    return pipeline.sequence_set(prepared, n_components=8, length=SEQ_LEN, max_features=2000)
+    return pipeline.sequence_set(prepared, length=SEQ_LEN)
+
+
+def fit_certificate(spark, sf):
+    """The fit's distance from the optimum: all derivatives of the penalised loss are (nearly) 0."""
+    prepared, settings = _event_pipeline(spark, sf)
+    out = pipeline.fit_certificate(prepared, pipeline.train(prepared, settings), settings)
+    return out.select("windows", "positives", (F.col("largest_gradient") < 1e-4).alias("optimal"))
+
+
+def svd_quality(spark, sf):
+    """Size and orthonormality of the decomposition over the training windows."""
+    prepared, settings = _event_pipeline(spark, sf)
+    split = materialise(targets.chronological_split(prepared.windows, 0.2, check=False).select(*KEYS, "is_train"), "svd-split")
+    terms, fitted = sequences.fitted_svd(split, prepared.counts, max_rounds=pipeline.SVD_ROUNDS)
+    k = len(fitted.values)
+    error = abs(svd.inner_products(fitted.factor, k) - np.eye(k)).max()
+    energy = sum(v * v for v in fitted.values)
+    train = split.where("is_train")
+    filled = prepared.counts.join(terms, "term").join(train, KEYS, "left_semi").select(*KEYS).distinct()
+    return train.agg(F.count("*").alias("windows")).select(
+        "windows", F.lit(terms.count()).alias("terms"), F.lit(k).alias("components"), F.lit(bool(error < 1e-9)).alias("orthonormal"),
+        # every filled row has length 1, so their number is the energy of the whole matrix
+        (F.lit(energy) <= F.lit(filled.count() + 1e-6)).alias("within_energy"),
+    )
+
+
+# --- tables, files and bundles on disk -------------------------------------------------------
+
+def stage_tables(spark, sf):
+    """Window counts written in chunks and read back, as Parquet and as CSV."""
+    parts = []
+    for fmt in ("parquet", "csv"):
+        path = scratch_path(spark, f"stage-{fmt}")
+        rows = tables.write_table(window_counts(spark, sf), path, fmt, chunk_rows=500)
+        back = tables.read_table(spark, path, "source_file string, bucket timestamp_ntz, lines long, kw_unique_procs long", fmt)
+        parts.append(back.withColumns({"format": F.lit(fmt), "rows_written": F.lit(rows)}))
+    return tables.union_tables(parts)
+
+
+def merged_files(spark, sf):
+    """Stage files of several folders, with different columns, as one table."""
+    root = scratch_path(spark, "merge")
+    for name in DIALECTS:
+        cut = windows.create_windows(lines(spark, sf, name), WIDTH, name).drop("proc_counts", "source_file").withColumn("os", F.lit(name))
+        tables.write_table(cut, f"{root}/{name}")
+    merged = tables.merge_files(spark, root)
+    counts = [c for c in merged.columns if c.startswith("kw_") and c != "kw_unique_procs"]
+    return merged.select(F.split_part("source_file", F.lit("/"), F.lit(1)).alias("folder"), "os", "bucket", "lines", "kw_unique_procs", *[F.coalesce(c, F.lit(-1)).alias(c) for c in counts])
+
+
+def files_by_source(spark, sf):
+    """Predictions in a folder per source file, with as many files as its rows need."""
+    path = scratch_path(spark, "by-source")
+    tables.write_table(predictions(spark, sf), path, partition_by=("source_file",), chunk_rows=400)
+    back = spark.read.parquet(path).select("source_file", "bucket", "predict_raw", F.col("_metadata.file_path").alias("file"))
+    return back.groupBy("source_file").agg(F.count("*").alias("rows"), F.sum(F.col("predict_raw").cast("long")).alias("raw_positive"), F.count_distinct("file").alias("files"))
+
+
+def bundle_round_trip(spark, sf):
+    """A saved model and its thresholds, the latest of which counts."""
+    cut, counts, fitted = _fitted(spark, sf)
+    path = scratch_path(spark, "bundle")
+    bundle.save_model(fitted, path)
+    bundle.add_threshold(spark, path, 0.25, "precision")
+    bundle.add_threshold(spark, path, THRESHOLD, "alert_budget", k_confirm=K)
+    back, threshold = bundle.load_model(spark, path), bundle.load_threshold(spark, path)
+    scored = model.score(back, cut, counts).withColumn("predict_raw", alerts.raw_decision(F.col("proba"), threshold))
+    names = explain.feature_names(back).agg(F.count_distinct("feature")).scalar()
+    return scored.select(*KEYS, r6("proba").alias("proba"), "predict_raw", F.lit(threshold).alias("threshold"), names.alias("features"))
+
+
+def calibrated_predictions(spark, sf):
+    """Scores judged again at the threshold of the alert budget."""
+    table = materialise(scores(spark, sf), "scores")
+    threshold = alerts.calibrate_alert_budget(table, 1.0, K).select("threshold").first().threshold
+    raw = table.withColumn("predict_raw", alerts.raw_decision(F.col("proba"), threshold))
+    return alerts.k_confirm(raw, K).select(*KEYS, "predict_raw", "predict_confirmed", r6(F.lit(threshold)).alias("threshold"))
+
+
+def process_trend_features(spark, sf):
+    """Counts and trends of every process that is among the top of some file, in long form."""
+    cut = materialise(windows.create_windows(lines(spark, sf), WIDTH, keywords=False), "windows")
+    return trends.process_features(cut).select(*KEYS, "feature", r6("x").alias("x"))
+
+
+def explained_predictions(spark, sf):
+    """Score and strongest feature of every window."""
+    cut, phi, absent = _explained(spark, sf)
+    top = explain.top_features(phi.withColumn("phi", F.round("phi", 9)), absent.withColumn("phi", F.round("phi", 9)), 1, cut)
+    return top.join(fixed_model_scores(spark, sf), KEYS).select(*KEYS, F.col("proba").alias("prediction_score"), explain.explanation_text(F.col("top")).alias("explanation"))
 
 
 def _in_utc(query):
@@ -604,6 +695,8 @@ def registry() -> dict:
         classification_report, classification_report_confirmed, union_by_name, tfidf_windows, tfidf_documents,
         fixed_model_scores, linear_attribution_topk, explanation_text, global_importance, sequence_windows,
         explain_sample, live_collected, live_windows, live_alerts, live_replayed, train_and_score, explain_model, svd_embedding,
+        fit_certificate, svd_quality, stage_tables, merged_files, files_by_source, bundle_round_trip, calibrated_predictions,
+        process_trend_features, explained_predictions,
     ]
     out = {f.__name__: f for f in named}
     for name in DIALECTS:

@@ -16,7 +16,7 @@ from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect, dialect as as_dialect
 from augurlog.functions.timestamps import general_timestamp
 from augurlog.session import broadcast_if_small, materialise
-from augurlog.sources.parse import gated_timestamp, with_fields
+from augurlog.sources.parse import gated_timestamp, parse_timestamps, with_fields
 
 LINE_COLUMNS = ["line_no", "timestamp", "host", "process", "pid", "message", "raw"]
 ERRORS = ("replace", "strict", "ignore")
@@ -137,3 +137,18 @@ def read_logs(
     ts = gated_timestamp(general, F.col("timestamp"), F.col("_repair"), d, year)
     return numbered.withColumn("ts", ts).select("source_file", F.lit(d.name).alias("os"), *LINE_COLUMNS, "ts")
 
+
+
+def read_parsed(spark: SparkSession, path: str | list[str], dialect: str | Dialect = "linux", year: int = packs.DEFAULT_YEAR) -> DataFrame:
+    """Lines that were parsed before, from ``.csv`` files with the columns ``LINE_COLUMNS``: as ``read_logs`` gives them.
+
+    Quoted fields may hold line breaks.  Columns are read by name; one that a file lacks is empty.
+    """
+    d = as_dialect(dialect)
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("enforceSchema", "false")
+    raw = reader.csv(path if isinstance(path, list) else [path])
+    column = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in raw.columns else F.lit("")
+    lines = raw.select(
+        F.col("_metadata.file_path").alias("source_file"), F.lit(d.name).alias("os"), column("line_no").try_cast("long").alias("line_no"), *[column(c).alias(c) for c in LINE_COLUMNS[1:]]
+    )
+    return parse_timestamps(materialise(lines, "parsed-lines"), d, year).select("source_file", "os", *LINE_COLUMNS, "ts")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from augurlog.operators import alerts, sequences, targets, trends
+from augurlog.operators import alerts, sequences, series, targets, trends
 from augurlog.operators.series import over_rows
 
 T0 = datetime(2024, 1, 1)
@@ -38,8 +38,9 @@ def same(got, want, columns):
     assert len(a) == len(b) and a == b
 
 
-@pytest.mark.parametrize("before, after", [(0, 0), (1, 0), (5, 0), (0, 1), (0, 7), (3, 4), (100, 0), (0, 200)])
-def test_frames(windows, before, after):
+@pytest.mark.parametrize("before, after, runs", [(0, 0, (7,)), (1, 0, (1,)), (5, 0, (7,)), (0, 1, ()), (0, 7, (1,)), (3, 4, (1, 64)), (100, 0, (7,)), (0, 200, (1, 7, 64))])
+def test_frames(windows, monkeypatch, before, after, runs):
+    monkeypatch.setattr(series, "RUNS", runs)
     compute = lambda w: {"s": F.sum("kw_error").over(w.rowsBetween(-before, after)), "n": F.count("*").over(w.rowsBetween(-before, after))}
     same(over_rows(windows, compute, before, after), windows.withColumns(compute(whole())), ["flag", "s", "n"])
 
@@ -86,7 +87,8 @@ def test_calibration(windows, k):
         assert got[t].alerts_per_day == pytest.approx(want) and (got[t].tp, got[t].fp) == (n.tp, n.fp)
 
 
-def test_no_window_over_a_whole_series(windows):
-    """The largest group that one task sorts is a day or the edges of days, not the series."""
+def test_no_window_over_a_whole_series(windows, monkeypatch):
+    """The largest group that one task sorts is a run or the edges of runs, not the series."""
+    monkeypatch.setattr(series, "RUNS", (1,))
     counted = over_rows(windows.where("source_file = 'dense'"), lambda w: {"n": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}, 2)
     assert counted.agg(F.max("n")).first()[0] <= 1440
