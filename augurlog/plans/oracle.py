@@ -263,6 +263,10 @@ def live_sql() -> dict[str, str]:
         "live_alerts": with_(**ctes) + f"""SELECT source_file, bucket, round(score, 6) AS early_warning_score, predict_raw,
             CAST(sum(predict_raw) OVER (PARTITION BY source_file ORDER BY bucket ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW) >= {K} AS INT)
             AS predict_confirmed, lines FROM rw""",
+        "live_late_lines": with_(p=ctes["p"]) + f""", wm AS (SELECT max(ts) - INTERVAL '2 hours' AS mark FROM p WHERE line_no % 50 <> 3),
+            j AS (SELECT host AS source_file, {bucket()} AS bucket, line_no % 50 = 3 AND ts <= mark AS is_late FROM p, wm)
+            SELECT source_file, bucket, count(*) FILTER (NOT is_late) AS lines, count(*) FILTER (is_late) AS late
+            FROM j GROUP BY 1, 2 HAVING count(*) FILTER (is_late) > 0""",
         "live_collected": f"""SELECT ts, host, 'linux' AS os, 'file' AS source, process, pid,
             CASE WHEN ok THEN message ELSE raw END AS message, raw FROM ({parsed_sql('linux')})""",
     }

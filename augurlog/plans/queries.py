@@ -526,6 +526,21 @@ def live_replayed(spark, sf):
     return live_alerts(spark, sf, replay=True)
 
 
+def live_late_lines(spark, sf):
+    """Every fiftieth line arrives after the windows of most others have closed."""
+    terms = spark.createDataFrame([(t, i, n, c) for n, (t, i, c) in enumerate(LIVE_TERMS)], "term string, idf double, idx int, coef double")
+    fitted = model.Model(terms, LIVE_NUMERIC, LIVE_INTERCEPT, meta={"terms": len(LIVE_TERMS)})
+    root = scratch_path(spark, "late")
+    for when, final in (("line_no % 50 <> 3", False), ("line_no % 50 = 3", True)):
+        rendered_lines(spark, sf).where(when).select("raw").write.mode("append").text(f"{root}/landing")
+        live.run_available(
+            spark, f"{root}/landing", root, fitted, THRESHOLD, width=WIDTH, year=rendered_year(), k=K,
+            min_lines=MIN_LINES, lateness=LATENESS, final=final,
+        )
+    got = live.late_lines(spark, f"{root}/events", f"{root}/windows", WIDTH).where("late > 0")
+    return got.select("source_file", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "lines", "late")
+
+
 def live_collected(spark, sf):
     root = scratch_path(spark, "collect")
     rendered_lines(spark, sf).repartitionByRange("source_file", "line_no").select("raw").write.text(f"{root}/landing")
@@ -694,7 +709,7 @@ def registry() -> dict:
         calibration_table, calibrate_alert_budget, pr_curve, average_precision, confusion_matrix,
         classification_report, classification_report_confirmed, union_by_name, tfidf_windows, tfidf_documents,
         fixed_model_scores, linear_attribution_topk, explanation_text, global_importance, sequence_windows,
-        explain_sample, live_collected, live_windows, live_alerts, live_replayed, train_and_score, explain_model, svd_embedding,
+        explain_sample, live_collected, live_windows, live_alerts, live_replayed, live_late_lines, train_and_score, explain_model, svd_embedding,
         fit_certificate, svd_quality, stage_tables, merged_files, files_by_source, bundle_round_trip, calibrated_predictions,
         process_trend_features, explained_predictions,
     ]

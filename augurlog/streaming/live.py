@@ -347,7 +347,8 @@ def confirmed_alerts(predictions: DataFrame) -> DataFrame:
 
 
 def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows the window query dropped as later than the watermark."""
+    """Rows the window query dropped as later than the watermark, as far back as its progress goes
+    (``late_lines`` has them all)."""
     return sum(
         op.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress
@@ -355,6 +356,24 @@ def dropped_late_rows(query: StreamingQuery) -> int:
     )
 
 
+def late_lines(spark: SparkSession, events_path: str, windows_path: str, width: str) -> DataFrame:
+    """``source_file, bucket, lines, late``: per closed window the lines counted, and those that came too late.
+
+    Both are in the tables: every parsed line is an event, and a closed window says how many of
+    them it took.  So the count covers all triggers since the start, restarts and repeated batches
+    too, where the progress of a query covers its last ones.  A window all of whose lines were late
+    has no row among the windows; it shows here with ``lines`` 0.
+    """
+    events = _as_lines(spark.read.schema(EVENT_SCHEMA).parquet(events_path)).where(F.col("source") != END_OF_INPUT)
+    bucket = windows.floor_bucket(F.col("ts"), width).alias("bucket")
+    came = events.select("source_file", bucket, "event_key").groupBy("source_file", "bucket").agg(F.count_distinct("event_key").alias("_came"))
+    closed = spark.read.option("recursiveFileLookup", "true").schema("source_file string, bucket timestamp, lines long").parquet(windows_path)
+    taken = closed.groupBy("source_file", "bucket").agg(F.max("lines").alias("lines"))
+    found = came.join(taken, ["source_file", "bucket"], "left").where(F.col("bucket") <= closed.agg(F.max("bucket")).scalar())
+    lines = F.coalesce("lines", F.lit(0))
+    return found.select("source_file", "bucket", lines.alias("lines"), (F.col("_came") - lines).alias("late"))
+
+
 def start_live(
     spark: SparkSession,
     landing: str,

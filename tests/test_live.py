@@ -47,6 +47,8 @@ def test_live_equals_batch_over_a_restart(spark, tmp_path, model):
     (landing / "b.log").write_text("\n".join(second + [late]) + "\n")
     closing = run(spark, root, model)
     assert live.dropped_late_rows(closing) == 1
+    late = live.late_lines(spark, f"{root}/events", f"{root}/windows", "10min").where("late > 0").collect()
+    assert [(r.source_file, r.late) for r in late] == [("node0", 1)]
 
     got = spark.read.parquet(f"{root}/alerts")
     keys = [(r.source_file, str(r.bucket)) for r in got.collect()]
