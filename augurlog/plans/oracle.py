@@ -389,6 +389,8 @@ def oracle() -> dict[str, str]:
             FROM (SELECT CAST(bucket AS DATE) AS day, sum(rise) AS a FROM ({RISES}) GROUP BY 1)""",
         "prediction_summary": f"""SELECT count(*) AS windows, CAST(sum(predict_raw) AS BIGINT) AS raw_positive,
             CAST(sum(predict_confirmed) AS BIGINT) AS confirmed_positive FROM ({PREDICTIONS})""",
+        "prediction_text": f"""SELECT source_file || ',' || strftime(bucket, '%Y-%m-%dT%H:%M:%S') || ',' || printf('%.6f', proba) || ',' || predict_raw
+            || ',' || predict_confirmed || ',' || lines AS row FROM ({PREDICTIONS})""",
         "top_alerts": f"""SELECT source_file, bucket, strftime(bucket, '%Y-%m-%d %H:%M:%S') || printf('  score=%.4f  raw=%d  conf=%d  lines=%d  ',
             proba, predict_raw, predict_confirmed, p.lines) || substr(text_with_proc, 1, 120) AS alert_line
             FROM ({PREDICTIONS}) p JOIN ({text_sql('linux')}) t USING (source_file, bucket) ORDER BY proba DESC, source_file, bucket LIMIT 20""",

@@ -320,6 +320,10 @@ def prediction_summary(spark, sf):
     return alerts.prediction_summary(predictions(spark, sf))
 
 
+def prediction_text(spark, sf):
+    return live.prediction_text(predictions(spark, sf).withColumnRenamed("proba", "early_warning_score"))
+
+
 def top_alerts(spark, sf):
     table = predictions(spark, sf).withColumnRenamed("proba", "early_warning_score")
     first = materialise(table.orderBy(F.desc("early_warning_score"), *KEYS).limit(20), "top_alerts")
@@ -711,7 +715,7 @@ def registry() -> dict:
         fixed_model_scores, linear_attribution_topk, explanation_text, global_importance, sequence_windows,
         explain_sample, live_collected, live_windows, live_alerts, live_replayed, live_late_lines, train_and_score, explain_model, svd_embedding,
         fit_certificate, svd_quality, stage_tables, merged_files, files_by_source, bundle_round_trip, calibrated_predictions,
-        process_trend_features, explained_predictions,
+        process_trend_features, explained_predictions, prediction_text,
     ]
     out = {f.__name__: f for f in named}
     for name in DIALECTS:

@@ -26,7 +26,7 @@ from augurlog.functions import packs
 from augurlog.functions.dialects import Dialect, dialect as as_dialect
 from augurlog.functions.rules import matches
 from augurlog.functions.text import example_text
-from augurlog.functions.timestamps import general_timestamp, syslog_timestamp, width_seconds
+from augurlog.functions.timestamps import general_timestamp, iso_text, syslog_timestamp, width_seconds
 from augurlog.operators import tfidf, windows
 from augurlog.operators.model import Model, text_logit
 from augurlog.operators.trends import expected_inputs
@@ -52,6 +52,8 @@ AVAILABLE = {"availableNow": True}
 # --- fixed values: flush interval of the collector, default lateness -----------
 COLLECT_EVERY = {"processingTime": "5 seconds"}
 LATENESS = "1 minute"
+# How long a host may send nothing before its state is dropped.
+SILENCE = "30 days"
 
 
 def live_events(
@@ -261,8 +263,7 @@ def alert_state(rule: AlertRule):
 
     Called with the closed windows of one trigger; there is one small row per window.  Windows
     of a series close in order, so one that isn't after the last was seen before (a repeated
-    batch) and is passed over.  State of a silent series stays (a few numbers): a timeout would keep
-    a run over the available input from ending.
+    batch) and is passed over.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -296,6 +297,25 @@ def alert_state(rule: AlertRule):
     return step
 
 
+def leaving(step):
+    """A state step whose series leaves when the watermark of windows passes its last one.
+
+    The watermark lies the time of silence behind the newest window of any series.  A series that
+    comes back later starts anew.  Event time only moves with input, so a run over the available
+    input ends.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from step(key, frames, state)
+        newest = state.get[2] // 1_000_000
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+
+    return run
+
+
 def start_alerts(
     spark: SparkSession,
     windows_path: str,
@@ -307,8 +327,13 @@ def start_alerts(
     k: int = packs.DEFAULT_K_CONFIRM,
     min_lines: int = packs.DEFAULT_MIN_LINES,
     trigger: dict | None = None,
+    silence: str = SILENCE,
 ) -> StreamingQuery:
-    """Score closed windows and confirm alerts; append predictions to ``out``."""
+    """Score closed windows and confirm alerts; append predictions to ``out``.
+
+    The state of a series without windows for ``silence`` is dropped, so it holds the hosts of that
+    time only; windows older than the newest one by more than ``silence`` are not scored.
+    """
     d = as_dialect(dialect)
     procs, _ = expected_inputs(model.features)
     base = _base_columns(d, procs)
@@ -319,12 +344,12 @@ def start_alerts(
     )
     rule = AlertRule(model.all_numeric(), model.intercept, threshold, max(1, k), min_lines, base)
     closed = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(windows_path)
-    alerts = closed.groupBy("source_file").applyInPandasWithState(
-        alert_state(rule),
+    alerts = closed.withWatermark("bucket", silence).groupBy("source_file").applyInPandasWithState(
+        leaving(alert_state(rule)),
         ALERT_SCHEMA,
         "history array<double>, ring array<int>, last long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return (
         alerts.writeStream.format("parquet")
@@ -356,6 +381,12 @@ def dropped_late_rows(query: StreamingQuery) -> int:
     )
 
 
+def prediction_text(predictions: DataFrame) -> DataFrame:
+    """Predictions as lines of text, the time in ISO form: what a plain log of predictions holds."""
+    score = F.format_string("%.6f", F.col("early_warning_score"))
+    return predictions.select(F.concat_ws(",", "source_file", iso_text(F.col("bucket")), score, "predict_raw", "predict_confirmed", "lines").alias("row"))
+
+
 def late_lines(spark: SparkSession, events_path: str, windows_path: str, width: str) -> DataFrame:
     """``source_file, bucket, lines, late``: per closed window the lines counted, and those that came too late.
 

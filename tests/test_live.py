@@ -117,3 +117,28 @@ def test_csv_collector(spark, tmp_path):
     rows = spark.read.option("header", "true").csv(str(tmp_path / "out")).orderBy("raw").collect()
     assert [r.message for r in rows] == ["a  b", "nope  no"]
     assert rows[0].os == "linux" and rows[0].source == "file" and rows[0].host == "h"
+
+
+def test_silent_hosts_leave_the_state(spark, tmp_path, model):
+    """A host that sends nothing for the time of silence is dropped; one that comes back starts anew."""
+    landing, root = tmp_path / "landing", str(tmp_path)
+    landing.mkdir()
+
+    def step(name, hosts, day, silence):
+        lines = [f"Mar {day:2d} {h:02d}:{m:02d}:00 {host} p1[1]: disk error" for host in hosts for h in range(3) for m in (0, 5, 11, 14, 25)]
+        (landing / name).write_text("\n".join(lines) + "\n")
+        live.start_collector(spark, str(landing), f"{root}/events", f"{root}/_c", year=2024, trigger=live.AVAILABLE).awaitTermination()
+        live.make_folders(spark, f"{root}/windows")
+        live.start_windows(spark, f"{root}/events", f"{root}/windows", f"{root}/_w", model, width="10min", lateness="1 minute", trigger=live.AVAILABLE).awaitTermination()
+        query = live.start_alerts(spark, f"{root}/windows", f"{root}/alerts", f"{root}/_a", model, 0.5, k=2, min_lines=1, trigger=live.AVAILABLE, silence=silence)
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert step("a.log", ["gone", "stays"], 3, "2 days") == 2
+    assert step("b.log", ["stays"], 9, "2 days") == 1
+    assert step("c.log", ["gone", "stays"], 10, "2 days") == 2
+    got = spark.read.parquet(f"{root}/alerts").where("source_file = 'gone'").orderBy("bucket").collect()
+    assert [str(r.bucket)[:10] for r in got] == sorted(str(r.bucket)[:10] for r in got) and {str(r.bucket)[8:10] for r in got} == {"03", "10"}
+    # confirmation and trends of the first window after the return are those of a first window
+    back = next(r for r in got if str(r.bucket).startswith("2024-03-10"))
+    assert back.predict_confirmed == 0 and back.early_warning_score == pytest.approx(got[0].early_warning_score)
