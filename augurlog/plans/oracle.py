@@ -316,7 +316,7 @@ def model_sql() -> dict[str, str]:
     sized |= tfidf_ctes(docs, KEY, "text_with_proc", packs.MAX_FEATURES)
     return {
         "process_trend_features": with_(**grid) + cells,
-        "fit_certificate": with_(kept=f"SELECT * FROM ({future_sql(labelled_sql('linux'))}) WHERE lines >= {MIN_LINES}", tr=train)
+        "fit_certificate": with_(kept=f"SELECT * FROM ({future_sql(labelled_sql('linux'))})", tr=train)
         + "SELECT count(*) AS windows, CAST(sum(y_future) AS BIGINT) AS positives, true AS optimal FROM tr WHERE window_is_anomaly = 0",
         "svd_quality": with_(**sized) + """SELECT (SELECT count(*) FROM tr) AS windows, CAST(count(*) AS INT) AS terms,
             CAST(least(256, count(*) - 1, (SELECT count(*) FROM tr)) AS INT) AS components, true AS orthonormal, true AS within_energy FROM vocab""",
