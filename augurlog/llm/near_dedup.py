@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from augurlog.llm import tables, textcore as tc
-from augurlog.session import materialise
+from augurlog.session import broadcast_if_small, materialise
 
 SHINGLE = 5
 ROWS = 4
@@ -260,7 +260,7 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int, leaders: int
     return tables.components(links.union(materialise(_open_links(each, sets, percent, block), "open_links")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, rows: int = ROWS, key: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, cls, component_id and kept.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -268,11 +268,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     doc_id = component_id.  Documents without words, or null text, are linked with nothing.
     Repeated rows (same doc_id) each get a row; a null doc_id counts only where a component has no
     other.  Equal sets are linked by their digest.  An empty table gives an empty result.
+
+    With ``key``, a column of ``docs``, the result also has ``key`` and ``root``, a name of the
+    component that does not depend on ids (null for documents without words).
     """
     bands = band_count(percent / 100, rows)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialise(signatures(own, "text", ["doc_id"], size, bands, rows), "signatures")
-    narrow = signed.select("doc_id", "n_shingles", "cls")
+    carried = [] if key is None else [F.col(f"`{key}`").alias("key")]
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
+    names = [c for c in own.columns if c != "text"]
+    signed = materialise(signatures(own, "text", names, size, bands, rows), "signatures")
+    narrow = signed.select(*names, "n_shingles", "cls")
     classes = signed.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")
     )
@@ -280,33 +285,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     members = materialise(table_members(classes), "table_members")
     met = members.select("cls").distinct()
     needed = materialise(classes.select("cls", "least").join(met, "cls"), "needed")
-    # One text of each class that meets another; a null doc_id is found by the digest alone.
-    texts = own.join(needed.select(F.col("least").alias("doc_id")).distinct(), on="doc_id", how="left_semi") if needed.where("least is null").isEmpty() else own
+    # One text of each class that meets another; without any id it is found by the digest alone.
+    texts = own.join(needed.select(F.col("least").alias("doc_id")).distinct(), on="doc_id", how="left_semi")
+    if not needed.where("least is null").isEmpty():
+        texts = texts.select("text").union(own.where("doc_id is null").select("text"))
     sets = _sets(texts, "doc_id", "text", size, bands).dropDuplicates(["cls"]).join(met, "cls", "left_semi")
     sets = materialise(sets, "sets")
     roots = materialise(class_links(members, sets, percent), "class_roots")
     least = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     whole = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = least.join(whole, "root").select("cls", "component_id")
+    by_class = least.join(whole, "root").select("cls", "component_id", "root")
     out = narrow.join(by_class, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "cls", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    more = [] if key is None else ["key", "root"]
+    return out.select("doc_id", "n_shingles", "cls", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, columns unchanged.
 
-    Rows that repeat the doc_id of a kept document are dropped too; documents without words stay,
-    as do documents without a doc_id whose group has none with one (one of each).
+    A row is known by a digest of its doc_id and text.  Of a group stays the row with the smallest
+    doc_id, one with a null doc_id only where the group has no other; ties go to the smallest
+    digest.  Rows that share a doc_id but are not near copies are different documents.  Of rows
+    equal in doc_id and text one stays, whatever their other columns.  All documents without words
+    stay, null texts included.
     """
-    found = materialise(near_duplicates(docs, percent, rows=rows), "near_duplicates").where("kept")
-    with_id = found.where("doc_id is not null")
-    keep = docs.join(with_id.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    repeated = materialise(with_id.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        once = keep.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-        keep = keep.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
-    if found.where("doc_id is null").isEmpty():
+    key = tc.unused("row_key", docs.columns)
+    owner = F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string")), F.lit(""))
+    keyed = docs.withColumn(key, F.md5(F.concat(owner, F.lit("\n"), F.col("text"))))
+    found = materialise(near_duplicates(keyed, percent, rows=rows, key=key).where("root is not null").select("root", "doc_id", "key"), "near_duplicates")
+    alike = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("c"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "c")).alias("m"))
+    first = materialise(first.select(F.col("m.key").alias(key), "m.c"), "first_of_group")
+    columns = [f"`{c}`" for c in docs.columns]
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keep = docs.where(~worded).union(keyed.join(first.where("c = 1").select(key), key, "left_semi").select(*columns))
+    repeated = first.where("c > 1").select(key)
+    if repeated.isEmpty():
         return keep
-    # Rows without an id are told apart by their text.
-    return keep.union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    once = keyed.join(broadcast_if_small(repeated), key, "left_semi").dropDuplicates([key])
+    return keep.union(once.select(*columns))

@@ -85,6 +85,25 @@ def test_repeated_ids_leave_one_row(make_docs):
     assert sorted((r.doc_id or 0) for r in rows) == [0, 1]
 
 
+def test_rows_without_an_id_are_kept_by_group(make_docs):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join([*base[:i], "new", *base[i + 1 :]])
+    ids = lambda rows: sorted((r.doc_id or 0) for r in near_dedup.keep_one(make_docs(rows)).collect())
+    group = [(1, " ".join(base)), (None, near(0)), (None, near(59)), (None, near(1))]
+    assert ids(group) == [1]
+    # an unrelated row, and near copies among rows without an id only
+    assert ids([*group, (None, "q r s t u v")]) == [0, 1]
+    alone = [(None, " ".join(f"z{i}" for i in range(60))), (None, " ".join(f"z{i}" for i in range(59)))]
+    assert ids([*group, *alone]) == [0, 1]
+    assert ids([(None, None), (None, None), (None, " "), (7, "")]) == [0, 0, 0, 7]
+
+
+def test_different_texts_under_one_id_stay(make_docs):
+    rows = [(5, "a b c d e f"), (5, "k l m n o p"), (5, "k l m n o p"), (6, "k l m n o p")]
+    kept = near_dedup.keep_one(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, "a b c d e f"), (5, "k l m n o p")]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in T.components(edges).collect()}
