@@ -10,10 +10,12 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP8 = f"""
 WITH items AS (
   SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {WORDS.format('text', NOT_WORD)} AS w FROM benchmark
-), windows AS (
-  SELECT DISTINCT item, len(w) AS n, array_to_string(w, ' ') AS win FROM items WHERE len(w) BETWEEN 1 AND 12
-  UNION
-  SELECT item, 13, array_to_string(w[i:i + 12], ' ') FROM (SELECT item, w, unnest(range(1, len(w) - 11)) AS i FROM items WHERE len(w) >= 13)
+), numbered AS (SELECT *, row_number() OVER () AS text_no FROM items
+), placed AS (
+  SELECT item, text_no, len(w) AS n, 1 AS place, array_to_string(w, ' ') AS win FROM numbered WHERE len(w) BETWEEN 1 AND 12
+  UNION ALL
+  SELECT item, text_no, 13, i, array_to_string(w[i:i + 12], ' ') FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM numbered WHERE len(w) >= 13)
+), windows AS (SELECT DISTINCT item, n, win FROM placed
 ), docs AS (
   SELECT row_number() OVER () AS row, doc_id, {WORDS.format('text', NOT_WORD)} AS w FROM documents
 ), sizes AS (SELECT DISTINCT n FROM windows), spots AS (
@@ -23,12 +25,20 @@ WITH items AS (
   SELECT row, i, s.n, item FROM spots s JOIN windows v ON s.win = v.win AND s.n = v.n
 ), hit AS (
   SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM found) GROUP BY row
+), chains AS (  -- windows of one item in a row: a longer match
+  SELECT row, min(i) AS spot, max(i) - min(i) + max(n) AS length FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY row, item, text_no, n, i - place ORDER BY i) AS chain, i - place AS shift
+    FROM (SELECT row, i, s.n, item, text_no, place FROM spots s JOIN placed v ON s.win = v.win AND s.n = v.n)
+  ) GROUP BY row, item, text_no, n, shift, chain
+), far AS (
+  SELECT row, -best.l AS longest, best.s - 1 AS longest_at FROM (SELECT row, min(struct_pack(l := -length, s := spot)) AS best FROM chains GROUP BY row)
 ), named AS (
   SELECT row, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row, item FROM found) GROUP BY row
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(longest_at, -1) AS BIGINT) AS longest_at
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row) LEFT JOIN far USING (row)
 """
 
 OP6 = f"""

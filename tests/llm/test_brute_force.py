@@ -119,7 +119,7 @@ def test_suffix_array_matches(spark, make_docs):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, ["doc_id"], window=5, shard=150).collect()}
     for i, text in enumerate(texts):
-        w, hit, found = text.split(), set(), set()
+        w, hit, found, matches = text.split(), set(), set(), [(0, -1)]
         for k, item in enumerate(items):
             v = item.split()
             size = min(5, len(v))
@@ -128,6 +128,10 @@ def test_suffix_array_matches(spark, make_docs):
                     if size and w[at : at + size] == v[s : s + size]:
                         hit |= set(range(at, at + size))
                         found.add(str(k))
+                        n = next((n for n in itertools.count(size) if w[at : at + n + 1] != v[s : s + n + 1] or s + n == len(v) or at + n == len(w)))
+                        matches.append((-n, at))
+        best = min(matches)
+        assert (got[i].longest, got[i].longest_at) == (-best[0], best[1])
         assert (got[i].n_words, got[i].n_hit, got[i].n_items) == (len(w), len(hit), len(found))
         assert got[i].items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert got[i].contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
@@ -142,6 +146,14 @@ def test_suffix_array_matches(spark, make_docs):
                 assert texts[row.doc_id].split()[row.doc_word : row.doc_word + want] == v[s : s + want]
 
 
+def test_longest_match_names_the_smallest_id(spark, make_docs):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = make_docs([(9, f"a {passage} b"), (5, passage), (None, passage), (2, f"c d {passage}"), (3, "other words")]).coalesce(1)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    row = {r.item_word: r for r in decontaminate.longest_matches(docs, bench).collect()}[0]
+    assert (row.length, row.doc_id, row.doc_word) == (20, 2, 2)
+
+
 def test_suffix_array_order():
     w = np.array([3, 1, 2, 1, 2, 1, 2, 0, 1, 2, 1, 0], np.uint64)
     order = decontaminate.suffix_array(w, 20)
