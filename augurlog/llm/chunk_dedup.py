@@ -1,22 +1,26 @@
-"""Repeated passages found by content-defined grams, and removed from all documents but the first.
+"""Repeated passages found by content-defined chunks, and removed from all documents but the first.
 
 A gear hash rolls over the bytes of a text: twice the last value plus a value per byte, over 16
-bytes.  Of every ``min_bytes - GRAM + 1`` neighbouring grams (stretches of ``GRAM`` bytes) the one
-with the smallest hash is an *anchor*; nothing else decides, so two texts that share ``min_bytes``
-bytes anywhere have the same anchor in them, whatever the words are.  Anchors are compared by 64-bit
-digests across all documents.  Anchors that earlier documents (smaller ids) hold too and that join
-up are a run.  At the two ends of a run longer stretches, of four fifths of ``min_bytes``, are
-compared the same way, at steps of a fifth around the anchor.  A run with these, of four fifths of
-``min_bytes`` or more, is a passage.  So all that has ``min_bytes`` bytes in a row of an earlier
-document is found, to a fifth of ``min_bytes`` at either end, and nothing below four fifths is.
-
-The shuffles carry a digest and an id per anchor, pre-aggregated by digest; a passage of very many
-documents is one row of that aggregate, and the join with it is one that adaptive execution splits.
+bytes.  Places where a word starts may be cuts (in words of over ``LONG`` bytes, as unspaced scripts
+have, every character).  Of ``width`` neighbouring places the one with the smallest hash of the
+bytes that follow is a cut; nothing else decides, so bytes put in or taken out move the cuts near
+them only.  A chunk lies between two cuts.  ``width`` is such that any passage of more than
+``min_words`` words has two cuts that depend on its own bytes alone, hence a whole chunk.
+
+Chunks are compared by 64-bit digests across all documents.  Neighbouring chunks that earlier
+documents (smaller ids) hold too are a run.  Both its ends are extended as far as the text of the
+run's first holders goes on alike: the holders' texts give the ``width`` words around the chunks at
+the ends, and a join hands them over.  A run of four fifths of ``min_words`` or more is a passage.
+
+The shuffles carry a digest and an id per chunk.  Digests with very many rows are joined by a
+broadcast instead; there are at most ``HOT`` of them, whatever the size of the tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,246 +30,284 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from augurlog.llm import textcore as tc
-from augurlog.session import broadcast_if_small, materialise
-
-#: Bytes of a gram, and of its first bytes that the gear hash reads.
-GRAM, WINDOW = 48, 16
-#: Bytes in a row that are always found.  51 words have 101 bytes at least; single stock sentences,
-#: such as licence lines, have fewer.
-MIN_BYTES = 100
-#: Anchors whose surroundings are hashed at once.
-SLICE = 1 << 14
+from augurlog.session import materialise
+
+#: Bytes that the gear hash reads.
+WINDOW = 16
+#: Passages of more words are always found.
+MIN_WORDS = 50
+#: Bytes above which a word counts as one word per ``WORD`` bytes and may be cut at any character.
+LONG, WORD = 32, 8
+#: Digests that are joined by a broadcast at most.
+HOT = 50_000
 #: Bytes of text handled at once.
 PIECE = 1 << 19
 
 _GEAR = (tc.seeds(256, 31) >> np.uint64(32)).astype(np.uint32)
+_NONE = np.zeros(0, np.int64)
 
 
-def _sizes(min_bytes: int) -> tuple[int, int]:
-    """Bytes of a gram, and neighbouring grams of which one is an anchor."""
-    if min_bytes < WINDOW:
-        raise ValueError(f"min_bytes must be {WINDOW} at least")
-    gram = max(WINDOW, min(GRAM, min_bytes // 2))
-    return gram, min_bytes - gram + 1
+def width_of(min_words: int) -> int:
+    """Places of which one is a cut: a passage has twice as many, its last 16 bytes and a partial first word left out."""
+    if min_words < WINDOW // 2 + 2:
+        raise ValueError(f"min_words must be {WINDOW // 2 + 2} at least")
+    return (min_words - WINDOW // 2) // 2
 
 
-def anchors(column: pa.Array, min_bytes: int = MIN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, end row, bytes, row bounds, then start, row and digest of every anchor in order."""
-    gram, width = _sizes(min_bytes)
+class Chunks(NamedTuple):
+    """Chunks of the rows ``lo`` to ``hi`` of a batch, in order, and what their bounds were found by."""
+
+    lo: int
+    hi: int
+    data: np.ndarray
+    bounds: np.ndarray
+    places: np.ndarray  # where cuts may be
+    size: np.ndarray  # words before each byte, in parts of 1 / WORD
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    digest: np.ndarray
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours."""
+    seen = 1
+    while seen < width:
+        step = min(seen, width - seen)
+        values = np.minimum(values[:-step], values[step:])
+        seen += step
+    return values
+
+
+def chunks(column: pa.Array, min_words: int = MIN_WORDS) -> Iterator[Chunks]:
+    """The chunks of every text; a null has none."""
+    width = width_of(min_words)
     for lo, hi, data, bounds in tc.pieces(column, PIECE):
-        lengths = np.diff(bounds)
-        starts = np.zeros(0, np.int64)
-        if len(lengths) and lengths.max() >= min_bytes:
+        begin, end, _ = tc.runs(data, bounds, tc.NOT_SPACE)
+        long = end - begin > LONG
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[begin[long]] += 1
+        inside[end[long]] -= 1
+        inside = np.cumsum(inside, dtype=np.int8)[:-1] > 0
+        may = inside & (data & 0xC0 != 0x80)
+        may[begin] = True
+        places = np.flatnonzero(may)
+        part = inside.astype(np.int64)
+        part[begin[~long]] = WORD
+        size = np.concatenate([_NONE, [0], np.cumsum(part)])
+
+        row = np.searchsorted(bounds, places, "right") - 1
+        whole = places + WINDOW <= bounds[row + 1]
+        at, row = places[whole], row[whole]
+        cuts = _NONE
+        if len(at) >= width:
             h = _GEAR[data]
             for step in (1, 2, 4, 8):
                 longer = h.copy()
                 longer[step:] += h[:-step] << np.uint32(step)
                 h = longer
             # The place breaks ties, so that the first of equal hashes counts.
-            least = (h[WINDOW - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange(len(data) - WINDOW + 1, dtype=np.uint64)
-            seen = 1
-            while seen < width:
-                step = min(seen, width - seen)
-                least = np.minimum(least[:-step], least[step:])
-                seen += step
-            left = np.repeat(bounds[1:], lengths)[: len(least)] - np.arange(len(least))
-            chosen = (least[left >= min_bytes] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            new = np.ones(len(chosen), bool)
-            new[1:] = chosen[1:] != chosen[:-1]
-            starts = chosen[new]
-        row = np.searchsorted(bounds, starts, "right") - 1
-        yield lo, hi, data, bounds, starts, row, tc.span_hashes(data, starts, starts + gram, tc.EXACT)
-
-
-def _around(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, row: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which anchor, start and digest of the stretches of four fifths of ``min_bytes`` around each anchor, within its row.
-
-    An anchor in a passage is less than ``width`` from its begin if it is the first, and from its end
-    if it is the last; one of the steps is then less than a step from that end, and within the passage.
+            least = _least((h[at + WINDOW - 1].astype(np.uint64) << np.uint64(32)) | np.arange(len(at), dtype=np.uint64), width)
+            cuts = (least[row[: len(least)] == row[width - 1 :]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])[: len(cuts)]]
+        bound, of = at[cuts], row[cuts]
+        same = of[1:] == of[:-1]
+        starts, ends = bound[:-1][same], bound[1:][same]
+        yield Chunks(lo, hi, data, bounds, places, size, starts, ends, of[1:][same], tc.span_hashes(data, starts, ends, tc.EXACT).view(np.int64))
+
+
+def _around(c: Chunks, k: int, width: int) -> tuple[bytes, bytes]:
+    """The bytes of the ``width`` words before chunk ``k`` and after it, within its row."""
+    low, high = c.bounds[c.row[k]], c.bounds[c.row[k] + 1]
+    i = np.searchsorted(c.places, c.starts[k]) - width
+    j = np.searchsorted(c.places, c.ends[k]) + width
+    begin = max(low, c.places[i]) if i >= 0 else low
+    end = min(high, c.places[j] + 2 * WINDOW) if j < len(c.places) else high
+    return c.data[begin : c.starts[k]].tobytes(), c.data[c.ends[k] : end].tobytes()
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _occurrences(c: Chunks) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks but for those amid neighbours of one digest, and their place: text, number in the row, whether it ends such a stretch."""
+    n = len(c.row)
+    if not n:
+        return _NONE, _NONE
+    like = np.zeros(n + 1, bool)
+    like[1:-1] = (c.digest[1:] == c.digest[:-1]) & (c.row[1:] == c.row[:-1])
+    some = np.flatnonzero(~(like[:-1] & like[1:]))
+    # Repeated rows of a doc_id may have different texts: the place is one in the text of this hash.
+    texts = (tc.span_hashes(c.data, c.bounds[:-1], c.bounds[1:], tc.EXACT) >> np.uint64(33)).astype(np.int64) << 32
+    number = np.arange(n) - np.searchsorted(c.row, c.row)
+    return some, (texts[c.row] + (number << 1) + like[:-1])[some]
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    """The row of every element of a column of lists."""
+    return np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+
+
+def _with_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` and what ``few``, a written table with one row per key and the number ``n`` of its rows, knows of them.
+
+    Keys of very many rows stay out of the shuffle.  There are ``HOT`` of them at most, since each
+    has more than 1 / HOT of the rows.
     """
-    _, width = _sizes(min_bytes)
-    size = min_bytes * 4 // 5
-    step = min_bytes - size
-    begin = (starts[:, None] - step * np.arange(-1, max((width - 1) // step, width // step) + 1)).ravel()
-    of = np.repeat(np.arange(len(starts)), len(begin) // max(len(starts), 1))
-    inside = (begin >= bounds[row[of]]) & (begin + size <= bounds[row[of] + 1])
-    of, begin = of[inside], begin[inside]
-    return of, begin, tc.span_hashes(data, begin, begin + size, tc.EXACT)
-
-
-def _runs(starts: np.ndarray, row: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first and the last anchor of every run of anchors that overlap or touch."""
-    fresh = np.ones(len(starts), bool)
-    fresh[1:] = (starts[1:] > starts[:-1] + gram) | (row[1:] != row[:-1])
-    head = np.flatnonzero(fresh)
-    return head, np.append(head[1:], len(starts))[: len(head)] - 1
-
-
-def _joined(begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches sorted by their begin, those of a row that overlap or touch made one."""
-    fresh = np.ones(len(begin), bool)
-    fresh[1:] = (begin[1:] > np.maximum.accumulate(end)[:-1]) | (row[1:] != row[:-1])
-    head = np.flatnonzero(fresh)
-    return begin[head], np.maximum.reduceat(end, head) if len(head) else end, row[head]
-
-
-def _long(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
-
-
-def _listed(digest: np.ndarray, row: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """Which digests are in the list of their row; ``row`` ascends."""
-    found = np.zeros(len(digest), bool)
-    first = np.searchsorted(row, np.arange(len(lists) + 1))
-    for i, listed in enumerate(lists):
-        found[first[i] : first[i + 1]] = np.isin(_long(digest[first[i] : first[i + 1]]), listed)
-    return found
-
-
-def _each_digest(docs: DataFrame, columns: list[str], digests: Callable, more: str = "") -> DataFrame:
-    """(doc_id, digest) and more; ``digests(batch)`` gives row numbers, digests and further values of a batch."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "digest", *([more.split()[0]] if more else [])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, digest, *rest in digests(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(_long(digest)), *map(pa.array, rest)], names=names)
-
-    return docs.select("doc_id", *columns).mapInArrow(run, f"doc_id {kind}, digest long" + (f", {more}" if more else ""))
-
-
-def _thinned(starts: np.ndarray, row: np.ndarray, digest: np.ndarray, gram: int) -> np.ndarray:
-    """Anchors but for those amid many of one digest that overlap: the first and last and one per half gram stay."""
-    same = np.zeros(len(starts) + 1, bool)
-    same[1:-1] = (digest[1:] == digest[:-1]) & (row[1:] == row[:-1]) & (starts[1:] - starts[:-1] <= gram)
-    head = np.flatnonzero(~same[:-1])
-    place = (starts - np.repeat(starts[head], np.diff(np.append(head, len(starts))))) // (gram // 2)
-    kept = ~same[:-1] | ~same[1:]
-    kept[1:] |= place[1:] != place[:-1]
-    return np.flatnonzero(kept)
-
-
-def _held(digests: DataFrame) -> DataFrame:
-    """``digests`` and their owner, for the digests that several documents have; the owner has the smallest id."""
-    shared = digests.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("digest", "owner")
-    return digests.join(shared, "digest")
+    floor = max(20_000, rows.count() // HOT)
+    hot = few.where(F.col("n") > floor).drop("n")
+    if hot.isEmpty():
+        return rows.join(few.drop("n"), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.where(F.col("n") <= floor).drop("n"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
 
 
-def _hits(held: DataFrame, name: str, *more: str) -> DataFrame:
-    """Per document the digests that an earlier one has, the first that has them, and more columns."""
-    hits = held.where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner", *more)).alias("hits"))
-    return hits.select(F.col("doc_id").alias("_of_" + name), F.col("hits.digest").alias(name), F.col("hits.owner").alias(name + "_owner"), *[F.col("hits." + c).alias(c) for c in more])
-
-
-def deduplicated(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``keep`` columns, the text without repeated passages, n_removed (bytes) and repeats_of (ids).
 
     A passage stays in the document of the smallest id that has its bytes; repeats_of lists the
-    documents, in order, whose anchors the removed passages of this one repeat.  Texts without a
+    documents, in order, whose chunks the removed passages of this one repeat.  Texts without a
     repeated passage are returned as they are, null and empty ones too, with 0 and an empty list.
     Repeated rows with one doc_id count as one document, so they don't repeat each other; rows
     without an id are neither compared nor changed.  What a document repeats within itself stays.
-    Characters are never split.  An empty table gives an empty result.
+    Passages begin and end at whole words (in words of over ``LONG`` bytes: characters).  An empty
+    table gives an empty result.
     """
-    gram, size = _sizes(min_bytes)[0], min_bytes * 4 // 5
+    width, least = width_of(min_words), min_words * WORD * 4 // 5
     kind = docs.schema[doc_id].dataType
+    id_type = kind.simpleString()
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
 
-    def whole(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo, _, data, bounds, starts, row, digest in anchors(batch.column(1), min_bytes):
-            # Repeated rows of a doc_id may have different texts: the place is one in the text of this hash.
-            texts = (tc.span_hashes(data, bounds[:-1], bounds[1:], tc.EXACT) >> np.uint64(33)).astype(np.int64) << 32
-            some = _thinned(starts, row, digest, gram)
-            yield lo + row[some], digest[some], texts[row[some]] + starts[some] - bounds[row[some]]
-
-    held = materialise(_held(_each_digest(own, ["text"], whole, "place long")), "held")
-    names = {n: tc.unused(n, [c for c in keep if c != text]) for n in ("n_removed", "repeats_of")}
-    marks, stretch = tc.unused("hits", docs.columns), tc.unused("stretch", docs.columns)
-    hits = materialise(_hits(held, marks, "place"), "repeats")
-
-    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, place = (np.asarray(batch.column(i).flatten()) for i in (0, 1))
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(0))))
+            for c in chunks(batch.column(1), min_words):
+                some, place = _occurrences(c)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.lo + c.row[some])), pa.array(c.digest[some]), pa.array(place)], names=["doc_id", "digest", "place"])
+
+    found = materialise(own.mapInArrow(cut, f"doc_id {id_type}, digest long, place long"), "chunks")
+    shared = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    shared = materialise(shared.where("owner <> last").drop("last"), "shared")
+    hits = _with_few(found, shared, ["digest"]).where("doc_id <> owner")
+    hits = materialise(hits.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("place", "digest", "owner")).alias("hits")), "hits")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The digests at the ends of each run, with every first holder of a chunk of the run."""
+        for batch in batches:
+            items = batch.column(1).flatten()
+            place, digest, owner = (np.asarray(items.field(i)) if i < 2 else items.field(i) for i in range(3))
+            row = _rows(batch.column(1))
+            if not len(row):
+                continue
             order = np.lexsort((place, row))
-            head, tail = _runs(place[order], row[order], gram)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(digest[order][np.concatenate([head, tail])]))], names=["digest"])
-
-    edges = materialise(hits.select(marks, "place").mapInArrow(outer, "digest long").distinct(), "edges")
-    ends = held.select("digest", "doc_id").join(edges, "digest").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("digest").alias("ends"))
-    ends = materialise(ends, "ends")
-
-    def around(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo, hi, data, bounds, starts, row, digest in anchors(batch.column(1), min_bytes):
-            at = np.flatnonzero(_listed(digest, row, [np.asarray(batch.column(2)[i].values) for i in range(lo, hi)]))
-            for a in range(0, len(at), SLICE):
-                part = at[a : a + SLICE]
-                of, _, stretch = _around(data, bounds, starts[part], row[part], min_bytes)
-                of = lo + row[part][of]
-                order = np.lexsort((stretch, of))
-                of, stretch = of[order], stretch[order]
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (stretch[1:] != stretch[:-1])
-                yield of[new], stretch[new]
-
-    # Texts without an end are left out before the texts are moved, while the ids of the others are few.
-    concerned = own.join(broadcast_if_small(ends.select("_of")), F.col("doc_id") == F.col("_of"), "left_semi")
-    around_ends = _each_digest(concerned.join(ends, F.col("doc_id") == F.col("_of")), ["text", "ends"], around)
-    stretches = materialise(_hits(_held(materialise(around_ends, "around")), stretch), "stretches")
+            place, digest, row = place[order], digest[order], row[order]
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | ((place[1:] & 1 == 0) & (place[1:] >> 1 != (place[:-1] >> 1) + 1))
+            head = np.flatnonzero(fresh)
+            tail = np.append(head[1:], len(row))[: len(head)] - 1
+            run = np.cumsum(fresh) - 1
+            listed = pa.table([pa.array(run), owner.take(pa.array(order))], names=["run", "owner"]).group_by(["run", "owner"]).aggregate([])
+            of = np.asarray(listed["run"].combine_chunks())
+            owners = listed["owner"].combine_chunks()
+            for edge in (head, tail):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[edge[of]])), pa.array(digest[edge[of]]), owners], names=["doc_id", "digest", "owner"])
+
+    edges = hits.mapInArrow(ends, f"doc_id {id_type}, digest long, owner {id_type}").distinct()
+    edges = materialise(edges, "edges")
+    asked = edges.groupBy("owner", "digest").agg(F.count("*").alias("n")).groupBy(F.col("owner").alias("_of")).agg(F.collect_list(F.struct("digest", "n")).alias("asked"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words around the chunks asked for: the first and, if there are several, the last one of a digest in a text."""
+        for batch in batches:
+            for c in chunks(batch.column(1), min_words):
+                out = [[] for _ in range(7)]
+                bound = np.searchsorted(c.row, np.arange(c.hi - c.lo + 1))
+                for i in range(c.hi - c.lo):
+                    wanted = batch.column(2)[c.lo + i].values
+                    number = dict(zip(wanted.field(0).to_pylist(), wanted.field(1).to_pylist(), strict=True))
+                    place = defaultdict(list)
+                    for j in (bound[i] + np.flatnonzero(np.isin(c.digest[bound[i] : bound[i + 1]], np.fromiter(number, np.int64)))).tolist():
+                        place[int(c.digest[j])].append(j)
+                    for digest, at in place.items():
+                        for values, value in zip(out, (c.lo + i, digest, number[digest], *_around(c, at[0], width), *(_around(c, at[-1], width) if len(at) > 1 else (None, None))), strict=True):
+                            values.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(v, t) for v, t in zip(out[1:], [pa.int64()] * 2 + [pa.binary()] * 4, strict=True))],
+                    names=["owner", "digest", "n", "before", "after", "last_before", "last_after"],
+                )
+
+    around = own.join(asked, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "asked").mapInArrow(told, f"owner {id_type}, digest long, n long, before binary, after binary, last_before binary, last_after binary")
+    around = around.groupBy("owner", "digest").agg(F.max("n").alias("n"), F.min(F.struct("before", "after", "last_before", "last_after")).alias("near"))
+    near = _with_few(edges, materialise(around, "around"), ["digest", "owner"])
+    near = near.groupBy(F.col("doc_id").alias("_near_of")).agg(F.collect_list(F.struct("digest", "near.*")).alias("near"))
 
     kept = [c for c in keep if c != text]
-    found = [marks, marks + "_owner", stretch, stretch + "_owner"]
-    lists = hits.join(stretches, F.col("_of_" + marks) == F.col("_of_" + stretch), "left").select("_of_" + marks, *found)
-    joined = docs.join(lists, F.col(f"`{doc_id}`") == F.col("_of_" + marks), "left").select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), *found)
+    names = {n: tc.unused(n, kept + [text]) for n in ("n_removed", "repeats_of")}
+    marks, known_near = tc.unused("hits", docs.columns), tc.unused("near", docs.columns)
+    of = tc.unused("_of", docs.columns)
+    lists = hits.join(near, F.col("_of") == F.col("_near_of"), "left").select(F.col("_of").alias(of), F.col("hits").alias(marks), F.col("near").alias(known_near))
+    joined = docs.join(lists, F.col(f"`{doc_id}`") == F.col(of), "left").select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), marks, known_near)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(text, T.StringType()), T.StructField(names["n_removed"], T.LongType()), T.StructField(names["repeats_of"], T.ArrayType(kind))])
 
+    def passages(c: Chunks, i: int, known: np.ndarray, before: dict, after: dict) -> list[tuple[int, int]]:
+        """Begin and end of the passages of row ``i``, of whose chunks ``known`` are held by earlier documents."""
+        low, high = int(c.bounds[i]), int(c.bounds[i + 1])
+        fresh = np.append(True, c.starts[known[1:]] != c.ends[known[:-1]])
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(known)) - 1
+        spans = []
+        for first, last in zip(known[head].tolist(), known[tail].tolist(), strict=True):
+            b, e = int(c.starts[first]), int(c.ends[last])
+            b -= max((_alike(np.frombuffer(x, np.uint8)[::-1], c.data[max(low, b - len(x)) : b][::-1]) for x in before[int(c.digest[first])]), default=0)
+            e += max((_alike(np.frombuffer(x, np.uint8), c.data[e : min(high, e + len(x))]) for x in after[int(c.digest[last])]), default=0)
+            if spans and b <= spans[-1][1]:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([b, e])
+        whole = []
+        space = ~tc.NOT_SPACE
+        for b, e in spans:
+            if b > low and not (space[c.data[b - 1]] or space[c.data[b]]):
+                j = int(np.searchsorted(c.places, b))
+                b = int(c.places[j]) if j < len(c.places) else e
+            if e < high and not (space[c.data[e - 1]] or space[c.data[e]]):
+                e = int(c.places[np.searchsorted(c.places, e, "right") - 1])
+            if e > b and c.size[e] - c.size[b] >= least:
+                whole.append((b, e))
+        return whole
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, column, lists, owners = len(kept), batch.column(len(kept)), batch.column(len(kept) + 1), batch.column(len(kept) + 2)
-            more, more_owners = batch.column(n + 3), batch.column(n + 4)
+            n = len(kept)
+            column, lists, around = batch.column(n), batch.column(n + 1), batch.column(n + 2)
+            texts, removed, origins = column.to_pylist(), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
             hit_rows = np.flatnonzero(np.asarray(lists.is_valid()))
-            texts, removed, of = column.to_pylist(), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for lo, hi, data, bounds, starts, row, digest in anchors(column.take(pa.array(hit_rows)), min_bytes):
-                rows = [int(k) for k in hit_rows[lo:hi]]
-                owner = [dict(zip(lists[k].as_py(), owners[k].as_py(), strict=True)) for k in rows]
-                beyond = [dict(zip(more[k].as_py() or [], more_owners[k].as_py() or [], strict=True)) for k in rows]
-                known = _listed(digest, row, [np.fromiter(o, np.int64) for o in owner])
-                starts, row, digest = starts[known], row[known], digest[known]
-                head, tail = _runs(starts, row, gram)
-                edge = np.unique(np.concatenate([head, tail]))
-                begins, sources = [starts[head]], [set() for _ in head]
-                for a in range(0, len(edge), SLICE):
-                    part = edge[a : a + SLICE]
-                    whose, place, longer = _around(data, bounds, starts[part], row[part], min_bytes)
-                    whose = row[part][whose]
-                    on = np.flatnonzero(_listed(longer, whose, [np.fromiter(o, np.int64) for o in beyond]))
-                    begins.append(place[on])
-                    sources += [{beyond[i][d]} for i, d in zip(whose[on].tolist(), _long(longer[on]).tolist(), strict=True)]
-                begin = np.concatenate(begins)
-                stop = np.concatenate([starts[tail] + gram, begin[len(head) :] + size])
-                order = np.argsort(begin, kind="stable")
-                begin, stop, sources = begin[order], stop[order], [sources[j] for j in order]
-                first, last, at = _joined(begin, stop, np.searchsorted(bounds, begin, "right") - 1)
-                long = last - first >= size
-                first, last, at = first[long], last[long], at[long]
-                for i in np.unique(at):
-                    k, pieces, done, origins = rows[i], [], int(bounds[i]), set()
-                    for b, e in zip(first[at == i].tolist(), last[at == i].tolist(), strict=True):
-                        inner = slice(*np.searchsorted(starts, (b, e)))
-                        origins.update(owner[i][int(d)] for d in _long(digest[inner]))
-                        for j in range(*np.searchsorted(begin, (b, e))):
-                            origins |= sources[j]
-                        while b < e and data[b] & 0xC0 == 0x80:
-                            b += 1
-                        while e > b and e < bounds[i + 1] and data[e] & 0xC0 == 0x80:
-                            e -= 1
-                        pieces.append(data[done:b])
+            for c in chunks(column.take(pa.array(hit_rows)), min_words):
+                bound = np.searchsorted(c.row, np.arange(c.hi - c.lo + 1))
+                for i in range(c.hi - c.lo):
+                    k = int(hit_rows[c.lo + i])
+                    items = lists[k].values
+                    owner = dict(zip(items.field(1).to_pylist(), items.field(2).to_pylist(), strict=True))
+                    known = bound[i] + np.flatnonzero(np.isin(c.digest[bound[i] : bound[i + 1]], np.fromiter(owner, np.int64)))
+                    if not len(known):
+                        continue
+                    before, after = defaultdict(list), defaultdict(list)
+                    for digest, *texts_near in zip(*(around[k].values.field(f).to_pylist() for f in range(5)), strict=True) if around[k].is_valid else ():
+                        before[digest] += [t for t in texts_near[0::2] if t is not None]
+                        after[digest] += [t for t in texts_near[1::2] if t is not None]
+                    left, done, ids = [], int(c.bounds[i]), set()
+                    for b, e in passages(c, i, known, before, after):
+                        ids.update(owner[d] for d in c.digest[known[(c.starts[known] < e) & (c.ends[known] > b)]].tolist())
+                        left.append(c.data[done:b])
                         removed[k] += e - b
                         done = e
-                    pieces.append(data[done : bounds[i + 1]])
-                    texts[k] = np.concatenate(pieces).tobytes().decode("utf-8", "replace")
-                    of[k] = sorted(origins)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string()), pa.array(removed), pa.array(of, owners.type)], names=schema.names)
+                    if ids:
+                        left.append(c.data[done : c.bounds[i + 1]])
+                        texts[k], origins[k] = np.concatenate(left).tobytes().decode("utf-8", "replace"), sorted(ids)
+            ids_type = pa.list_(lists.type.value_type.field(2).type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string()), pa.array(removed), pa.array(origins, ids_type)], names=schema.names)
 
     return joined.mapInArrow(run, schema)

@@ -260,47 +260,102 @@ def shared_bytes(text, earlier, size):
 
 
 def test_repeats_are_whole(make_docs):
-    """Passages of 51 words go, to a fifth of MIN_BYTES at either end, also of short words, of repeated phrases and of one character."""
+    """Passages of 51 words go, but for parts of words at either end, also of short words, of repeated phrases and of one character."""
     rng = random.Random(11)
     word = lambda least, most: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(least, most)))
     fresh = lambda n, least=2, most=9: " ".join(word(least, most) for _ in range(n))
     phrase = fresh(4)
-    passages = [*(fresh(51, 1, 1) for _ in range(20)), *(fresh(51, 1, 3) for _ in range(20)), *(fresh(51) for _ in range(20)), *(" ".join([fresh(k)] * 51)[:110] for k in range(1, 8)), " ".join([phrase] * 15), "z" * 101]
+    passages = [*(fresh(51, 1, 1) for _ in range(20)), *(fresh(51, 1, 3) for _ in range(20)), *(fresh(51) for _ in range(20)), *(" ".join([fresh(1, k, k)] * 51) for k in range(1, 8)), " ".join([phrase] * 15), "z" * 420]
     rows = []
     for i, passage in enumerate(passages):
         rows += [(2 * i + 1, f"{fresh(30)}<{passage}>{fresh(30)}"), (2 * i + 2, f"{fresh(20)}[{passage}]{fresh(20)}")]
-    # A document that has the first half only, and one that comes first with a stock phrase of 45 bytes.
-    tail = fresh(60)
-    rows += [(1000, tail[:45] + fresh(20)), (1001, f"{fresh(20)} {tail}"), (1002, f"{fresh(20)}_{tail[:130]}_{fresh(20)}")]
+    # A document that has the first words only, and one that comes first with a stock phrase.
+    tail = fresh(90)
+    rows += [(1000, tail[:45] + " " + fresh(20)), (1001, f"{fresh(20)} {tail}"), (1002, f"{fresh(20)} _ {tail[:420]}_ {fresh(20)}")]
+    # Passages of 30 words stay.
+    short = fresh(30)
+    rows += [(1003, f"{fresh(40)} {short} {fresh(40)}"), (1004, f"{fresh(40)} {short} {fresh(40)}")]
     got = {r.doc_id: r for r in chunk_dedup.deduplicated(make_docs(rows), ["doc_id"]).collect()}
     for i, text in rows:
-        earlier = [t for j, t in rows if j < i]
-        mask = shared_bytes(text, earlier, chunk_dedup.MIN_BYTES)
-        at, gone = int(mask.argmax()), got[i].n_removed
-        assert mask.sum() - 40 < gone <= mask.sum() and (gone >= 80 if mask.any() else got[i].text == text), (i, text)
-        assert any(at <= b < at + 20 and got[i].text == text[:b] + text[b + gone :] for b in range(len(text))) or not gone
-        assert mask.any() == (i % 2 == 0 and i != 1000), i
+        mask = shared_bytes(text, [t for j, t in rows if j < i], 200 if i >= 1000 else 90)
+        gone = got[i].n_removed
+        if i in (1003, 1004) or not mask.any():
+            assert gone == 0 and got[i].text == text, (i, text)
+        else:
+            at = int(mask.argmax())
+            assert mask.sum() - 40 < gone <= mask.sum(), (i, gone, mask.sum(), text)
+            assert any(at <= b < at + 20 and got[i].text == text[:b] + text[b + gone :] for b in range(len(text)))
+            assert i % 2 == 0 and i != 1000
     assert all(2 * i + 1 in got[2 * i + 2].repeats_of for i in range(len(passages))) and 1001 in got[1002].repeats_of
 
 
 def test_repeats_of_many_pieces(make_docs):
-    """Stretches of a few earlier documents, in any number and of any length: nothing of 100 bytes stays, nothing that is no run goes."""
+    """Stretches of a few earlier documents, in any number and of any length: no passage stays, and nothing goes that no earlier document has."""
     rng = random.Random(12)
-    source = ["".join(rng.choices("abé ü😀", k=400)) for _ in range(6)]
-    rows = [(i, s) for i, s in enumerate(source)]
+    word = lambda: "".join(rng.choices("abé ü😀ß", k=rng.randint(2, 9))).strip() or "b"
+    source = [" ".join(word() for _ in range(150)).split() for _ in range(6)]
+    rows = [(i, " ".join(s)) for i, s in enumerate(source)]
     for i in range(10, 60):
-        cut = lambda: (s := rng.choice(source))[(a := rng.randrange(300)) : a + rng.choice([15, 40, 60, 90, 130])]
-        rows.append((i, "".join(cut() for _ in range(6))))
-    got = {r.doc_id: r for r in chunk_dedup.deduplicated(make_docs(rows), ["doc_id"]).collect()}
+        cut = lambda: (s := rng.choice(source))[(a := rng.randrange(100)) : a + rng.choice([4, 9, 15, 30, 45])]
+        rows.append((i, " ".join(w for _ in range(6) for w in cut())))
+    min_words = 20
+    got = {r.doc_id: r for r in chunk_dedup.deduplicated(make_docs(rows), ["doc_id"], min_words=min_words).collect()}
     for i, text in rows:
-        data, earlier = text.encode(), [t.encode() for j, t in rows if j < i]
-        may, known = shared_bytes(data, earlier, chunk_dedup.GRAM), {e[k : k + 100] for e in earlier for k in range(len(e) - 99)}
-        must = np.zeros(len(data), bool)
-        for k in range(len(data) - 99):
-            if data[k : k + 100] in known:
-                must[k + 23 : k + 77] = True  # a fifth at either end may stay, and a cut character
-        assert must.sum() <= got[i].n_removed <= may.sum()
-        assert len(got[i].text.encode()) + got[i].n_removed == len(data)
+        words, earlier = text.split(), [t.split() for j, t in rows if j < i]
+        grams = lambda n: {tuple(e[k : k + n]) for e in earlier for k in range(len(e) - n + 1)}
+        known, any_known = grams(min_words + 1), grams(1)
+        must = np.zeros(len(words), bool)
+        for k in range(len(words) - min_words):
+            must[k : k + min_words + 1] |= tuple(words[k : k + min_words + 1]) in known
+        gone = len(words) - len(got[i].text.split())
+        assert gone <= sum((w,) in any_known for w in words) and (gone > 0 or not must.any())
+        # Up to the width of a cut may stay at an end that other first holders cover.
+        edges = np.count_nonzero(must[1:] != must[:-1]) + 2
+        assert gone >= must.sum() - edges * chunk_dedup.width_of(min_words), (i, gone, must.sum())
+        assert len(got[i].text.encode()) + got[i].n_removed == len(text.encode())
+
+
+def test_chunk_bounds_shift_with_insertions():
+    """Bytes put in or taken out change the chunks near them only; all others are found at the shifted place, and bounds follow the definition."""
+    rng = random.Random(13)
+    for _ in range(20):
+        words = ["".join(rng.choices("abcdefgé", k=rng.randint(1, 9))) for _ in range(600)]
+        at = rng.randrange(100, 500)
+        other = words[:at] + [f"new{k}" for k in range(rng.randrange(1, 40))] + words[at + rng.randrange(0, 3) :]
+        a, b = (next(chunk_dedup.chunks(pa.array([" ".join(w)]))) for w in (words, other))
+        width = chunk_dedup.width_of(chunk_dedup.MIN_WORDS)
+        assert (a.ends[:-1] == a.starts[1:]).all() and (np.searchsorted(a.places, a.ends) - np.searchsorted(a.places, a.starts) <= width).all()
+        shift = len(b.data) - len(a.data)
+        place = len(" ".join(words[:at]).encode())
+        before = {(s, d) for s, d in zip(a.starts.tolist(), a.digest.tolist(), strict=True)}
+        after = {(s, d) for s, d in zip(b.starts.tolist(), b.digest.tolist(), strict=True)} | {(s - shift, d) for s, d in zip(b.starts.tolist(), b.digest.tolist(), strict=True)}
+        lost = [s for s, d in before - after]
+        assert all(place - 3 * width * 19 < s < place + 3 * width * 19 for s in lost) and len(lost) <= 8
+        # Each cut is the first smallest hash of some window of places, and each window's smallest is a cut.
+        data = " ".join(words).encode()
+        gear = lambda p: sum(int(chunk_dedup._GEAR[data[p + 15 - k]]) << k for k in range(16)) & 0xFFFFFFFF
+        starts = [p for p in range(len(data)) if (p == 0 or data[p - 1] == 32) and p + 16 <= len(data)]
+        hashes = [gear(p) for p in starts]
+        cuts = sorted({min(range(k, k + width), key=lambda j: (hashes[j], j)) for k in range(len(starts) - width + 1)})
+        assert [starts[j] for j in cuts] == [*a.starts.tolist(), int(a.ends[-1])]
+
+
+def test_hot_chunks_are_joined_apart(make_docs, monkeypatch):
+    """The broadcast join of digests with very many rows gives the same rows."""
+    rng = random.Random(14)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    common, rare = fresh(70), fresh(70)
+    docs = make_docs([(i, f"{fresh(20)} {common} {fresh(20)}" + (f" {rare} {fresh(9)}" if i % 10 == 0 else "")) for i in range(60)])
+    want = sorted(map(tuple, chunk_dedup.deduplicated(docs, ["doc_id"]).collect()))
+    whole, floors = chunk_dedup._with_few, []
+
+    def low(rows, few, keys):
+        floors.append(few.where("n > 20").count())
+        return whole(rows, few.withColumn("n", F.expr("IF(n > 20, n + 1000000, n)")), keys)
+
+    monkeypatch.setattr(chunk_dedup, "_with_few", low)
+    assert sorted(map(tuple, chunk_dedup.deduplicated(docs, ["doc_id"]).collect())) == want and all(floors)
+    assert sum(r[2] > 0 for r in want) == 59
 
 
 def test_surrogates_of_other_countries(make_docs):
