@@ -6,8 +6,9 @@ flow, itself included, divided by the flow's target; served in this order all fl
 proportion to their targets.  The order is cut where the total budget is used up.
 
 Nothing is sorted or summed in one task: running sums come from blocks of the hash plus block
-totals, so a source that holds most rows is spread over all blocks, and the cut is found by
-histograms over finish times that are refined until the open part is small.
+totals, so a source that holds most rows is spread over all blocks.  Finish times and sizes, without
+ids and texts, are range-sorted over all partitions and truncated at the budget; the documents
+themselves are not moved, but taken by the time at which the order was cut.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ SHARE = 1.5
 REPEATS = 2
 #: Rows of one block of a source, on average at most.
 BLOCK_ROWS = 10_000
-#: Bins of one refinement of the cut, and distinct finish times looked at one by one in the end.
-BINS, FEW = 1000, 10_000
 
 
 def word_count(text: str) -> Column:
@@ -93,30 +92,26 @@ def _timed(sized: DataFrame, flows: DataFrame, before: DataFrame, digits: int) -
 
 
 def _cut(timed: DataFrame, budget: float) -> float:
-    """The largest finish time up to which all words fit the budget."""
-    items = timed.select(F.explode("times").alias("f"), "size").where("f is not null AND size > 0")
-    low, high, base = items.agg(F.min("f"), F.max("f"), F.lit(0)).first()
-    if low is None:
+    """The largest finish time up to which all words fit the budget; just below the smallest if none do.
+
+    Finish times and sizes are sorted into ranges over all partitions.  A total per range tells in
+    which one the budget ends; only there running sums are taken.  Equal times share a range and
+    are cut together.
+    """
+    items = timed.select(F.explode("times").alias("finish"), "size").where("finish is not null AND size > 0")
+    ranged = items.repartitionByRange("finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
+    ranged = materialise(ranged, "finish_order")
+    ranges = ranged.groupBy("range").agg(F.sum("size").alias("words"), F.min("finish").alias("low"), F.max("finish").alias("high")).orderBy("low").collect()
+    if not ranges:
         return 0.0
-    low = math.nextafter(low, -math.inf)
-    while True:
-        # Items in (low, high] are open; ``base`` words finish at ``low`` or before.
-        within = items.where(F.expr(f"f > {low!r}D AND f <= {high!r}D"))
-        width = (high - low) / BINS
-        bins = within.groupBy(F.floor((F.col("f") - F.lit(low)) / F.lit(width)).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi")).orderBy("b").collect() if width > 0 else []
-        for row in bins:
-            if base + row.s > budget:
-                break
-            base, low = base + row.s, row.hi
-        else:
-            return high
-        if row.c <= FEW or row.lo == row.hi:
-            for one in within.where(F.expr(f"f >= {row.lo!r}D AND f <= {row.hi!r}D")).groupBy("f").agg(F.sum("size").alias("s")).orderBy("f").collect():
-                if base + one.s > budget:
-                    return low
-                base, low = base + one.s, one.f
-            return low
-        low, high = max(low, math.nextafter(row.lo, -math.inf)), row.hi
+    served, cut = 0, math.nextafter(ranges[0].low, -math.inf)
+    for r in ranges:
+        if served + r.words > budget:
+            running = F.sum("size").over(Window.partitionBy("range").orderBy("finish"))
+            last = ranged.where(F.col("range") == r.range).withColumn("served", served + running).where(F.col("served") <= budget).agg(F.max("finish")).first()[0]
+            return cut if last is None else last
+        served, cut = served + r.words, r.high
+    return cut
 
 
 def mix(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from augurlog.llm import bit_mixing, chunk_dedup, decontaminate, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
+from augurlog.llm import bit_mixing, chunk_dedup, decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
 from augurlog.llm import tables as T
 
 SF = pathlib.Path("/root/testdata/sf0.001")
@@ -234,6 +234,27 @@ def test_ranges_sum_to_the_whole():
     assert np.allclose(got, want)
 
 
+def test_mix_is_cut_at_the_budget(spark):
+    """The cut of the range-sorted finish times equals the one of a plain sort, with ties and for every budget."""
+    rng = random.Random(5)
+    rows = [([a, a + 4.0] if i % 9 else [None, None], rng.randrange(0, 30)) for i in range(400) for a in [rng.randrange(60) / 8]]
+    timed = spark.createDataFrame(rows, "times array<double>, size long")
+    words = collections.Counter()
+    for times, size in rows:
+        for t in times:
+            words[t] += size if t is not None and size else 0
+    order = sorted(t for t in words if t is not None and words[t])
+    for budget in (0.0, float(words[order[0]]), 0.3 * sum(words.values()), 0.77 * sum(words.values()), 1e9):
+        fits, total = [], 0
+        for t in order:
+            total += words[t]
+            if total <= budget:
+                fits.append(t)
+        got = mixing._cut(timed, budget)
+        assert got == fits[-1] if fits else got < order[0]
+    assert mixing._cut(timed.limit(0), 5.0) == 0.0
+
+
 def test_repeats_across_documents(make_docs):
     rng = random.Random(7)
     fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
