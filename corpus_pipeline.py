@@ -46,7 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words taken; the mix runs in order of finish."""
+    """The documents that the mix takes, with their words taken; ``finish`` tells the order of the mix, the rows come in any."""
     taken = unused("taken", docs.columns)
     return mixing.mix(docs, docs.columns).where(f"`{taken}` > 0")
 
