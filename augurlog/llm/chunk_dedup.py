@@ -7,7 +7,8 @@ bytes that follow is a cut; nothing else decides, so bytes put in or taken out m
 them only.  A chunk lies between two cuts.  ``width`` is such that any passage of more than
 ``min_words`` words has two cuts that depend on its own bytes alone, hence a whole chunk.
 
-Chunks are compared by 64-bit digests across all documents.  Neighbouring chunks that earlier
+Chunks are compared by 64-bit digests across all documents; of equal chunks in a row each has its
+own, so that a word said a hundred times isn't a repeat of one said twice.  Neighbouring chunks that earlier
 documents (smaller ids) hold too are a run.  Both its ends are extended as far as the text of the
 run's first holders goes on alike: the holders' texts give the ``width`` words around the chunks at
 the ends, and a join hands them over.  A run of four fifths of ``min_words`` or more is a passage.
@@ -113,7 +114,7 @@ def chunks(column: pa.Array, min_words: int = MIN_WORDS) -> Iterator[Chunks]:
         bound, of = at[cuts], row[cuts]
         same = of[1:] == of[:-1]
         starts, ends = bound[:-1][same], bound[1:][same]
-        yield Chunks(lo, hi, data, bounds, places, size, starts, ends, of[1:][same], tc.span_hashes(data, starts, ends, tc.EXACT).view(np.int64))
+        yield Chunks(lo, hi, data, bounds, places, size, starts, ends, of[1:][same], _numbered(starts, ends, tc.span_hashes(data, starts, ends, tc.EXACT)).view(np.int64))
 
 
 def _around(c: Chunks, k: int, width: int) -> tuple[bytes, bytes]:
@@ -133,18 +134,19 @@ def _alike(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def _occurrences(c: Chunks) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks but for those amid neighbours of one digest, and their place: text, number in the row, whether it ends such a stretch."""
-    n = len(c.row)
-    if not n:
-        return _NONE, _NONE
-    like = np.zeros(n + 1, bool)
-    like[1:-1] = (c.digest[1:] == c.digest[:-1]) & (c.row[1:] == c.row[:-1])
-    some = np.flatnonzero(~(like[:-1] & like[1:]))
-    # Repeated rows of a doc_id may have different texts: the place is one in the text of this hash.
+def _numbered(starts: np.ndarray, ends: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Digests in which the k-th of neighbouring equal chunks is told from the others, so that a longer stretch isn't a repeat of a shorter one."""
+    first = np.ones(len(digest), bool)
+    first[1:] = (digest[1:] != digest[:-1]) | (starts[1:] != ends[:-1])
+    at = np.flatnonzero(first)
+    k = np.arange(len(digest)) - np.repeat(at, np.diff(np.append(at, len(digest))))
+    return np.where(k > 0, tc.mix(digest + k.astype(np.uint64)), digest)
+
+
+def _places(c: Chunks) -> np.ndarray:
+    """Place of every chunk: the text, and the number in it.  Repeated rows of a doc_id may have different texts."""
     texts = (tc.span_hashes(c.data, c.bounds[:-1], c.bounds[1:], tc.EXACT) >> np.uint64(33)).astype(np.int64) << 32
-    number = np.arange(n) - np.searchsorted(c.row, c.row)
-    return some, (texts[c.row] + (number << 1) + like[:-1])[some]
+    return texts[c.row] + np.arange(len(c.row)) - np.searchsorted(c.row, c.row)
 
 
 def _rows(lists: pa.Array) -> np.ndarray:
@@ -185,8 +187,7 @@ def deduplicated(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1), min_words):
-                some, place = _occurrences(c)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.lo + c.row[some])), pa.array(c.digest[some]), pa.array(place)], names=["doc_id", "digest", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.lo + c.row)), pa.array(c.digest), pa.array(_places(c))], names=["doc_id", "digest", "place"])
 
     found = materialise(own.mapInArrow(cut, f"doc_id {id_type}, digest long, place long"), "chunks")
     shared = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
@@ -205,7 +206,7 @@ def deduplicated(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text:
             order = np.lexsort((place, row))
             place, digest, row = place[order], digest[order], row[order]
             fresh = np.ones(len(row), bool)
-            fresh[1:] = (row[1:] != row[:-1]) | ((place[1:] & 1 == 0) & (place[1:] >> 1 != (place[:-1] >> 1) + 1))
+            fresh[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
             head = np.flatnonzero(fresh)
             tail = np.append(head[1:], len(row))[: len(head)] - 1
             run = np.cumsum(fresh) - 1

@@ -336,6 +336,18 @@ def test_repeats_of_many_pieces(make_docs):
         assert len(got[i].text.encode()) + got[i].n_removed == len(text.encode())
 
 
+def test_long_stretches_are_no_repeats_of_short_ones(make_docs):
+    """A word or phrase said often is a repeat as far as an earlier document says it as often."""
+    rng = random.Random(15)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    rows = []
+    for i, (few, many) in enumerate([(25, 90), (30, 300), (90, 70), (60, 200)]):
+        unit = fresh(1 + i % 2)
+        rows += [(2 * i + j, f"{fresh(30)} {' '.join([unit] * (n // (1 + i % 2)))} {fresh(30)}") for j, n in enumerate((few, many))]
+    got = {r.doc_id: len(t.split()) - len(r.text.split()) for (i, t), r in zip(rows, sorted(chunk_dedup.deduplicated(make_docs(rows), ["doc_id"]).collect()), strict=True)}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 6)] == [0] * 6 and 60 <= got[5] <= 70 and 50 <= got[7] <= 64, got
+
+
 def test_chunk_bounds_shift_with_insertions():
     """Bytes put in or taken out change the chunks near them only; all others are found at the shifted place, and bounds follow the definition."""
     rng = random.Random(13)
