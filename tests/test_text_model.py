@@ -206,3 +206,33 @@ def test_pipeline_from_files(spark, tmp_path):
     seq = pipeline.sequence_set(run.prepared, 4, 6, max_features=50)
     assert seq.where("size(sequence) <> 6").count() == 0 and seq.count() > 0
     assert targets.MIN_TRAIN_ROWS == 50
+
+
+@pytest.mark.parametrize("flag,score", [("0", 0.0), ("1", 1.0), (None, 0.5)])
+def test_constant_model_of_one_class_or_no_row(lines, flag, score):
+    cut = windows.create_windows(lines, "30min").drop("proc_counts").selectExpr("*", f"{flag or 0} AS y_future")
+    counts = tfidf.line_term_counts(lines, "30min")
+    long = cut.selectExpr("source_file", "bucket", "'cnt' AS feature", "CAST(lines AS DOUBLE) AS x")
+    train = cut if flag else cut.where("false")
+    model = models.fit(train, counts, ["lines"], max_features=5, numbers=long, constant=True)
+    assert model.meta["classes"] == (1 if flag else 0)
+    scored = models.score(model, train, counts, numbers=long)
+    assert {r.proba for r in models.score(model, cut, counts, numbers=long).collect()} == {score}
+    features = explain.long_features(model, train, counts, long)
+    row = models.optimality(model, features, scored, explain.coefficient_table(model)).first()
+    assert (row.windows, row.largest_gradient) == (cut.count() if flag else 0, 0.0)
+
+
+def test_busy_logs_train_score_and_explain(make_lines):
+    # every window holds an anomaly, so none is left to train on
+    rows = [(f"f{s}", i, f"{h:02d}:{m:02d}:00", "kernel", "Out of memory: kill process") for s in range(4) for i, (h, m) in enumerate((h, m) for h in range(20) for m in (0, 20, 40))]
+    settings = pipeline.with_settings(width="20min", min_lines=0, constant_model=True)
+    prepared = pipeline.prepare(make_lines(rows), "linux", settings)
+    trained = pipeline.train(prepared, settings, eval_k=2)
+    out = pipeline.score(prepared, trained.model, trained.threshold, settings).collect()
+    assert len(out) == 240 and {r.early_warning_score for r in out} == {0.5}
+    assert pipeline.explain_windows(prepared, trained.model, settings)[0].count() == 240
+    row = pipeline.fit_certificate(prepared, trained, settings).first()
+    assert (row.windows, row.positives, row.largest_gradient) == (0, None, 0.0)
+    with pytest.raises(ValueError, match="no training rows"):
+        pipeline.train(prepared, pipeline.with_settings(settings, constant_model=False))
