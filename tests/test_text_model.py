@@ -8,6 +8,7 @@ import pytest
 
 from augurlog.operators import explain, model as models, sequences, targets, tfidf, trends, windows
 from augurlog.plans import pipeline
+from augurlog.session import materialise
 from augurlog.sources import bundle
 
 WORDS = "alpha beta gamma delta disk error link up x é1 naïve".split()
@@ -236,3 +237,20 @@ def test_busy_logs_train_score_and_explain(make_lines):
     assert (row.windows, row.positives, row.largest_gradient) == (0, None, 0.0)
     with pytest.raises(ValueError, match="no training rows"):
         pipeline.train(prepared, pipeline.with_settings(settings, constant_model=False))
+
+
+def test_terms_of_texts_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "TASK_BYTES", 50)
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 12))) for i in range(40)}
+    rows = [(i, t) for i, t in texts.items()] + [(None, "disk error disk"), (None, "link error"), (40, None), (41, "alpha"), (41, "beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = tfidf.dealt_texts(docs, ["doc_id"], "text")
+    assert dealt.rdd.getNumPartitions() > 8
+    plain = tfidf.text_term_counts(docs, ["doc_id"], "text")
+    vocab = materialise(tfidf.vocabulary(plain, 42, 2, 50))
+    got = tfidf.weights(tfidf.text_term_counts(dealt, ["doc_id"], "text", vocab=vocab), vocab, ["doc_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    shown = lambda df: sorted((str(r.doc_id), r.term, r.tf, round(r.weight, 12)) for r in df.collect())
+    assert shown(got) == shown(tfidf.weights(plain, vocab, ["doc_id"])) and len(got.collect()) > 200
