@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from augurlog.session import materialise
 
-#: Matrix rows of a block; a task holds a block's entries and one array of components per row.
-BLOCK_ROWS = 16_384
+#: Most rows and (about) entries of a block; a task holds a block's entries and one array of components per row.
+BLOCK_ROWS, BLOCK_ENTRIES = 16_384, 1 << 20
+#: Entries are multiplied as a dense matrix if it has at most so many cells an entry.
+DENSE_CELLS = 16
 #: Most parts of the factor, and columns of one; each gives the driver three matrices of components x components.
 PARTS, PART_COLUMNS = 32, 1024
 #: Residuals below are measured exactly.
@@ -58,10 +60,21 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(rows[order], first, axis=0)
 
 
+def _products(keys: np.ndarray, at: np.ndarray, w: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and for each the sum of ``w * vectors[at]`` over its entries."""
+    rows, i = np.unique(keys, return_inverse=True)
+    columns, j = np.unique(at, return_inverse=True)
+    if len(rows) * len(columns) > DENSE_CELLS * len(w):
+        return _summed(keys, w[:, None] * vectors[at])
+    cells = np.bincount(i * len(columns) + j, weights=w, minlength=len(rows) * len(columns))
+    return rows, cells.reshape(len(rows), len(columns)) @ vectors[columns]
+
+
 def in_blocks(entries: DataFrame, n_rows: int) -> DataFrame:
-    """The entries with the block of their row, written."""
-    blocks = max(1, -(-n_rows // BLOCK_ROWS))
-    return materialise(entries.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block"), "rid", F.col("idx").cast("bigint").alias("idx"), "w"), "svd-entries")
+    """The entries, written, with the block of their row."""
+    entries = materialise(entries.select("rid", F.col("idx").cast("bigint").alias("idx"), "w"), "svd-entries")
+    blocks = max(1, -(-n_rows // BLOCK_ROWS), min(n_rows, -(-entries.count() // BLOCK_ENTRIES)))
+    return entries.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block"), "rid", "idx", "w")
 
 
 def _handed(entries: DataFrame, factor: DataFrame) -> DataFrame:
@@ -70,7 +83,9 @@ def _handed(entries: DataFrame, factor: DataFrame) -> DataFrame:
     no_row, no_array = F.lit(None).cast("bigint"), F.lit(None).cast("array<double>")
     rows = used.select("block", "idx", F.lit(0).alias("kind"), no_row.alias("rid"), F.lit(0.0).alias("w"), "v")
     rows = rows.unionByName(entries.select("block", "idx", F.lit(1).alias("kind"), F.col("rid").cast("bigint").alias("rid"), "w", no_array.alias("v")))
-    return rows.repartition("block").sortWithinPartitions("block", "idx", "kind").select("block", "idx", "kind", "rid", "w", "v")
+    # a task each: by size, a few tasks would get them all
+    tasks = (entries.agg(F.max("block")).first()[0] or 0) + 1
+    return rows.repartitionById(tasks, F.col("block").cast("int")).sortWithinPartitions("block", "idx", "kind").select("block", "idx", "kind", "rid", "w", "v")
 
 
 def _block_products(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -95,7 +110,7 @@ def _block_products(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[t
                 last = (columns[-1], vectors[-1].copy())
             rid, w, at = np.asarray(part.column(3).filter(pa.array(is_entry)), np.int64), np.asarray(part.column(4))[is_entry], idx[is_entry]
             if len(rid):
-                keys, sums = _summed(rid, w[:, None] * vectors[np.searchsorted(columns, at)])
+                keys, sums = _products(rid, np.searchsorted(columns, at), w, vectors)
                 for i, k in enumerate(keys.tolist()):
                     if k in held:
                         held[k] += sums[i]
@@ -128,7 +143,7 @@ def gram_product(entries: DataFrame, factor: DataFrame, width: int, parts_of_fac
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rids, y, done in _block_products(batches, width):
             for rid, w, at in done:
-                keys, sums = _summed(at, w[:, None] * y[np.searchsorted(rids, rid)])
+                keys, sums = _products(at, np.searchsorted(rids, rid), w, y)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), _listed(sums)], names=["idx", "v"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,21 @@ def test_unused_columns_and_no_entries(spark):
     found = svd.truncated_svd(table(spark, x, hole=(2,)), columns(spark, 5), 5, 3)
     assert found.values == pytest.approx([5, 4, 2]) and np.abs(factor_of(found, 5)[2]).max() < 1e-9
     assert svd.truncated_svd(table(spark, np.zeros((2, 2))), columns(spark, 2), 2, 1).values == []
+
+
+def test_blocks_by_entries_dense_and_sparse(spark, monkeypatch):
+    """A few full rows make as many blocks as their entries need, each in a task of its own."""
+    monkeypatch.setattr(svd, "BLOCK_ENTRIES", 500)
+    rng = np.random.default_rng(3)
+    for share in (1.0, 0.02):
+        x = rng.standard_normal((200, 60)) * (rng.random((200, 60)) < share)
+        blocks = svd.in_blocks(table(spark, x), 200)
+        entries = int((x != 0).sum())
+        assert blocks.select("block").distinct().count() == -(-entries // 500)
+        factor = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(np.eye(60))], "idx long, v array<double>")
+        used = svd._handed(blocks, factor).select(F.spark_partition_id().alias("p"), "block").distinct().collect()
+        assert len({r.p for r in used}) == len(used) == -(-entries // 500)
+        got = np.zeros((60, 60))
+        for r in svd.gram_product(blocks, factor, 60).collect():
+            got[r.idx] = r.v
+        assert np.abs(got - x.T @ x).max() < 1e-10
