@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from augurlog.llm import bit_mixing, chunk_dedup, decontaminate, mixing, near_dedup, pii, quality_crf, simhash, toxicity, url_filter
-from augurlog.llm import tables as T
+from augurlog.llm import tables as T, textcore
 
 SF = pathlib.Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not SF.exists(), reason="no test tables")
@@ -511,3 +511,22 @@ def test_ranks_over_links(spark):
     frame = spark.createDataFrame([("h1", 1.0), ("h4", 3.0)], "host string, weight double")
     found = {r["host"]: r["rank"] for r in url_filter.spread(frame, links, "src", "dst").collect()}
     assert all(found.get(h, 0.0) == pytest.approx(rank[i]) for i, h in enumerate(hosts))
+
+
+def test_kinds_of_text_are_counted_over_all_texts(make_docs, monkeypatch):
+    """Words and pairs are those of every training text, also where tasks lower their counts."""
+    rng = random.Random(11)
+    often = [f"w{k}" for k in range(300)]
+    texts = [" ".join(dict.fromkeys(rng.choices(often, weights=range(300, 600), k=12))) + f" x{i}" for i in range(5000)]
+    docs = make_docs(list(enumerate(texts))).repartition(3)
+    train = docs.doc_id % 5 != 1
+    hashed = lambda w: textcore.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]
+    count = collections.Counter(w for i, t in enumerate(texts) if i % 5 != 1 for w in t.split())
+    by_hash = {int(hashed(w)): n for w, n in count.items()}
+    want = sorted(sorted(by_hash), key=lambda h: -by_hash[h])[: bit_mixing.FREQUENT]
+    assert bit_mixing.text_kinds(docs, train)[0].tolist() == sorted(want)
+    for kept in (4000, 400, 50):
+        monkeypatch.setattr(bit_mixing, "KEPT", kept)
+        assert bit_mixing.text_kinds(docs, train)[0].tolist() == sorted(want)
+    both, n = bit_mixing.texts_with_both(docs.where(train).select("text"), np.array(sorted(want), np.uint64))
+    assert n == 4000 and np.diag(both).tolist() == [by_hash[h] for h in sorted(want)]
