@@ -30,7 +30,7 @@ WINDOW = 13
 #: A document is contaminated if it has a hit and 100 * hit words >= PERCENT * words.
 PERCENT = 5
 #: Words of a shard of documents, and of a broadcast block of benchmark items.
-SHARD = 1 << 20
+SHARD = 1 << 18
 BLOCK = 1 << 20
 
 

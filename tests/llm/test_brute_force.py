@@ -7,6 +7,7 @@ import math
 import pathlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -530,3 +531,16 @@ def test_kinds_of_text_are_counted_over_all_texts(make_docs, monkeypatch):
         assert bit_mixing.text_kinds(docs, train)[0].tolist() == sorted(want)
     both, n = bit_mixing.texts_with_both(docs.where(train).select("text"), np.array(sorted(want), np.uint64))
     assert n == 4000 and np.diag(both).tolist() == [by_hash[h] for h in sorted(want)]
+
+
+def test_shards_take_little_memory():
+    """A batch of a million words is cut in pieces and shards that take a few dozen megabytes."""
+    rng = np.random.default_rng(3)
+    column = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 50_000, 300)) for _ in range(4000)], pa.string())
+    tracemalloc.start()
+    try:
+        for _, shard in decontaminate._shards(column, decontaminate.SHARD):
+            decontaminate.suffix_array(shard, 20)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
