@@ -235,6 +235,59 @@ def test_ranges_sum_to_the_whole():
     assert np.allclose(got, want)
 
 
+def test_shared_bits_are_predicted_once(monkeypatch):
+    """Words that begin alike cost one prediction a bit for what they share, and have the prices they have one by one."""
+    known = [b"a" * 30 + bytes([x, y]) for x in range(97, 117) for y in range(97, 117)]
+    counts = np.arange(len(known)) % 4
+    w, mixer = bit_mixing.Words(known, counts), bit_mixing.Mixer()
+    tables = bit_mixing.bit_tables(bit_mixing.byte_counts(w, bit_mixing.no_counts()))
+    follow = collections.Counter()
+    for word in (x for x, c in zip(known, counts, strict=True) if c):
+        for place in range(len(word) + 1):
+            last = np.frombuffer((b"\0" * 5 + word)[place : place + 5], np.uint8)[None]
+            cell = int(bit_mixing.contexts(last, np.array([place]), 0)[0][0]) * (bit_mixing.END + 1)
+            follow[cell + (word[place] if place < len(word) else bit_mixing.END)] += 1
+    plain = bit_mixing.byte_counts(w, bit_mixing.no_counts())[0]
+    assert {int(i): int(plain[i]) for i in np.flatnonzero(plain)} == dict(follow)
+    predicted, real = [], bit_mixing._predict
+    monkeypatch.setattr(bit_mixing, "_predict", lambda n0, *rest: predicted.append(len(n0)) or real(n0, *rest))
+    together = bit_mixing.prices(w, {}, tables, mixer)
+    assert sum(predicted) < len(known) * 30
+    own = bit_mixing.spine(w)
+    alone = [bit_mixing.Words([x], counts[i : i + 1]) for i, x in enumerate(known)]
+    shared = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for part in alone:
+        for key, sums in bit_mixing.spine(part).items():
+            shared[key] = [a + b for a, b in zip(shared[key], sums, strict=True)]
+    assert all(shared[k] == v for k, v in own.items())
+    assert np.allclose(together, [bit_mixing.prices(x, dict(shared), tables, mixer)[0] for x in alone])
+
+
+def test_a_range_gets_the_sums_it_shares(spark):
+    """A range holds sums of its own bits only, and of these the ones that other ranges have too."""
+    rows = [(0, "a", 1, 2), (0, "b", 3, 4), (1, "b", 10, 20), (1, "c", 5, 5), (2, "c", 6, 1), (3, "d", 9, 9)]
+    nodes = spark.createDataFrame([(p, n, x, y, x, y) for p, n, x, y in rows], "part int, node string, s0 long, s1 long, s2 long, s3 long")
+    got = {r.part: {x.node: [x.s0, x.s1, x.s2, x.s3] for x in r.nodes} for r in bit_mixing.over_borders(nodes).collect()}
+    b, c = [13, 24, 13, 24], [11, 6, 11, 6]
+    assert got == {0: {"b": b}, 1: {"b": b, "c": c}, 2: {"c": c}}
+
+
+def test_kind_of_text_so_far():
+    """The kind at a word is that of most frequent words before it in its text, the smaller one of equals."""
+    rng = np.random.default_rng(4)
+    top, group = np.sort(rng.integers(1, 1 << 62, 20).astype(np.uint64)), rng.integers(0, 4, 20)
+    ends = np.array([0, 0, 40, 41, 41, 100, 130])
+    flat = np.where(rng.random(130) < 0.4, rng.choice(top, 130), rng.integers(1, 1 << 62, 130).astype(np.uint64))
+    flat[100:] = 7
+    want = []
+    for a, b in itertools.pairwise(ends):
+        seen = collections.Counter()
+        for h in [*flat[a:b].tolist(), None]:
+            want.append(min(seen, key=lambda k: (-seen[k], k)) if seen else bit_mixing.KINDS)
+            seen.update(group[top == h].tolist() if h is not None else [])
+    assert bit_mixing.kinds_so_far(flat, ends, top, group).tolist() == want
+
+
 def test_mix_is_cut_at_the_budget(spark):
     """The cut of the range-sorted finish times equals the one of a plain sort, with ties and for every budget."""
     rng = random.Random(5)
