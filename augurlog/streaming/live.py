@@ -169,7 +169,7 @@ def _base_columns(d: Dialect, procs: list[str]) -> list[str]:
 def _with_text(spark: SparkSession, closed: DataFrame, events_path: str, model: Model, width: str) -> DataFrame:
     """Add text score and first characters of closed windows from their events.
 
-    Only the days of these windows are read, only their lines are kept.
+    Only the days of these windows are read, only their lines are kept, and of their terms those of the model counted.
     """
     span = closed.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
     stored = spark.read.schema(EVENT_SCHEMA).parquet(events_path)
@@ -180,7 +180,7 @@ def _with_text(spark: SparkSession, closed: DataFrame, events_path: str, model:
     keys = closed.select("source_file", F.col("bucket").cast("timestamp_ntz").alias("bucket"))
     lines = windows.bucketed(_as_lines(stored).withColumn("ts", F.col("ts").cast("timestamp_ntz")), width)
     mine = lines.join(keys, KEYS, "left_semi").drop("bucket")
-    text = text_logit(tfidf.line_term_counts(mine, width), model.terms)
+    text = text_logit(tfidf.line_term_counts(mine, width, vocab=model.terms), model.terms)
     heads = windows.window_heads(mine, width)
     named = closed.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
     return (

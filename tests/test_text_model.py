@@ -56,6 +56,16 @@ def test_line_terms_equal_terms_of_the_joined_text(lines):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
 
 
+def test_line_terms_of_a_vocabulary_are_those_of_all(lines):
+    """Only a vocabulary's words and pairs are counted, pairs over a line border among them."""
+    whole = {(r.source_file, r.bucket, r.term): r.tf for r in tfidf.line_term_counts(lines, "30min").collect()}
+    terms = sorted({t for _, _, t in whole})[::3]
+    vocab = lines.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    for ngrams in (1, 2):
+        got = {(r.source_file, r.bucket, r.term): r.tf for r in tfidf.line_term_counts(lines, "30min", ngrams, vocab=vocab).collect()}
+        assert got == {k: n for k, n in whole.items() if k[2] in set(terms) and (ngrams > 1 or " " not in k[2])}
+
+
 def test_unigrams_only(lines):
     counts = tfidf.line_term_counts(lines, "30min", ngram_max=1)
     assert counts.where("term LIKE '% %'").count() == 0
